@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textkit
 from .runtime import cut, partitions, ship
 
-ORDER = 4
+ORDER = 5
 BITS, SYMBOL, SYMBOLS = 9, 511, 257
 WORD, GRAM, DOC = 0, 1, 2
 FLUSH = 1 << 22
