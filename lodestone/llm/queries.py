@@ -19,6 +19,12 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ftrl import ftrl_score
+
+    return ftrl_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
