@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word 1- and 2-grams, trained by follow-the-regularised-leader.
 
 A text is the sparse row of its hashed words and word pairs, as written (case and attached symbols kept), each counted
-and divided by the root of the number of words; its score is the sigmoid of one sparse dot product and a bias.
+and divided by the root of the number of words. All pairs of a word with itself share one coordinate, and each word
+adds its last byte as a coarse 1-gram, so repeats and attached symbols count for words never seen. A text's score is the sigmoid of one sparse dot product and a bias.
 Training is FTRL-proximal with per-coordinate rates over small batches of a bounded sample of labelled rows
 (`sample`, a documented bound), even between the two labels; row weights restore the labels' shares in a last fit of
 slope and bias on a tenth of the sample that FTRL does not see. The L1 term leaves most coordinates at zero.
@@ -30,10 +31,14 @@ BITS, SAMPLE, KEEP = 18, 12_000, 0.3
 
 def tokens(part: textkit.Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash-space indices of all words and word pairs of a slice, and the document of each."""
-    words = part.words(lower=False)
+    words, folded = part.words(lower=False), part.words()
     pairs, doc = textkit.windows(words, part.word_offsets, 2, short=False)
+    inside = np.flatnonzero(part.doc[1:] == part.doc[:-1])
+    pairs = np.where(folded[inside] == folded[inside + 1], np.uint64(1), pairs)
+    ends = part.raw[part.bounds[1] - 1].astype(np.uint64)
     shift = np.uint64(64 - bits)
-    return np.concatenate([textkit.mix(words, 3) >> shift, textkit.mix(pairs, 5) >> shift]).astype(np.int64), np.concatenate([part.doc, doc])
+    found = [textkit.mix(words, 3), textkit.mix(pairs, 5), textkit.mix(ends, 7)]
+    return (np.concatenate(found) >> shift).astype(np.int64), np.concatenate([part.doc, doc, part.doc])
 
 
 def sparse(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

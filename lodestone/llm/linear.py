@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
 from .runtime import ship
 
 UNIT = float(1 << 63)
@@ -51,20 +52,22 @@ def fitted(rows: DataFrame, label: str, features: Callable, fit: Callable) -> di
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i, v, o = features(b["text"])
-            yield pa.record_batch([b["place"], b["y"], b["weight"], pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(i, pa.int32())), pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.float32()))], ["place", "y", "weight", "i", "v"])
+            for part in textkit.slices(b["text"], 16 * textkit.SLICE):
+                at, n = part.first, len(part)
+                i, v, o = features(b["text"].slice(at, n))
+                lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), x) for x in (pa.array(i, pa.int64()), pa.array(v, pa.float32()))]
+                yield pa.record_batch([*(b[c].slice(at, n) for c in ("place", "y", "weight")), *lists], ["place", "y", "weight", "i", "v"])
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not len(table):
             return
-        lists = table["i"].combine_chunks()
-        counts = np.diff(lists.offsets.to_numpy())
+        counts = np.concatenate([np.diff(x.offsets.to_numpy()) for x in table["i"].chunks])
         flat = lambda c: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table[c].chunks])
-        found = fit(flat("i").astype(np.int64), flat("v"), np.concatenate([[0], np.cumsum(counts)]), table["y"].to_numpy(), table["weight"].to_numpy())
+        found = fit(flat("i"), flat("v"), np.concatenate([[0], np.cumsum(counts)]), table["y"].to_numpy(), table["weight"].to_numpy())
         yield pa.record_batch([pa.array(list(found)), pa.array([str(x.dtype) for x in found.values()]), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["name", "kind", "data"])
 
-    sparse = rows.select("place", "text", F.col(label).cast("int").alias("y"), "weight").mapInArrow(made, "place double, y int, weight double, i array<int>, v array<float>")
+    sparse = rows.select("place", "text", F.col(label).cast("int").alias("y"), "weight").mapInArrow(made, "place double, y int, weight double, i array<long>, v array<float>")
     arrays = sparse.repartition(1).sortWithinPartitions("place").mapInArrow(trained, "name string, kind string, data binary").collect()
     return {r["name"]: np.frombuffer(r["data"], r["kind"]) for r in arrays}
 

@@ -19,6 +19,12 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_score
+
+    return toxicity_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ftrl import ftrl_score
 
