@@ -3,7 +3,8 @@
 Terms of a text: its distinct words, ASCII-lower-cased and without closing punctuation, and the first 4, 5 and 6 bytes
 of longer words, so that inflected forms share a term; each is a 64-bit hash. The machine scores
 sigmoid(b + sum w_i + sum over pairs <v_i, v_j>): the pair term learns what a sum of weights misses, such as an insult
-that is one only beside the mention of a group. It is fitted by AdaGrad on a bounded sample of labelled rows
+that is one only beside the mention of a group. It is fitted by AdaGrad, the factors far more
+slowly than the weights so that a single telling term gets its own weight, on a bounded sample of labelled rows
 (`sample`, a documented bound) and keeps the `most` terms whose presence separates the labels best (a likelihood-ratio
 test), so a long text of ordinary words has few active terms. Slope and bias come last, on a tenth of the sample.
 
@@ -62,7 +63,7 @@ def machine(row: np.ndarray, at: np.ndarray, n: int, bias: float, w: np.ndarray,
     return bias + np.bincount(row, w[at], n) + 0.5 * ((total**2).sum(1) - square), total
 
 
-def fit(i: np.ndarray, _: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int = MOST, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 64) -> dict[str, np.ndarray]:
+def fit(i: np.ndarray, _: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int = MOST, rank: int = RANK, epochs: int = 40, rate: float = 0.2, decay: float = 1e-5, batch: int = 64, pace: float = 0.02) -> dict[str, np.ndarray]:
     rows = np.arange(len(y))
     learn, check = rows[rows % 10 != 9], rows[rows % 10 == 9]
     keys, at = np.unique(i, return_inverse=True)
@@ -98,7 +99,7 @@ def fit(i: np.ndarray, _: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight
             gv[used] += dv**2
             gb += g.sum() ** 2
             w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
+            v[used] -= pace * rate * dv / np.sqrt(gv[used])
             bias -= rate * g.sum() / np.sqrt(gb)
     check = check if len(np.unique(y[check])) == 2 else rows
     z, _ = machine(row, at, len(y), bias, w, v)
