@@ -33,7 +33,7 @@ from .runtime import cut, partitions, ship
 ORDER = 5
 BITS, SYMBOL, SYMBOLS = 9, 511, 257
 WORD, GRAM, DOC = 0, 1, 2
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -86,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
                             held.setdefault((int(blocks[a]), kind), []).append((keys_, n if known else np.zeros(len(n), np.int64)))
                             size += len(keys_)
             for k, pieces in held.items():
-                if len(pieces) > 12:
+                if len(pieces) > 1 and sum(len(x[0]) for x in pieces[1:]) > max(len(pieces[0][0]), 1 << 18):
                     before = sum(len(x[0]) for x in pieces)
                     held[k] = [merged(pieces)]
                     size -= before - len(held[k][0][0])

@@ -40,8 +40,17 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless they find it by PYTHONPATH anyway."""
+    """Sends this package to the Python workers, unless they find it by PYTHONPATH anyway.
+
+    Also makes Arrow batches small enough for long texts, in settings that the session still has at their defaults.
+    """
+    for key, (default, small) in BATCH.items():
+        if spark.conf.get(key, default) in (default, default.rstrip("b")):
+            spark.conf.set(key, small)
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
     if str(ROOT) in known or app in _shipped:

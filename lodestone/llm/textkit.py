@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _rng = np.random.default_rng(20240229)
 TOKEN = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -114,6 +114,7 @@ class Slice:
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[Slice]:
+    pa.set_memory_pool(pa.system_memory_pool())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -168,7 +169,7 @@ class Lookup:
     """A hash table from distinct 64-bit keys to values, built and asked in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, missing=0):
-        bits = max(4, int(len(keys) * 3).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, np.int64), np.full(1 << bits, missing, values.dtype)
         self.full = np.zeros(1 << bits, bool)
