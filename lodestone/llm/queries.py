@@ -19,6 +19,12 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_score
 
