@@ -31,6 +31,12 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ftrl import ftrl_score
 
