@@ -19,6 +19,12 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score(read(spark, sf_dir, "documents"))
 
 
+def op2_rabitq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rabitq import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
