@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +50,20 @@ def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .reshard import resharded
+
+    placed, _ = resharded(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import replicated
+
+    mixed = replicated(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_copies", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
