@@ -64,6 +64,14 @@ def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_copies", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op10_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cdc import deduplicated
+
+    found = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_repeated", F.size("removed").alias("n_removed"), gone.cast("long").alias("removed_bytes"), (F.col("text_bytes") - gone).alias("kept_bytes"), "removed", F.md5("text").alias("kept_md5"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

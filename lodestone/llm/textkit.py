@@ -92,15 +92,15 @@ class Slice:
         """The first word of each document, and the number of words at last."""
         return np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=len(self)))])
 
-    def prefix(self, lower: bool) -> np.ndarray:
+    def prefix(self, lower: bool, base: int = BASE) -> np.ndarray:
         data = self.lower if lower else self.raw
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(TOKEN[data] * powers(BASE, len(data)), out=out[1:])
+        np.cumsum(TOKEN[data] * powers(base, len(data)), out=out[1:])
         return out
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
         """Hashes of byte ranges, by difference of prefix sums; equal bytes give equal hashes."""
-        inverse = powers(pow(BASE, -1, 1 << 64), len(prefix))
+        inverse = powers(pow(base, -1, 1 << 64), len(prefix))
         return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
     def words(self, lower: bool = True) -> np.ndarray:
