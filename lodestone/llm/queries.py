@@ -32,6 +32,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spm import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_score
 
