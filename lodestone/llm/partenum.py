@@ -11,7 +11,7 @@ in over a third of the parts on average, so only other signatures matter there (
 Equal sets become one class by digest before anything else, and a task computes the signatures of one of its copies
 only. A signature's sets are compared with one pivot, so the pairs grow with the rows and not with the square of a
 group; pivots change from round to round, until a round links nothing. What is then left, pairs of different
-components that share a signature and were never compared, is compared in full. A parity sketch of each set, whose
+components that share a signature and were never compared, is compared in full where sizes and sketches allow a link. A parity sketch of each set, whose
 difference never exceeds that of the sets, removes most pairs before exact sets are joined; every link is decided on
 the exact sets. No document collects its neighbours, and no link, class or fingerprint comes to the driver.
 
@@ -149,11 +149,16 @@ def _stars(comp: DataFrame, turn: int) -> DataFrame:
     return found.select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b"))
 
 
-def _rest(comp: DataFrame) -> DataFrame:
-    """All pairs of different components that share a signature."""
+def _rest(comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of different components that share a signature and that sizes and sketches allow to be linked."""
     mixed = comp.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    left = cut(comp.join(mixed, "sig"))
-    pairs = left.alias("l").join(left.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.comp") < F.col("r.comp")))
+    half = SKETCH // 2  # the sketch folded once, which keeps its bound
+    facts = sets.select(F.col("doc_id").alias("doc"), "n", *(F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + half]).alias(f"s{i}") for i in range(half)))
+    left = cut(comp.join(mixed, "sig").join(facts, "doc"))
+    size = lambda c: F.col(f"{c}.n")
+    apart = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(half)), F.lit(0))
+    near = (F.least(size("l"), size("r")) * den >= F.greatest(size("l"), size("r")) * num) & (apart * (den + num) <= (size("l") + size("r")) * (den - num))
+    pairs = left.alias("l").join(left.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.comp") < F.col("r.comp")) & near)
     return pairs.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b"))
 
 
@@ -177,7 +182,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     turn, full = 0, False
     while not full:
         full = turn == ROUNDS
-        pairs = (_rest(comp) if full else _stars(comp, turn)).distinct()
+        pairs = (_rest(comp, sets, num, den) if full else _stars(comp, turn)).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
         new = cut(verified(pairs, sets, num, den))
