@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .linear import fitted, labelled, platt, sampled, sigmoid
+from .linear import fitted, platt, sampled, sigmoid
 from .ppm import held_out
 from .runtime import ship
 
@@ -92,7 +92,7 @@ def ftrl_score(docs: DataFrame, labels: DataFrame, label: str = "quality", modul
     """doc_id, held_out, score, predicted: learned from rows of labels whose crc32(doc_id) mod modulus is not remainder."""
     ship(docs.sparkSession)
     out = held_out(F.col("doc_id"), modulus, remainder)
-    model = fitted(sampled(labelled(docs, labels, label, ~out), label, sample), label, lambda t: sparse(t, bits), lambda *a: ftrl(*a, bits))
+    model = fitted(sampled(docs, labels, label, sample, ~out), label, lambda t: sparse(t, bits), lambda *a: ftrl(*a, bits))
     weights, bias = (model["w"], float(model["bias"][0])) if model else (np.zeros(1 << bits, np.float32), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

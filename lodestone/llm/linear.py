@@ -19,27 +19,26 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def sampled(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About `most` rows at most, half of each label if there are as many, by a hash of doc_id: the same on every run.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:
+    """doc_id, text, a 0/1 label, place and weight for about `most` labelled documents at most.
 
-    Adds `weight`, how many labelled rows a row stands for, which undoes the even split of labels in training.
+    Half are of each label if there are as many, chosen by a hash of doc_id: the same on every run. `weight` is how many
+    labelled rows a row stands for, which undoes the even split. Labels that are null, of another value, or repeated
+    with both values go, and so do those outside `keep`. The sample of ids, `most` rows, is the side that is broadcast.
     """
-    n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    if keep is not None:
+        marks = marks.where(keep)
+    marks = marks.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", F.col("y").alias(label))
+    n = {r[label]: r["n"] for r in marks.groupBy(label).agg(F.count("*").alias("n")).collect()}
     few, many = sorted((n.get(0, 0), n.get(1, 0)))
     few = min(few, most // 2)
     quota = {y: min(n.get(y, 0), most - few if n.get(y, 0) > few else few) for y in (0, 1)}
     share = {y: quota[y] / max(1, n.get(y, 0)) for y in (0, 1)}
     place = F.abs(F.xxhash64(F.lit(11), "doc_id")) / UNIT
     of = lambda x: F.when(F.col(label) == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
-    return rows.where(place < of(share)).withColumn("weight", of({y: 1 / max(share[y], 1e-12) for y in (0, 1)})).withColumn("place", place)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None = None) -> DataFrame:
-    """doc_id, text and a 0/1 label; rows whose label is null or another value, or repeated with both values, go."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", F.col("y").alias(label))
-    if keep is not None:
-        docs = docs.where(keep)
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
+    chosen = marks.where(place < of(share)).withColumn("weight", of({y: 1 / max(share[y], 1e-12) for y in (0, 1)})).withColumn("place", place)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def fitted(rows: DataFrame, label: str, features: Callable, fit: Callable) -> dict[str, np.ndarray]:

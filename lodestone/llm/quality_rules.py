@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .linear import fitted, labelled, platt, sampled, sigmoid
+from .linear import fitted, platt, sampled, sigmoid
 from .runtime import ship
 
 BITS, SAMPLE, KEEP, WINDOW = 16, 6_000, 0.5, 5
@@ -131,7 +131,7 @@ def repeats(part: textkit.Slice) -> tuple[np.ndarray, np.ndarray]:
 def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: float = KEEP, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs."""
     ship(docs.sparkSession)
-    model = fitted(sampled(labelled(docs, labels, label), label, sample), label, lambda t: sparse(t, bits), lambda *a: fit(*a, bits))
+    model = fitted(sampled(docs, labels, label, sample), label, lambda t: sparse(t, bits), lambda *a: fit(*a, bits))
     weights, bias = (model["w"], float(model["bias"][0])) if model else (np.zeros(FAMILIES << bits, np.float32), 35.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

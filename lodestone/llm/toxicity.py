@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .linear import fitted, labelled, platt, sampled, sigmoid
+from .linear import fitted, platt, sampled, sigmoid
 from .ppm import held_out
 from .runtime import ship
 
@@ -111,7 +111,7 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
     """doc_id, held_out, score, predicted: learned from rows of labels whose crc32(doc_id) mod modulus is not remainder."""
     ship(docs.sparkSession)
     out = held_out(F.col("doc_id"), modulus, remainder)
-    model = fitted(sampled(labelled(docs, labels, label, ~out), label, sample), label, sparse, fit)
+    model = fitted(sampled(docs, labels, label, sample, ~out), label, sparse, fit)
     if not model:
         model = {"keys": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros(0), "bias": np.zeros(1), "slope": np.array([1.0, 0.0])}
     model["v"] = model["v"].reshape(len(model["keys"]), -1) if len(model["keys"]) else np.zeros((0, 1))
