@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkit
 from .linear import fitted, platt, sampled, sigmoid
@@ -128,12 +127,17 @@ def repeats(part: textkit.Slice) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bincount(doc, minlength=len(part)) - np.diff(kept)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: float = KEEP, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs."""
+def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: float = KEEP, bits: int = BITS, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs.
+
+    carry: with all columns of docs but those of these names, so that a filter needs no join.
+    """
     ship(docs.sparkSession)
     model = fitted(sampled(docs, labels, label, sample), label, lambda t: sparse(t, bits), lambda *a: fit(*a, bits))
     weights, bias = (model["w"], float(model["bias"][0])) if model else (np.zeros(FAMILIES << bits, np.float32), 35.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    carried = [c for c in docs.columns if c not in names] if carry else ["doc_id"]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.reshape(FAMILIES, -1)
@@ -148,7 +152,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
                 points = part.per_doc(((part.raw & 0xC0) != 0x80) & ~textkit.SPACE[part.raw])
                 again, lines = repeats(part)
                 failed = (n < MIN_WORDS) | (100 * again > MAX_REPEATED * n)
+                kept = b.slice(part.first, len(part))
                 columns = [n, points, part.per_doc(SYMBOL[part.raw]), lines, again, failed, ~failed & (score >= keep), score]
-                yield pa.record_batch([b["doc_id"].slice(part.first, len(part)), *map(pa.array, columns)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"])
+                yield pa.record_batch([*(kept[c] for c in carried), *map(pa.array, columns)], [*carried, *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    facts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
+    rows = docs.select(*dict.fromkeys([*carried, "text"]))
+    return rows.mapInArrow(judged, f"{schema}, {facts}")
