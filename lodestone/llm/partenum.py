@@ -141,6 +141,19 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return light.join(side("a", "items"), "a").join(side("b", "items"), "b").where(common * den >= (F.col("n_a") + F.col("n_b") - common) * num).select("a", "b")
 
 
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """(sig, doc) of signatures with several sets; of signatures with the very same sets one is kept, as all give the same pairs."""
+    members = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y")).where("n > 1")
+    kept = members.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    return rows.join(kept, "sig", "left_semi")
+
+
+def _mixed(comp: DataFrame) -> DataFrame:
+    """Rows of signatures whose sets are still of several components."""
+    several = comp.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    return comp.join(several, "sig", "left_semi")
+
+
 def _stars(comp: DataFrame, turn: int) -> DataFrame:
     """For each signature whose sets are of several components: its pivot with each set of another component."""
     order = F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc")
@@ -151,10 +164,9 @@ def _stars(comp: DataFrame, turn: int) -> DataFrame:
 
 def _rest(comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of different components that share a signature and that sizes and sketches allow to be linked."""
-    mixed = comp.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     half = SKETCH // 2  # the sketch folded once, which keeps its bound
     facts = sets.select(F.col("doc_id").alias("doc"), "n", *(F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + half]).alias(f"s{i}") for i in range(half)))
-    left = cut(comp.join(mixed, "sig").join(facts, "doc"))
+    left = cut(comp.join(facts, "doc"))
     size = lambda c: F.col(f"{c}.n")
     apart = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(half)), F.lit(0))
     near = (F.least(size("l"), size("r")) * den >= F.greatest(size("l"), size("r")) * num) & (apart * (den + num) <= (size("l") + size("r")) * (den - num))
@@ -172,7 +184,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     copies = cut(base.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
     signed = rows.where("doc_id IS NOT NULL").mapInArrow(lambda it: _signed(it, width, num, den), "sig long, doc long")
     shared = signed.selectExpr("sig", "doc", "count(*) OVER (PARTITION BY sig) AS n").where("n > 1").join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
-    multi = cut(shared.selectExpr("sig", "doc", "count(*) OVER (PARTITION BY sig) AS n").where("n > 1").drop("n"))
+    multi = cut(_distinct_buckets(cut(shared)))
     wanted = cut(multi.select(F.col("doc").alias("doc_id")).distinct())
     # candidates are few beside the rows; their ids are broadcast only if counted small, else the texts are shuffled
     held = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -193,7 +205,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
         turn += 1
         if not full:
             labels = components(edges)
-            comp = cut(multi.join(labels, multi.doc == labels.id, "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp")))
+            comp = cut(_mixed(comp.select("sig", "doc").join(labels, F.col("doc") == F.col("id"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))))
     whole = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = components(whole if edges is None else whole.union(edges))
     out = base.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
