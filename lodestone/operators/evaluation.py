@@ -25,7 +25,9 @@ def metrics(found: DataFrame, truths: DataFrame, settings: DataFrame | None = No
 
     A query without truth has recall 1 if nothing was predicted for it. settings: the grid's rows (by), if any.
     """
-    every = truths.crossJoin(F.broadcast(settings)) if settings is not None else truths
+    every = truths
+    if settings is not None:  # each query under each setting, by an equi-join on the setting's number
+        every = truths.withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(settings.count() - 1)))).join(F.broadcast(settings), "setting")
     keys = [*by, "query_id"]
     rows = every.join(found, keys, "left").withColumns({"n_pred": F.coalesce("n_pred", F.lit(0)), "is_hit": F.col("hit").isNotNull()})
     truth = F.col("n_truth") > 0
@@ -55,9 +57,12 @@ def grid_search(candidates: DataFrame, truths: DataFrame, alphas: list[float], t
     """
     spark = candidates.sparkSession
     settings = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate((a, t) for a in alphas for t in thresholds)], "setting int, alpha double, threshold double")
-    rows = candidates.join(F.broadcast(settings), F.round(hybrid_score(F.col("cosine"), F.col("rerank"), F.col("alpha")), 9) >= F.col("threshold"))
+    # a candidate is repeated for every alpha, and then for those thresholds alone that it reaches
+    rows = candidates.select("*", F.posexplode(F.array(*map(F.lit, alphas))).alias("_a", "alpha")).withColumn("hybrid", F.round(hybrid_score(F.col("cosine"), F.col("rerank"), F.col("alpha")), 9))
+    reached = F.filter(F.sequence(F.lit(0), F.lit(len(thresholds) - 1)), lambda i: F.element_at(F.array(*map(F.lit, thresholds)), i + 1) <= F.col("hybrid"))
+    rows = rows.withColumn("_t", F.explode(reached)).withColumns({"setting": (F.col("_a") * len(thresholds) + F.col("_t")).cast("int"), "threshold": F.element_at(F.array(*map(F.lit, thresholds)), F.col("_t") + 1)})
     by = ("setting", "alpha", "threshold")
-    found = outcomes(rows, truths, F.lit(True), F.round(hybrid_score(F.col("cosine"), F.col("rerank"), F.col("alpha")), 9), by)
+    found = outcomes(rows, truths, F.lit(True), F.col("hybrid"), by)
     scored = metrics(found, truths, settings, by)
     order = F.struct("f1", "recall_at_3", "mrr_at_3", (-F.col("false_match_rate")).alias("v"), (-F.col("setting")).alias("i"))
     best = scored.where(F.col("false_match_rate") <= F.lit(baseline) + 1e-12).agg(F.max_by(F.struct("alpha", "threshold", "f1", "recall_at_3", "mrr_at_3", "false_match_rate"), order).alias("x")).select("x.*")
