@@ -25,9 +25,9 @@ def numbered(texts: DataFrame, answer_mark: str = "Answer:") -> DataFrame:
     rows = texts.select("id", F.posexplode(parts).alias("at", "block"))
     lines = F.transform(F.split("block", "\n"), strip)
     number = F.regexp_extract("block", r"^\s*([0-9]{1,4})\. ", 1).cast("int")
-    stem = F.regexp_replace(F.element_at(lines, 1), r"^[0-9]{1,4}\. ", "")
+    stem = F.regexp_replace(F.get(lines, F.lit(0)), r"^[0-9]{1,4}\. ", "")
     options = F.filter(lines, lambda x: x.rlike(r"^[A-Z]\. "))
-    answer = F.element_at(F.filter(lines, lambda x: x.startswith(answer_mark)), 1)
+    answer = F.get(F.filter(lines, lambda x: x.startswith(answer_mark)), F.lit(0))
     answer = strip(F.substring(answer, len(answer_mark) + 1, 1000))
     return rows.select("id", "at", number.alias("number"), stem.alias("question"), options.alias("options"), answer.alias("answer"), F.when(F.coalesce(answer, F.lit("")) == "", "no answer").otherwise("").alias("issue"))
 
@@ -41,21 +41,21 @@ def recovered(rows: DataFrame) -> DataFrame:
     seen = F.transform("options", lambda o: F.regexp_extract(o, r"^([A-Z])\. ", 1))
     wanted = F.slice(F.array(*map(F.lit, LETTERS)), F.lit(1), F.size("options") + 1)
     lacking = F.array_except(wanted, seen)
-    letter = F.element_at(lacking, 1)
+    letter = F.get(lacking, F.lit(0))
     parts = F.split("question", F.concat(F.lit(r"\s"), letter, F.lit(r"[. ]\s*(?=\p{L})")))
-    moved = strip(F.element_at(parts, 2))
+    moved = strip(F.get(parts, F.lit(1)))
     fits = (
         F.size("options").between(2, 25)
         & F.forall(seen, lambda x: x != "")
         & (F.array_sort(F.array_distinct(seen)) == seen)
         & (F.size(lacking) == 1)
         & (F.size(parts) == 2)
-        & (F.char_length(F.element_at(parts, 1)) >= 4)
+        & (F.char_length(F.get(parts, F.lit(0))) >= 4)
         & F.char_length(moved).between(1, 500)
         & ~moved.rlike(r"[\n.;!?。；！？]|\s[A-Z]\. ")
     )
     fits = F.coalesce(fits, F.lit(False))
-    return rows.withColumns({"repaired": fits, "options": F.when(fits, F.array_sort(F.concat("options", F.array(F.concat(letter, F.lit(". "), moved))))).otherwise(F.col("options")), "question": F.when(fits, strip(F.element_at(parts, 1))).otherwise(F.col("question"))})
+    return rows.withColumns({"repaired": fits, "options": F.when(fits, F.array_sort(F.concat("options", F.array(F.concat(letter, F.lit(". "), moved))))).otherwise(F.col("options")), "question": F.when(fits, strip(F.get(parts, F.lit(0)))).otherwise(F.col("question"))})
 
 
 def rule_errors() -> Column:
@@ -100,7 +100,7 @@ def prompt() -> Column:
 def sub_queries(stem: Column, answer: Column, kind: Column, chars: int = 500) -> Column:
     """Up to three texts to search for: stem and answer, the answer, and a case's longest sentence."""
     whole = F.trim(F.concat_ws(" ", F.substring(stem, 1, chars), answer))
-    longest = F.element_at(F.sort_array(F.transform(F.split(stem, r"[.!?。！？]"), lambda s: F.struct(F.char_length(F.trim(s)).alias("n"), F.substring(F.trim(s), 1, 220).alias("s"))), asc=False), 1)["s"]
+    longest = F.get(F.sort_array(F.transform(F.split(stem, r"[.!?。！？]"), lambda s: F.struct(F.char_length(F.trim(s)).alias("n"), F.substring(F.trim(s), 1, 220).alias("s"))), asc=False), F.lit(0))["s"]
     more = F.when(kind.isin("A2", "A3"), F.array(whole, answer, longest)).otherwise(F.array(whole))
     return F.slice(F.array_distinct(F.filter(more, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")), 1, 3)
 

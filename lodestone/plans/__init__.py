@@ -1,0 +1,4 @@
+"""Named queries: importing this package fills the catalogue."""
+
+from . import catalog, catalog_more  # noqa: F401
+from .catalog import ORACLES, QUERIES  # noqa: F401
