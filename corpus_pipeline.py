@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    return encoded(docs).select("doc_id", "source", "n_tokens", "ids")
+    return encoded(docs, decoded=False).select("doc_id", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages), ("mixing sources", mixture), ("SentencePiece", tokens)]
