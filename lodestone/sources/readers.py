@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_text(spark: SparkSession, path: str, fallback: str = "gb18030") -> DataFrame:
     """path and text of whole files: UTF-8, with or without a mark, else the fallback encoding."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(data: pd.Series) -> pd.Series:
         def one(raw: bytes) -> str:
