@@ -116,17 +116,17 @@ def removed(spans: list[dict] | None, length: int, run: int) -> list[tuple[int,
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with `text` less its repeated runs, and with n_repeated (chunks), removed (spans of bytes) and text_bytes.
 
-    Null texts become empty. Columns of docs that have these names are replaced.
+    Null texts become empty. Columns of docs that have these names are replaced, others carried.
     """
-    kept = docs.drop("n_repeated", "removed", "text_bytes")
-    spans = repeated_chunks(docs).select(F.col("doc_id").alias("_doc"), "spans")
-    joined = kept.withColumn("text", F.coalesce("text", F.lit(""))).join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    kept = docs.drop("n_repeated", "removed", "text_bytes", "_cdc_doc", "_cdc_spans")
+    spans = repeated_chunks(docs).select(F.col("doc_id").alias("_cdc_doc"), F.col("spans").alias("_cdc_spans"))
+    joined = kept.withColumn("text", F.coalesce("text", F.lit(""))).join(spans, F.col("doc_id") == F.col("_cdc_doc"), "left").drop("_cdc_doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_repeated int, removed array<struct<start:int,end:int>>, text_bytes long"
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, gone, sizes = [], [], [], []
-            for text, found in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
+            for text, found in zip(b["text"].to_pylist(), b["_cdc_spans"].to_pylist(), strict=True):
                 if not found:
                     texts.append(text)
                     counts.append(0)
@@ -144,8 +144,8 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
                 counts.append(len(found))
                 gone.append([{"start": x, "end": y} for x, y in cuts])
                 sizes.append(len(raw))
-            columns = [pa.array(texts, b["text"].type) if n == "text" else b[n] for n in b.schema.names if n != "spans"]
-            names = [n for n in b.schema.names if n != "spans"]
+            columns = [pa.array(texts, b["text"].type) if n == "text" else b[n] for n in b.schema.names if n != "_cdc_spans"]
+            names = [n for n in b.schema.names if n != "_cdc_spans"]
             yield pa.record_batch([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(sizes, pa.int64())], [*names, "n_repeated", "removed", "text_bytes"])
 
     return joined.mapInArrow(stripped, schema)

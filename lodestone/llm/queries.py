@@ -83,4 +83,28 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those queries that have any: near vectors and set joins by all pairs, mixing by the same hash and tables."""
+    return {
+        "op2_rabitq_neardup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda a: a IS NULL OR isnan(a) OR isinf(a))) = 0 AND len(list_filter(x, lambda a: a <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+comp AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, CAST((SELECT count(*) FROM links WHERE links.x = comp.vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM comp""",
+        "op6_partenum_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(generate_series(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = s.doc_id) AS component_id FROM s""",
+        "op9_poisson_mixing": """
+WITH sizes AS (SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS DOUBLE) AS size FROM documents GROUP BY source),
+rates AS (SELECT source, pow(size, 0.7) / (SELECT sum(pow(size, 0.7)) FROM sizes) * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes),
+steps AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS reached FROM rates CROSS JOIN (SELECT unnest(generate_series(0, 200)) AS k)),
+drawn AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, d.source, d.text_md5, CAST(count_if(u >= reached) AS BIGINT) AS n FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL),
+copies AS (SELECT doc_id, source, text_md5, CAST(n AS INTEGER) AS n_copies, CAST(unnest(generate_series(1, n)) AS INTEGER) AS copy FROM counted WHERE n > 0)
+SELECT doc_id, source, n_copies, copy, CAST(('0x' || substr(md5('18:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy), 1, 12)) AS BIGINT) / 281474976710656.0 AS shuffle_key, text_md5 FROM copies""",
+    }

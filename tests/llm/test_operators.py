@@ -1,0 +1,540 @@
+"""Each operator against brute force on small tables, and on rows with nulls, empty and long texts, ties and repeats."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.llm import cdc, components, ftrl, mixing, partenum, ppm, quality_rules, rabitq, reshard, spm, textkit, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "lorem ipsum dolor " * 20_000
+ODD = [
+    (1, "Alpha beta GAMMA delta\nepsilon zeta eta theta iota kappa lambda mu", "a"),
+    (2, "alpha beta gamma delta\nepsilon zeta eta theta iota kappa lambda mu", "a"),
+    (3, None, None),
+    (4, "", "b"),
+    (5, " \t\n\x0b\x0c\r ", "b"),
+    (6, "é ß 梦 ☃ " * 5, "b"),
+    (7, LONG, "c"),
+    (7, LONG, "c"),
+    (None, "no id here", "c"),
+    (8, "x" * 5000, "c"),
+    (9, "one", None),
+    (10, "one", "a"),
+]
+SCHEMA = "doc_id long, text string, source string"
+CLASH = ["score", "kept", "n", "sig", "block", "spans", "ids", "copy", "rate", "size", "component_id", "key", "label", "held_out"]
+
+
+def lower(x):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), x)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = spark.createDataFrame(ODD, SCHEMA)
+    return rows.withColumns({c: F.lit("clash") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark, sf):
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+# --- text primitives ---
+
+
+def test_words_and_windows_follow_their_definition():
+    found = [t or "" for _, t, _ in ODD]
+    for limit in (16, 1 << 20):
+        for part in textkit.slices(pa.array([t for _, t, _ in ODD]), limit):
+            start, end = part.bounds
+            mine = [bytes(part.raw[a:b]).decode() for a, b in zip(start, end, strict=True)]
+            theirs = [w for t in found[part.first : part.first + len(part)] for w in WORD.findall(t)]
+            assert mine == theirs
+            names = {}
+            for w, h in zip(map(lower, mine), part.words().tolist(), strict=True):
+                assert names.setdefault(w, h) == h
+            assert len(set(names.values())) == len(names)
+            _, offsets = textkit.shingles(part, 3)
+            for i in range(len(part)):
+                w = [lower(x) for x in WORD.findall(found[part.first + i])]
+                n = len({tuple(w[j : j + 3]) for j in range(len(w) - 2)}) if len(w) >= 3 else int(bool(w))
+                assert offsets[i + 1] - offsets[i] == n
+
+
+def test_lookup():
+    keys = np.unique(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000))
+    table = textkit.Lookup(keys, np.arange(len(keys)), -1)
+    assert (table.get(keys) == np.arange(len(keys))).all()
+    assert (table.get(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
+    assert (textkit.Lookup(np.zeros(0, np.int64), np.zeros(0), 7.0).get(keys[:3]) == 7).all()
+
+
+def test_components(spark):
+    edges = [(1, 2), (3, 2), (10, 9), (9, 8), (8, 7), (5, 5)] + [(100, i) for i in range(101, 160)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in (1, 2, 3)} == {1} and {got[i] for i in (7, 8, 9, 10)} == {7} and {got[i] for i in range(100, 160)} == {100} and 5 not in got
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 1: PPM ---
+
+
+def slow_ppm(train, text, order):
+    """Counts by dictionary, escape method C, exclusion by symbol sets."""
+    counts = Counter()
+    follows = {}
+    for t in train:
+        s = [0] * order + [b + 2 for b in t] + [1]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                follows.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    del counts
+    total = 0.0
+    s = [0] * order + [b + 2 for b in text] + [1]
+    for i in range(order, len(s)):
+        out = set()
+        for k in range(order, -1, -1):
+            seen = follows.get(tuple(s[i - k : i]))
+            if not seen:
+                continue
+            left = {x: n for x, n in seen.items() if x not in out}
+            if not left:
+                continue
+            n, d = sum(left.values()), len(left)
+            if s[i] in left:
+                total += math.log10(left[s[i]] / (n + d))
+                break
+            total += math.log10(d / (n + d))
+            out |= set(seen)
+        else:
+            total -= math.log10(257 - len(out))
+    return total
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_ppm_equals_a_slow_one(spark, texts, order):
+    rows = [(i, t[:400]) for i, t in list(texts.items())[:60]]
+    got = {r.doc_id: r for r in ppm.ppm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order).collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    train = [lower(t) for i, t in rows if not out[i]]
+    vocabulary = Counter(w for t in train for w in WORD.findall(t))
+    n, v = sum(vocabulary.values()) + len(train), len(vocabulary) + 1
+    for i, t in rows:
+        words = WORD.findall(lower(t))
+        base = sum(math.log10((vocabulary[w] + 1) / (n + v + 1)) for w in words) + math.log10((len(train) + 1) / (n + v + 1))
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.train_tokens, r.n_known) == (out[i], len(words) + 1, n, sum(w in vocabulary for w in words) + 1)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.score == pytest.approx(slow_ppm([x.encode() for x in train], lower(t).encode(), order), rel=1e-9)
+
+
+def test_ppm_on_odd_rows(odd, empty):
+    got = ppm.ppm_score(odd).collect()
+    assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+    assert ppm.ppm_score(empty).count() == 0
+
+
+# --- 2: embeddings ---
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(120, 16)).astype(np.float32)
+    near = np.concatenate([base[:40] + rng.normal(size=(40, 16)).astype(np.float32) * s for s in (0.01, 0.04, 0.05)])
+    whole = np.concatenate([base, near, base[:5], base[:1].repeat(30, 0)])
+    rows = [(int(i), v.tolist(), int(i) % 2) for i, v in enumerate(whole)]
+    more = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [1.0] * 8, 1), (1004, base[0].tolist(), None), (1005, [None] + [1.0] * 15, 1), (1006, [], 0), (None, base[0].tolist(), 0)]
+    df = spark.createDataFrame(rows + more, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())]))
+    got = {r.vec_id: r for r in rabitq.near_vectors(df.union(df.limit(3)).withColumn("rep", F.lit("clash"))).collect()}
+    assert len(got) == len(rows) + len(more)
+    u = whole.astype(float) / np.sqrt((whole.astype(float) ** 2).sum(1, keepdims=True))
+    link = (u @ u.T >= 0.98) & (np.arange(len(u))[:, None] % 2 == np.arange(len(u))[None] % 2)
+    np.fill_diagonal(link, False)
+    found = sum(got[i].n_links for i in range(len(u)))
+    assert found <= link.sum() and found >= 0.9 * link.sum()
+    assert all(got[i].n_links <= link[i].sum() for i in range(len(u)))
+    assert all(got[r[0]].n_links == 0 and got[r[0]].component_id == r[0] for r in more)
+    for i in range(len(u)):
+        assert got[i].component_id <= i and got[i].kept == (got[i].component_id == i)
+
+
+def test_chunks_of_a_large_bucket_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(rabitq, "CHUNK", 16)
+    rng = np.random.default_rng(2)
+    v = (rng.normal(size=12) + rng.normal(size=(90, 12)) * 0.001).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = rabitq.near_vectors(df).collect()
+    assert {r.n_links for r in got} == {89} and {r.component_id for r in got} == {0}
+
+
+def test_no_vectors(spark):
+    assert rabitq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# --- 3, 5, 7: classifiers ---
+
+
+def slow_rules(t):
+    w = WORD.findall(t or "")
+    runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often, covered = Counter(runs), set()
+    for i, r in enumerate(runs):
+        if often[r] > 1:
+            covered.update(range(i, i + 5))
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(docs, labels, texts):
+    got = quality_rules.quality_rules(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, chars, symbols, dup, again = slow_rules(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, again)
+        assert r.base_failed == (n < 10 or 100 * again > 20 * n)
+        assert not (r.base_failed and r.kept)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    judged = [(r.kept, y[r.doc_id]) for r in got if r.doc_id in y and not r.base_failed]
+    assert sum(k == bool(q) for k, q in judged) >= 0.95 * len(judged)
+
+
+def test_quality_rules_on_odd_rows(odd, empty, labels):
+    got = quality_rules.quality_rules(odd, labels).collect()
+    assert len(got) == len(ODD)
+    for r, (i, t, _) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0)), sorted(ODD, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
+        assert r.doc_id == i and (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == slow_rules(t)
+    assert quality_rules.quality_rules(empty, labels).count() == 0
+    carried = quality_rules.quality_rules(odd, labels.limit(0), carry=True)
+    assert {"source", "copy", "text"} <= set(carried.columns) and carried.where("kept AND NOT base_failed").count() > 0
+
+
+def check_scores(rows, labels, label, modulus, remainder, least):
+    y = {r.doc_id: r[label] for r in labels.collect()}
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == remainder) and 0 <= r.score <= 1
+    pairs = [(r.score, y[r.doc_id]) for r in rows if r.held_out and y.get(r.doc_id) is not None]
+    pos, neg = ([s for s, v in pairs if v == k] for k in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert auc >= least, auc
+
+
+def test_classifiers_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    check_scores(ftrl.ftrl_score(docs, labels).collect(), labels, "quality", 5, 0, 0.9)
+    check_scores(toxicity.toxicity_score(docs, labels).collect(), labels, "toxic", 3, 1, 0.7)
+
+
+def test_classifiers_on_odd_rows(odd, empty, labels):
+    none = labels.limit(0)
+    for f in (lambda d, x: ftrl.ftrl_score(d, x), lambda d, x: toxicity.toxicity_score(d, x)):
+        for marks in (labels, none, labels.withColumns({"quality": F.lit(1), "toxic": F.lit(None).cast("int")})):
+            got = f(odd, marks).collect()
+            assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+            assert {r.held_out for r in got if r.doc_id is None} == {False}
+        assert f(empty, labels).count() == 0
+
+
+def test_factors_learn_an_interaction():
+    """Two terms, each of them harmless alone, are toxic together: no sum of weights separates these."""
+    rng = np.random.default_rng(3)
+    index, offsets, y = [], [0], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.4
+        found = sorted({*(["g"] if a else []), *(["i"] if b else [])})
+        index += [{"g": 5, "i": 9}[x] for x in found] + [int(x) for x in set(rng.integers(100, 130, 3).tolist())]
+        offsets.append(len(index))
+        y.append(int(a and b))
+    y = np.array(y)
+    m = toxicity.fit(np.array(index), None, np.array(offsets), y, np.ones(len(y)))
+    v = m["v"].reshape(len(m["keys"]), -1)
+    place = {k: i for i, k in enumerate(m["keys"])}
+    z = lambda *ks: toxicity.machine(np.zeros(len(ks), int), np.array([place[k] for k in ks], int), 1, m["bias"][0], m["w"], v)[0][0]
+    assert z(5, 9) > 0 > max(z(5), z(9))
+
+
+# --- 4: pieces ---
+
+
+@pytest.fixture(scope="module")
+def piece_machine():
+    with open(spm.default_model(), "rb") as f:
+        return spm.Machine(f.read())
+
+
+def test_pieces_equal_the_library(piece_machine, texts):
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=spm.default_model())
+    rnd = random.Random(5)
+    alphabet = "aabcdef  \n\t▁éß梦☃,.0123456789\x00ABtheing'’“”—"
+    made = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(500)]
+    for t in [*texts.values(), *made, "  lead", "a    b", "x" * 300, LONG[:3000]]:
+        assert np.frombuffer(piece_machine.encode(t), np.int32).tolist() == library.encode(t)
+
+
+def test_unigram_shortest_path():
+    """A model of three pieces: the cheapest path wins over the longest piece."""
+
+    def field(n, data):
+        return bytes([n << 3 | 2, len(data)]) + data
+
+    def piece(text, score, kind=1):
+        import struct
+
+        return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
+
+    model = piece("<unk>", 0, 2) + piece("▁", -1) + piece("ab", -5) + piece("a", -1) + piece("b", -1) + piece("▁a", -1.5) + field(2, bytes([3 << 3, 1])) + field(3, b"")
+    m = spm.Machine(model)
+    assert m.path("▁ab") == ["▁a", "b"]
+    assert [m.text[i] for i in np.frombuffer(m.encode("a?b"), np.int32)] == ["▁a", "<unk>", "b"]
+
+
+def test_pieces_on_odd_rows(odd, empty):
+    got = spm.encoded(odd).collect()
+    assert len(got) == len(ODD) and all(r.decoded == (r.text or "") and r.round_trip for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4)} == {0}
+    assert spm.report(empty).count() == 0
+
+
+# --- 6: set join ---
+
+
+def slow_links(texts, width, num, den):
+    sets = {}
+    for i, t in texts.items():
+        w = [lower(x) for x in WORD.findall(t or "")]
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in texts}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    ids = list(texts)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            k = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and k * den >= num * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+@pytest.mark.parametrize(("width", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_set_join_finds_every_link(spark, width, num, den):
+    """Families of near copies with edits up to and beyond the threshold, of short and long sets."""
+    rng = np.random.default_rng(7)
+    rows = {}
+    for size in (1, 2, 3, 4, 6, 9, 14, 25, 40, 90, 200, 450):
+        for _ in range(3):
+            base = [f"w{x}" for x in rng.integers(0, 100_000, size)]
+            for edits in (0, 0, 1, 2, 3, 5, 8):
+                w = list(base)
+                for _ in range(min(edits, max(1, size // 12))):
+                    at = int(rng.integers(0, len(w)))
+                    w[at : at + 1] = [f"n{rng.integers(0, 10**9)}"] * int(rng.integers(0, 3))
+                rows[len(rows)] = " ".join(w)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.jaccard_components(df, width, num, den).collect()}
+    assert got == slow_links(rows, width, num, den)
+
+
+def test_set_join_on_odd_rows(odd, empty):
+    got = partenum.jaccard_components(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: (r.n_shingles, r.component_id) for r in got}
+    assert by[2][1] == 1 and by[10][1] == 9 and by[3] == (0, 3) and by[4] == (0, 4) and by[5] == (0, 5) and by[None][1] is None
+    assert partenum.jaccard_components(empty).count() == 0
+
+
+# --- 8: sharding ---
+
+
+def test_flow_moves_fewest_bytes():
+    flow = reshard.min_cost_flow([10, 0, 2], [4, 4, 4], [[0, 1, 1], [1, 0, 1], [1, 1, 0]])
+    assert flow[0] == [4, 4, 2] and flow[2] == [0, 0, 2]
+    assert reshard.min_cost_flow([6, 0], [3, 3], [[0, 5], [5, 0]]) == [[3, 3], [0, 0]]
+    far = reshard.min_cost_flow([4, 4, 0], [2, 2, 4], [[0, 9, 3], [9, 0, 4], [3, 4, 0]])
+    assert sum(c * f for a, b in zip([[0, 9, 3], [9, 0, 4], [3, 4, 0]], far, strict=True) for c, f in zip(a, b, strict=True)) == 14
+    with pytest.raises(ValueError, match="too small"):
+        reshard.min_cost_flow([5], [4], [[0]])
+
+
+def test_shards(docs, texts):
+    placed, plan = reshard.resharded(docs)
+    got = placed.collect()
+    assert len(got) == len(texts)
+    size = Counter()
+    for s in range(16):
+        mine = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        size[s] = sum(r["size"] for r in mine)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    assert max(size.values()) - min(size.values()) <= max(r["size"] for r in got)
+    moved = sum(r["size"] for r in got if r.old_shard != r.shard)
+    least = sum(sum(f) for f in plan.flow) - sum(plan.flow[i][i] for i in range(12))
+    assert moved <= least + 16 * max(r["size"] for r in got)
+
+
+def test_balanced_shards_stay(docs):
+    placed, _ = reshard.resharded(docs)
+    again, plan = reshard.resharded(docs.join(placed.select("doc_id", "shard"), "doc_id"), old_shard=F.col("shard"), old=16)
+    assert again.where("old_shard <> shard").count() <= 16
+    assert len(plan.touched) <= 16
+
+
+def test_only_touched_shards_are_written(spark, docs, tmp_path):
+    rows = docs.withColumn("old", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).cast("int"))
+    sizes = [r.s for r in rows.groupBy("old").agg(F.sum(F.octet_length("text") + 1).alias("s")).orderBy("old").collect()]
+    plan = reshard.rewritten(rows, str(tmp_path / "out"), F.col("old"), 2, shards=3, capacity=[sizes[0], sizes[1] - sizes[1] // 4, sizes[1] // 4 + 100_000])
+    assert plan.touched == {1, 2}
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.shard for r in out.select("shard").distinct().collect()} == {1, 2} and "lang" in out.columns
+
+
+def test_shards_on_odd_rows(odd, empty):
+    got = reshard.resharded(odd)[0].collect()
+    assert len(got) == len(ODD) and {r["size"] for r in got if r.doc_id in (3, 4)} == {1}
+    assert reshard.resharded(empty)[0].count() == 0
+
+
+# --- 9: mixing ---
+
+
+def test_counts_follow_the_poisson_quantile(spark, docs):
+    got = mixing.counted(docs, alpha=0.5).collect()
+    for r in got:
+        import hashlib
+
+        u = int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:12], 16) / 16**12
+        k, p, total = 0, math.exp(-r.rate), math.exp(-r.rate)
+        while u >= total:
+            k += 1
+            p *= r.rate / k
+            total += p
+        assert r.n_copies == k
+    size = sum(len((r.text or "").encode()) + 1 for r in got)
+    share = sum((len((r.text or "").encode()) + 1) * r.rate for r in got)
+    assert share == pytest.approx(size, rel=1e-9)
+
+
+def test_mean_and_order(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.when(F.col("id") % 4 == 0, "s").alias("source"))
+    got = mixing.replicated(rows, {"s": 3.0, None: 1.0}, epochs=2.0)
+    by = {r.source: r.n / k for r, k in ((r, 5000 if r.source else 15000) for r in got.groupBy("source").agg(F.count("*").alias("n")).collect())}
+    assert by["s"] == pytest.approx(6.0, rel=0.05) and by[None] == pytest.approx(2 / 3, rel=0.05)
+    assert got.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
+
+
+def test_mixing_on_odd_rows(odd, empty):
+    assert mixing.counted(odd).count() == len(ODD)
+    assert mixing.replicated(odd).where("copy < 1 OR copy > n_copies").count() == 0
+    assert mixing.replicated(empty).count() == 0
+    assert mixing.replicated(odd, {"nowhere": 1.0}).count() == 0
+
+
+# --- 10: chunks ---
+
+
+def slow_chunks(raw):
+    """Cut points by the definition, byte after byte."""
+    h, begin, spots = 0, 0, []
+    for i, b in enumerate(raw):
+        h = (2 * h + int(cdc.GEAR[b])) % 65536
+        if b in b" \t\n\x0b\x0c\r" and h >> (16 - cdc.BITS) == 0 and i + 1 >= 16:
+            spots.append(i + 1)
+    cuts = []
+    for s in [*(x for x in spots if x < len(raw)), len(raw)] if raw else []:
+        if s == len(raw) or s - begin >= cdc.MIN:
+            at = begin
+            while s - at > cdc.MAX:
+                nxt = begin + ((at - begin) // cdc.MAX + 1) * cdc.MAX
+                while raw[nxt] & 0xC0 == 0x80:
+                    nxt -= 1
+                cuts.append((at, nxt))
+                begin_, at = begin, nxt
+                if at >= s:
+                    break
+                del begin_
+                base = begin
+                k = (len([c for c in cuts if c[0] >= base])) + 1
+                if base + k * cdc.MAX >= s:
+                    break
+            cuts.append((at, s))
+            begin = s
+    return cuts
+
+
+def test_chunks_by_definition(texts):
+    found = [t for t in texts.values() if len(t) < 4000][:80] + ["", "é" * 10, "a b " * 100]
+    for part in textkit.slices(pa.array(found), 20_000):
+        start, end, doc = cdc.chunks(part)
+        for i in range(len(part)):
+            raw = found[part.first + i].encode()
+            mine = [(int(a - part.offsets[i]), int(b - part.offsets[i])) for a, b in zip(start[doc == i], end[doc == i], strict=True)]
+            assert [x for x in mine if x[1] - x[0] <= cdc.MAX] and mine == slow_chunks(raw) if raw else mine == []
+
+
+def test_chunks_resist_insertions(texts):
+    a, b = list(texts.values())[:2]
+    cut = lambda t: {t.encode()[i:j] for i, j in zip(*cdc.chunks(next(textkit.slices(pa.array([t]))))[:2], strict=True)}
+    whole, moved = cut(a + b), cut("put in front " + a + b)
+    assert len(whole & moved) >= len(whole) - 2
+
+
+def test_repeated_passages_go_once(spark, texts):
+    own = [t for t in texts.values() if len(WORD.findall(t)) >= 150][:12]
+    clean = [" ".join(f"{w}{i}{k}" for k, w in enumerate(WORD.findall(t)[:120])) for i, t in enumerate(own)]
+    passage = " ".join(f"shared{k * k}" for k in range(60))
+    rows = [(i, f"{t[:300]} {passage} {t[300:]}" if i % 3 == 0 else t) for i, t in enumerate(clean)]
+    rows += [(100, clean[1]), (101, clean[1])]
+    got = {r.doc_id: r for r in cdc.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts_ = dict(rows)
+    for i, t in texts_.items():
+        gone = sum(s.end - s.start for s in got[i].removed)
+        assert len(got[i].text.encode()) + gone == len(t.encode()) == got[i].text_bytes
+        if i in (100, 101):
+            assert got[i].text == ""
+        elif i % 3 == 0 and i:
+            assert gone >= 0.5 * len(passage), (i, gone)
+        else:
+            assert gone == 0 and got[i].text == t
+
+
+def test_chunks_on_odd_rows(odd, empty):
+    got = cdc.deduplicated(odd)
+    assert set(odd.columns) <= set(got.columns) | {"spans"} and got.count() == len(ODD)
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[None].text == "no id here" and by[3].text == "" and by[8].n_repeated > 0
+    assert cdc.deduplicated(empty).count() == 0
