@@ -154,12 +154,14 @@ def _mixed(comp: DataFrame) -> DataFrame:
     return comp.join(several, "sig", "left_semi")
 
 
-def _stars(comp: DataFrame, turn: int) -> DataFrame:
-    """For each signature whose sets are of several components: its pivot with each set of another component."""
+def _starred(comp: DataFrame, turn: int) -> DataFrame:
+    """(sig, doc, comp, p, q, n): each row of a signature of several components beside its pivot p, of component q.
+
+    n counts the signature's sets. The pivot's own row is gone: once compared with all others it has nothing left.
+    """
     order = F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc")
-    pivots = comp.groupBy("sig").agg(F.min_by(F.struct("doc", "comp"), order).alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    found = comp.join(pivots.select("sig", F.col("p.doc").alias("p"), F.col("p.comp").alias("q")), "sig").where("comp <> q")
-    return found.select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b"))
+    pivots = comp.groupBy("sig").agg(F.min_by(F.struct("doc", "comp"), order).alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
+    return comp.join(pivots.select("sig", F.col("p.doc").alias("p"), F.col("p.comp").alias("q"), "n"), "sig").where("doc <> p")
 
 
 def _rest(comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -190,12 +192,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     held = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = cut(rows.join(held, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, n long, sketch array<long>, items array<long>").dropDuplicates(["doc_id"]))
 
-    edges, tested, comp = None, None, multi.select("sig", "doc", F.col("doc").alias("comp"))
+    edges, tested, comp = None, None, multi.withColumn("comp", F.col("doc"))
     turn, full = 0, False
     while not full:
         full = turn == ROUNDS
-        pairs = (_rest(comp, sets, num, den) if full else _stars(comp, turn)).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if full:
+            pairs = _rest(comp, sets, num, den)
+        else:
+            stars = cut(_starred(comp, turn))
+            pairs = stars.where("comp <> q").select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b"))
+            comp = stars.where("n > 2").select("sig", "doc", "comp")  # of two sets none is left to compare
+        pairs = cut(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
         new = cut(verified(pairs, sets, num, den))
         if new.isEmpty():
