@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import ship
+from .runtime import lean, ship
 
 MIN, MAX, RUN, BITS = 32, 256, 96, 3
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
@@ -96,7 +96,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for each document that has any, its repeated chunks as sorted (at, size) of UTF-8 bytes."""
     ship(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = rows.mapInArrow(_chunked, "d1 long, d2 long, doc_id long, at int, size int")
+    made = rows.mapInArrow(lean(_chunked), "d1 long, d2 long, doc_id long, at int, size int")
     firsts = made.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.at").alias("g"))
     again = made.join(firsts, ["d1", "d2"]).where("doc_id <> f OR at <> g")
     return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
@@ -148,4 +148,4 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
             names = [n for n in b.schema.names if n != "_cdc_spans"]
             yield pa.record_batch([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(sizes, pa.int64())], [*names, "n_repeated", "removed", "text_bytes"])
 
-    return joined.mapInArrow(stripped, schema)
+    return joined.mapInArrow(lean(stripped), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textkit
 from .linear import fitted, platt, sampled, sigmoid
 from .ppm import held_out
-from .runtime import ship
+from .runtime import lean, ship
 
 BITS, SAMPLE, KEEP = 18, 12_000, 0.3
 
@@ -103,5 +103,5 @@ def ftrl_score(docs: DataFrame, labels: DataFrame, label: str = "quality", modul
                 dot = np.bincount(doc, shared.value[at], len(part)) / np.sqrt(np.maximum(1, np.diff(part.word_offsets)))
                 yield pa.record_batch([b["doc_id"].slice(part.first, len(part)), pa.array(sigmoid(dot + bias))], ["doc_id", "score"])
 
-    scored_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    scored_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(scored), "doc_id long, score double")
     return scored_.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))

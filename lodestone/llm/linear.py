@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import ship
+from .runtime import lean, ship
 
 UNIT = float(1 << 63)
 
@@ -66,8 +66,8 @@ def fitted(rows: DataFrame, label: str, features: Callable, fit: Callable) -> di
         found = fit(flat("i"), flat("v"), np.concatenate([[0], np.cumsum(counts)]), table["y"].to_numpy(), table["weight"].to_numpy())
         yield pa.record_batch([pa.array(list(found)), pa.array([str(x.dtype) for x in found.values()]), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["name", "kind", "data"])
 
-    sparse = rows.select("place", "text", F.col(label).cast("int").alias("y"), "weight").mapInArrow(made, "place double, y int, weight double, i array<long>, v array<float>")
-    arrays = sparse.repartition(1).sortWithinPartitions("place").mapInArrow(trained, "name string, kind string, data binary").collect()
+    sparse = rows.select("place", "text", F.col(label).cast("int").alias("y"), "weight").mapInArrow(lean(made), "place double, y int, weight double, i array<long>, v array<float>")
+    arrays = sparse.repartition(1).sortWithinPartitions("place").mapInArrow(lean(trained), "name string, kind string, data binary").collect()
     return {r["name"]: np.frombuffer(r["data"], r["kind"]) for r in arrays}
 
 

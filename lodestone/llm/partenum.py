@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .runtime import cut, ship
+from .runtime import cut, lean, ship
 
 ROUNDS, SKETCH, MANY = 4, 16, 24
 BROADCAST_IDS = 500_000
@@ -181,16 +181,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = cut(rows.mapInArrow(lambda it: _digested(it, width), "doc_id long, n long, d1 long, d2 long"))
+    base = cut(rows.mapInArrow(lean(lambda it: _digested(it, width)), "doc_id long, n long, d1 long, d2 long"))
     classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = cut(base.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
-    signed = rows.where("doc_id IS NOT NULL").mapInArrow(lambda it: _signed(it, width, num, den), "sig long, doc long")
+    signed = rows.where("doc_id IS NOT NULL").mapInArrow(lean(lambda it: _signed(it, width, num, den)), "sig long, doc long")
     shared = signed.selectExpr("sig", "doc", "count(*) OVER (PARTITION BY sig) AS n").where("n > 1").join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
     multi = cut(_distinct_buckets(cut(shared)))
     wanted = cut(multi.select(F.col("doc").alias("doc_id")).distinct())
     # candidates are few beside the rows; their ids are broadcast only if counted small, else the texts are shuffled
     held = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = cut(rows.join(held, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, n long, sketch array<long>, items array<long>").dropDuplicates(["doc_id"]))
+    sets = cut(rows.join(held, "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, width)), "doc_id long, n long, sketch array<long>, items array<long>").dropDuplicates(["doc_id"]))
 
     edges, tested, comp = None, None, multi.withColumn("comp", F.col("doc"))
     turn, full = 0, False

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import cut, partitions, ship
+from .runtime import cut, lean, partitions, ship
 
 ORDER = 5
 BITS, SYMBOL, SYMBOLS = 9, 511, 257
@@ -173,7 +173,7 @@ def ppm_score(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder:
     ship(spark)
     split = F.when(F.input_file_name() == "", F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(spark)))).otherwise(F.input_file_block_start())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.input_file_name(), split).alias("block"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
-    found = rows.select("block", "held_out", "text").mapInArrow(lambda it: _counts(it, order), "block long, kind byte, key long, n long")
+    found = rows.select("block", "held_out", "text").mapInArrow(lean(lambda it: _counts(it, order)), "block long, kind byte, key long, n long")
     # a row per block and key, with the count over all blocks; `first` marks one of each key's rows
     known = cut(found.selectExpr("block", "kind", "key", "n", "sum(n) OVER (PARTITION BY kind, key) AS total", "row_number() OVER (PARTITION BY kind, key ORDER BY block) = 1 AS first"))
     # each training text has an end besides its words; the end is one more word of the vocabulary
@@ -187,7 +187,7 @@ def ppm_score(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder:
     # a flush can give a block several rows of one key
     model = words.where("total > 0").select("block", "kind", "key", F.log10(F.col("total") + 1).alias("value")).unionByName(known.where(f"kind = {GRAM}").join(lengths, "key").select("block", "kind", "key", F.col("bits10").alias("value"))).withColumn("text", F.lit(None).cast("string"))
     texts = rows.select("block", F.lit(DOC).cast("byte").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("double").alias("value"), "text")
-    scored = model.unionByName(texts).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(lambda it: _scored(it, order), "doc_id long, n_tokens long, n_known long, logs double, score double")
+    scored = model.unionByName(texts).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(lean(lambda it: _scored(it, order)), "doc_id long, n_tokens long, n_known long, logs double, score double")
     end = float(np.log10(ends + 1))
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import textkit
 from .linear import fitted, platt, sampled, sigmoid
-from .runtime import ship
+from .runtime import lean, ship
 
 BITS, SAMPLE, KEEP, WINDOW = 16, 6_000, 0.5, 5
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -159,4 +159,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     facts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     rows = docs.select(*dict.fromkeys([*carried, "text"]))
-    return rows.mapInArrow(judged, f"{schema}, {facts}")
+    return rows.mapInArrow(lean(judged), f"{schema}, {facts}")

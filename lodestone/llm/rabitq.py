@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, partitions, ship
+from .runtime import cut, lean, partitions, ship
 
 EPSILON, MISS, CHUNK, ROOM = 4.0, 1e-4, 1024, 16
 
@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, low: float = 0.98, miss: float = MISS) -> D
     bits = int(np.clip(np.ceil(np.log2(max(1, most / ROOM))), 4, 24))
     agree = 1 - np.arccos(low) / np.pi
     tables = max(1, int(np.ceil(np.log(miss) / np.log(1 - agree**bits))))
-    keyed = classes.select("rep", F.col("label").cast("long").alias("label"), "copies", "embedding").mapInArrow(lambda it: _keyed(it, bits, tables), "rep long, label long, copies long, embedding array<float>, keys array<int>")
+    keyed = classes.select("rep", F.col("label").cast("long").alias("label"), "copies", "embedding").mapInArrow(lean(lambda it: _keyed(it, bits, tables)), "rep long, label long, copies long, embedding array<float>, keys array<int>")
     keyed = cut(keyed)
     rows = keyed.select("rep", "label", F.size("embedding").alias("dim"), F.posexplode("keys").alias("table", "key"))
     sizes = rows.groupBy("label", "dim", "table", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -158,7 +158,7 @@ def near_vectors(vectors: DataFrame, low: float = 0.98, miss: float = MISS) -> D
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("rep", "label", "dim", "table", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     unit_ = ["label", "dim", "table", "key", "x", "y"]
     work = dealt.join(keyed.select("rep", "copies", "embedding", "keys"), "rep").repartition(4 * partitions(spark), *unit_).sortWithinPartitions(*unit_)
-    found = cut(work.mapInArrow(lambda it: _units(it, low), "rep long, links long, root long"))
+    found = cut(work.mapInArrow(lean(lambda it: _units(it, low)), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.drop("embedding").join(links, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")

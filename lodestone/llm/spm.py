@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import ship
+from .runtime import lean, ship
 
-CACHE = 700_000
+CACHE = 400_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -148,7 +148,7 @@ class Machine:
         merge across the border may come first."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(list(a + b)) == [a, b] if self.tied and SPACE * 2 in a + b else self.bordered(a, b)
         return known
@@ -294,9 +294,10 @@ def encoded(docs: DataFrame, model_path: str | None = None, decoded: bool = True
             more = [pa.array([x.decode(errors="replace") for x in again], pa.string())] if decoded else []
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
             yield pa.record_batch([*b.columns, pa.array(np.diff(offsets)), lists, same, *more], [*b.schema.names, *made])
+        m.old = {}  # a worker without a task keeps the newer half
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{k} {v}" for k, v in made.items()])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame, model_path: str | None = None) -> DataFrame:

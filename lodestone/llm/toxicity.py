@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textkit
 from .linear import fitted, platt, sampled, sigmoid
 from .ppm import held_out
-from .runtime import ship
+from .runtime import lean, ship
 
 SAMPLE, MOST, RANK, FLAG = 12_000, 4096, 8, 0.7
 CLOSING = np.zeros(256, bool)
@@ -128,5 +128,5 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
                 z, _ = machine(row, at, len(part), float(model["bias"][0]), model["w"], model["v"])
                 yield pa.record_batch([b["doc_id"].slice(part.first, len(part)), pa.array(sigmoid(slope * z + shift))], ["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(scored), "doc_id long, score double")
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= flag).cast("int").alias("predicted"))
