@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import lean, ship
+from .runtime import cut, lean, ship
 
 MIN, MAX, RUN, BITS = 32, 256, 96, 3
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
@@ -98,6 +98,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = rows.mapInArrow(lean(_chunked), "d1 long, d2 long, doc_id long, at int, size int")
     firsts = made.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.at").alias("g"))
+    # as a table of its own, so that both sides of the join are plain shuffles, which skew handling can split
+    firsts = cut(firsts)
     again = made.join(firsts, ["d1", "d2"]).where("doc_id <> f OR at <> g")
     return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
 
