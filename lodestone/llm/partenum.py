@@ -183,7 +183,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut(rows.mapInArrow(lean(lambda it: _digested(it, width)), "doc_id long, n long, d1 long, d2 long"))
     classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = cut(base.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
+    # classes are cut so that both sides of the join are plain shuffles, which skew handling can split
+    copies = cut(base.join(cut(classes), ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
     signed = rows.where("doc_id IS NOT NULL").mapInArrow(lean(lambda it: _signed(it, width, num, den)), "sig long, doc long")
     shared = signed.selectExpr("sig", "doc", "count(*) OVER (PARTITION BY sig) AS n").where("n > 1").join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
     multi = cut(_distinct_buckets(cut(shared)))
