@@ -24,12 +24,12 @@ def support(sentence: Column, answer: Column, terms: Column) -> Column:
     return F.round(exact + 90 * share + words, 6)
 
 
-def scored_sentences(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, at, sentence, support for every sentence of the queries' chunks.
+def scored_sentences(chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, chunk_id, at, sentence, support for every sentence of the queries' chunks, with the columns to keep.
 
     chunks: query_id, chunk_id, chunk_text; queries: query_id, answer, stem.
     """
-    rows = chunks.select("query_id", "chunk_id", F.posexplode(sentences(F.col("chunk_text"))).alias("at", "sentence"))
+    rows = chunks.select("query_id", "chunk_id", *keep, F.posexplode(sentences(F.col("chunk_text"))).alias("at", "sentence"))
     asked = queries.select("query_id", "answer", F.array_distinct(tokens(F.col("stem"))).alias("terms"))
     return rows.join(asked, "query_id").withColumn("support", support(F.col("sentence"), F.col("answer"), F.col("terms"))).drop("terms", "answer")
 

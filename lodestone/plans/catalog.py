@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import browse, chunking, dedup, delta, evaluation, evidence, models, pages, questions, retrieval, review, status, tags
+from ..operators import chunking, evaluation, evidence, retrieval
 from ..sources.readers import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,12 @@ def cosine_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "chunk_id", "cosine", long("rank"), (F.col("cosine") >= 0.5).alias("is_matched"))
 
 
+def surely(best: DataFrame) -> DataFrame:
+    """With the confidence of each query's match, from its few best rows, in the partitions they are in."""
+    scores = F.collect_list("cosine").over(Window.partitionBy("query_id"))
+    return best.withColumn("_scores", scores).withColumn("confidence", scoring.match_confidence(F.col("_scores"), 0.5)).drop("_scores")
+
+
 HYBRID = CANDIDATES + """,
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM cand),
 conf AS (SELECT query_id, max(cosine) AS top_score, CASE WHEN max(cosine) < 0.5 THEN 'low' WHEN max(cosine) >= 0.70 OR count_if(cosine >= 0.65) >= 2 THEN 'strong' ELSE 'standard' END AS confidence FROM best WHERE rank <= 3 GROUP BY query_id)"""
@@ -137,9 +143,7 @@ conf AS (SELECT query_id, max(cosine) AS top_score, CASE WHEN max(cosine) < 0.5
 @query(HYBRID + " SELECT query_id, chunk_id, score AS bm25, cosine, CAST(rank AS BIGINT) AS rank, confidence FROM best JOIN conf USING (query_id) WHERE rank <= 3")
 def hybrid_retrieve_top3(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: windows, BM25 candidates over all of them, cosine, the best three, and how sure the match is."""
-    best = retrieval.diverse(candidates(spark, sf), 1, 0.5, 3)
-    sure = best.groupBy("query_id").agg(scoring.match_confidence(F.collect_list("cosine"), 0.5).alias("confidence"))
-    return best.join(sure, "query_id").select("query_id", "chunk_id", F.col("score").alias("bm25"), "cosine", long("rank"), "confidence")
+    return surely(retrieval.diverse(candidates(spark, sf), 1, 0.5, 3)).select("query_id", "chunk_id", F.col("score").alias("bm25"), "cosine", long("rank"), "confidence")
 
 
 @query(CANDIDATES.replace("PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM hits) WHERE r <= 20", "PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS r FROM hits JOIN (SELECT chunk_id, source FROM chunks) USING (chunk_id)) WHERE r <= 12") + """,
@@ -211,10 +215,9 @@ cov AS (SELECT o.query_id, count(*) AS covered FROM one o JOIN terms t USING (qu
 SELECT o.query_id, confidence, coalesce(covered, 0) AS covered, CASE WHEN o.cosine < 0.5 THEN 'C' WHEN confidence = 'strong' AND coalesce(covered, 0) >= least(2, greatest(1, coalesce(n_terms, 0))) THEN 'A' ELSE 'B' END AS grade
 FROM one o JOIN conf USING (query_id) LEFT JOIN ts USING (query_id) LEFT JOIN cov USING (query_id)""")
 def evidence_grade(spark: SparkSession, sf: str) -> DataFrame:
-    best = retrieval.diverse(candidates(spark, sf), 1, 0.5, 3)
-    sure = best.groupBy("query_id").agg(scoring.match_confidence(F.collect_list("cosine"), 0.5).alias("confidence"))
+    best = surely(retrieval.diverse(candidates(spark, sf), 1, 0.5, 3))
     words = asked(spark, sf).select("query_id", F.filter(text.query_terms(F.col("text")), lambda t: F.char_length(t).between(3, 21)).alias("terms"))
-    rows = best.where("rank = 1").join(chunked(spark, sf).select("chunk_id", "chunk_text"), "chunk_id").join(sure, "query_id").join(words, "query_id")
+    rows = best.where("rank = 1").join(chunked(spark, sf).select("chunk_id", "chunk_text"), "chunk_id").join(words, "query_id")
     covered = F.size(F.filter("terms", lambda t: F.contains(F.lower("chunk_text"), t)))
     return rows.select("query_id", "confidence", long(covered, "covered"), scoring.evidence_grade(F.col("confidence"), F.col("cosine"), 0.5, covered, F.size("terms")).alias("grade"))
 
@@ -241,14 +244,14 @@ scored AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text, answer,
   + coalesce(list_sum(list_transform(list_filter(stems, lambda t: length(t) BETWEEN 2 AND 24 AND contains(lower(sentence), t)), lambda t: least(8, length(t)))), 0), 6) AS support FROM big2)"""
 
 
-def supported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def supported(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = candidates(spark, sf).join(chunked(spark, sf).select("chunk_id", "chunk_text"), "chunk_id")
-    return rows, evidence.scored_sentences(rows, asked(spark, sf).select("query_id", F.substring("text", 1, 24).alias("answer"), F.col("text").alias("stem")))
+    return evidence.scored_sentences(rows, asked(spark, sf).select("query_id", F.substring("text", 1, 24).alias("answer"), F.col("text").alias("stem")), keep)
 
 
 @query(SENTENCES + " SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, md5(sentence) AS sentence_md5, support FROM scored")
 def sentence_support(spark: SparkSession, sf: str) -> DataFrame:
-    _, scored = supported(spark, sf)
+    scored = supported(spark, sf)
     return scored.select("query_id", "chunk_id", long("at", "pos"), F.md5("sentence").alias("sentence_md5"), "support")
 
 
@@ -256,8 +259,7 @@ def sentence_support(spark: SparkSession, sf: str) -> DataFrame:
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY support DESC, pos) AS r FROM scored)
 SELECT b.query_id, b.chunk_id, md5(substr(b.sentence, 1, 240)) AS excerpt_md5, b.support, md5(substr((SELECT string_agg(s.sentence, ' ' ORDER BY s.pos) FROM scored s WHERE s.query_id = b.query_id AND s.chunk_id = b.chunk_id AND s.pos BETWEEN b.pos - 1 AND b.pos + 1), 1, 320)) AS context_md5 FROM b WHERE r = 1""")
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    _, scored = supported(spark, sf)
-    return evidence.excerpts(scored).select("query_id", "chunk_id", F.md5("excerpt").alias("excerpt_md5"), "support", F.md5("context").alias("context_md5"))
+    return evidence.excerpts(supported(spark, sf)).select("query_id", "chunk_id", F.md5("excerpt").alias("excerpt_md5"), "support", F.md5("context").alias("context_md5"))
 
 
 @query(SENTENCES + r""",
@@ -265,9 +267,7 @@ g AS (SELECT *, regexp_replace(lower(chunk_text), '[^\p{L}\p{N}]', '', 'g') AS k
 g2 AS (SELECT *, CASE WHEN length(kc) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(generate_series(1, length(kc) - 1), lambda i: substr(kc, CAST(i AS INT), 2))) END AS bc FROM g)
 SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, length(sentence) >= 20 AND len(bs) > 0 AND len(list_intersect(bs, bc)) >= len(bs) * 0.55 AND len(list_filter(regexp_extract_all(sentence, '[0-9]+'), lambda n: NOT contains(chunk_text, n))) = 0 AS grounded FROM g2""")
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
-    rows, scored = supported(spark, sf)
-    both = scored.join(rows.select("query_id", "chunk_id", "chunk_text"), ["query_id", "chunk_id"])
-    return both.select("query_id", "chunk_id", long("at", "pos"), evidence.grounded(F.col("sentence"), F.col("chunk_text")).alias("grounded"))
+    return supported(spark, sf, ("chunk_text",)).select("query_id", "chunk_id", long("at", "pos"), evidence.grounded(F.col("sentence"), F.col("chunk_text")).alias("grounded"))
 
 
 @query(SENTENCES + """,
@@ -276,9 +276,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC,
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, book, doc_id % 2 ORDER BY support DESC, cosine DESC, chunk_id) AS b FROM o WHERE r = 1 OR (support > 0 AND cosine >= greatest(0.55, round(best - 0.15, 9))))
 SELECT query_id, chunk_id, book, 'E' || CAST(k AS VARCHAR) AS evidence_id, support FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, cosine DESC, chunk_id) AS k FROM f WHERE b = 1) WHERE k <= 4""")
 def best_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows, scored = supported(spark, sf)
-    best = scored.groupBy("query_id", "chunk_id").agg(F.max("support").alias("support"))
-    found = rows.join(best, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "book", (F.col("doc_id") % 2).alias("version"), "support", F.col("cosine").alias("score"), F.col("chunk_id").alias("at"))
+    best = supported(spark, sf, ("book", "doc_id", "cosine")).groupBy("query_id", "chunk_id", "book", "doc_id", "cosine").agg(F.max("support").alias("support"))
+    found = best.select("query_id", "chunk_id", "book", (F.col("doc_id") % 2).alias("version"), "support", F.col("cosine").alias("score"), F.col("chunk_id").alias("at"))
     return evidence.best_evidence(found).select("query_id", "chunk_id", "book", "evidence_id", "support")
 
 
