@@ -10,8 +10,8 @@ in over a third of the parts on average, so only other signatures matter there (
 
 Equal sets become one class by digest before anything else, and a task computes the signatures of one of its copies
 only. A signature's sets are compared with one pivot, so the pairs grow with the rows and not with the square of a
-group; pivots change from round to round, until a round links nothing. What is then left, pairs of different
-components that share a signature and were never compared, is compared in full where sizes and sketches allow a link. A parity sketch of each set, whose
+group. What is then left, pairs of different components that share a signature and were never compared, is compared
+in full where sizes and sketches allow a link; of signatures with the very same sets one is enough. A parity sketch of each set, whose
 difference never exceeds that of the sets, removes most pairs before exact sets are joined; every link is decided on
 the exact sets. No document collects its neighbours, and no link, class or fingerprint comes to the driver.
 
@@ -33,7 +33,7 @@ from . import textkit
 from .components import components
 from .runtime import cut, lean, ship
 
-ROUNDS, SKETCH, MANY = 4, 16, 24
+SKETCH, MANY = 16, 24
 BROADCAST_IDS = 500_000
 
 
@@ -154,14 +154,12 @@ def _mixed(comp: DataFrame) -> DataFrame:
     return comp.join(several, "sig", "left_semi")
 
 
-def _starred(comp: DataFrame, turn: int) -> DataFrame:
-    """(sig, doc, comp, p, q, n): each row of a signature of several components beside its pivot p, of component q.
+def _starred(rows: DataFrame) -> DataFrame:
+    """(sig, doc, p, n): each row of a signature beside its pivot p, the smallest set; n counts the signature's sets.
 
-    n counts the signature's sets. The pivot's own row is gone: once compared with all others it has nothing left.
+    The pivot's own row is gone: once compared with all others it has nothing left.
     """
-    order = F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc")
-    pivots = comp.groupBy("sig").agg(F.min_by(F.struct("doc", "comp"), order).alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
-    return comp.join(pivots.select("sig", F.col("p.doc").alias("p"), F.col("p.comp").alias("q"), "n"), "sig").where("doc <> p")
+    return rows.selectExpr("sig", "doc", "min(doc) OVER (PARTITION BY sig) AS p", "count(*) OVER (PARTITION BY sig) AS n").where("doc <> p")
 
 
 def _rest(comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,28 +191,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     held = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = cut(rows.join(held, "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, width)), "doc_id long, n long, sketch array<long>, items array<long>").dropDuplicates(["doc_id"]))
 
-    edges, tested, comp = None, None, multi.withColumn("comp", F.col("doc"))
-    turn, full = 0, False
-    while not full:
-        full = turn == ROUNDS
-        if full:
-            pairs = _rest(comp, sets, num, den)
-        else:
-            stars = cut(_starred(comp, turn))
-            pairs = stars.where("comp <> q").select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b"))
-            comp = stars.where("n > 2").select("sig", "doc", "comp")  # of two sets none is left to compare
-        pairs = cut(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        new = cut(verified(pairs, sets, num, den))
-        if new.isEmpty():
-            turn = ROUNDS  # pivots find no more: compare what is left
-            continue
-        edges = new if edges is None else edges.union(new)
-        turn += 1
-        if not full:
-            labels = components(edges)
-            comp = cut(_mixed(comp.select("sig", "doc").join(labels, F.col("doc") == F.col("id"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))))
+    stars = cut(_starred(multi))
+    first = cut(stars.select(F.col("doc").alias("a"), F.col("p").alias("b")).distinct())
+    edges = cut(verified(first, sets, num, den))
+    # of two sets none is left to compare
+    comp = cut(stars.where("n > 2").select("sig", "doc").join(components(edges), F.col("doc") == F.col("id"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp")))
+    rest = cut(_rest(_mixed(comp), sets, num, den).distinct().join(first, ["a", "b"], "left_anti"))
+    edges = edges.union(cut(verified(rest, sets, num, den)))
     whole = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(whole if edges is None else whole.union(edges))
+    labels = components(whole.union(edges))
     out = base.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
