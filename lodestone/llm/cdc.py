@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textkit
 from .runtime import cut, lean, ship
 
-MIN, MAX, RUN, BITS = 32, 256, 96, 3
+MIN, MAX, RUN, BITS = 40, 256, 112, 2
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
 
