@@ -184,7 +184,7 @@ def ppm_score(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder:
     seen = cut(known.where(f"kind = {GRAM} AND first AND total > 0").select("key", F.col("total").alias("n")))
     counts, contexts = trie(seen, order)
     lengths = cut(code_lengths(known.where(f"kind = {GRAM} AND first").select("key"), counts, contexts))
-    # a flush can give a block several rows of one key
+    # a block whose counts were flushed midway has several rows of one key, all with the same value
     model = words.where("total > 0").select("block", "kind", "key", F.log10(F.col("total") + 1).alias("value")).unionByName(known.where(f"kind = {GRAM}").join(lengths, "key").select("block", "kind", "key", F.col("bits10").alias("value"))).withColumn("text", F.lit(None).cast("string"))
     texts = rows.select("block", F.lit(DOC).cast("byte").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("double").alias("value"), "text")
     scored = model.unionByName(texts).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(lean(lambda it: _scored(it, order)), "doc_id long, n_tokens long, n_known long, logs double, score double")
