@@ -144,3 +144,10 @@ def by_lines(texts: DataFrame, most: int = 8000) -> DataFrame:
     empty = F.array().cast("array<string>")
     grown = F.aggregate(parts, empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.char_length(F.get(acc, F.size(acc) - 1)) + F.char_length(x) <= most), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.get(acc, F.size(acc) - 1), x)))).otherwise(F.concat(acc, F.array(x))))
     return texts.select("id", F.posexplode(grown).alias("at", "piece"))
+
+
+def organised(blocks: DataFrame, parse, model) -> DataFrame:
+    """Blocks parsed by rule, and only those that fail by a model; `by` says which. parse: blocks -> blocks with `issue`."""
+    done = parse(blocks)
+    good, bad = done.where("issue = ''"), done.where("issue <> ''")
+    return good.withColumn("by", F.lit("rule")).unionByName(model(bad).withColumn("by", F.lit("model")))

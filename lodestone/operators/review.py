@@ -74,3 +74,38 @@ def repair_reason(general: Column) -> Column:
             (~general & (F.size("evidence") == 0), "no evidence"),
         ]
     )
+
+
+def auto_reason(quick: Column) -> Column:
+    """Quick reasons first, then those of unattended approval. Further columns: errors (array of broken rules), bank,
+    manual, type, answer, n_options."""
+    letters = F.filter(F.split(F.regexp_replace(F.upper(F.coalesce("answer", F.lit(""))), r"[\s,;]", ""), ""), lambda x: x != "")
+    known = F.slice(F.array(*(F.lit(chr(65 + i)) for i in range(26))), F.lit(1), F.greatest(F.col("n_options"), F.lit(0)))
+    choice = F.col("type").isin("A1", "A2", "A3", "multiple")
+    return duty(
+        [
+            (quick != "", "quick review"),
+            (F.isnan("match_score") | (F.abs("match_score") == float("inf")), "score not finite"),
+            (F.coalesce("grade", F.lit("")) != "A", "grade not stated"),
+            (F.size("errors") > 0, "broken rules"),
+            (~F.col("bank").isin("school", "kaoyan"), "unknown bank"),
+            (F.col("manual"), "manual"),
+            (choice & ((F.size(letters) == 0) | (F.size(F.array_except(letters, known)) > 0)), "answer"),
+            (choice & (F.col("type") != "multiple") & (F.size(letters) != 1), "several answers"),
+        ]
+    )
+
+
+def package_problems() -> Column:
+    """All that a generated package lacks. Columns: blocks, evidence, tags, suggested, brief, generation_mode."""
+    sections = F.transform("blocks", lambda b: b["section"])
+    general = F.col("generation_mode") == "general_knowledge"
+    wanted = F.when(general, F.array(F.lit("answerBasis"), F.lit("pitfalls"))).otherwise(F.array(*map(F.lit, SECTIONS[:3])))
+    rules = [
+        (F.size(F.array_except(wanted, sections)) > 0, "sections"),
+        (~F.exists("blocks", lambda b: (b["section"] == "pitfalls") & (b["type"] == "table")), "table"),
+        (~general & (F.size("evidence") == 0), "evidence"),
+        (F.size(F.concat("tags", "suggested")) == 0, "tags"),
+        (F.trim(F.coalesce("brief", F.lit(""))) == "", "brief"),
+    ]
+    return F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in rules)))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaners, scoring
 from ..functions.text import key
-from ..operators import audits, edits, questions
+from ..operators import audits, browse, edits, questions, review, status
 from ..sources.readers import tables
 from .catalog import long, query
-from .catalog_more import BANK, bank
+from .catalog_more import BANK, REASON, bank, packages
 
 NOW = "1996-01-01"
 
@@ -275,3 +275,53 @@ def sub_queries(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables(spark, sf, "benchmark")[0].where("char_length(text) > 30")
     texts = questions.sub_queries(F.concat(F.lit("Short one. A clearly longer sentence than all the others "), F.lit("x" * 300), F.lit(".")), F.lit("answer"), F.when(F.col("item_id") % 2 == 0, "A2").otherwise("A1"))
     return rows.select("item_id", long(F.size(texts), "n"))
+
+
+@query("WITH " + BANK + """, x AS (SELECT *, id % 13 <> 0 AND id % 17 <> 0 AS has_table FROM bank) SELECT id, concat_ws(',', CASE WHEN id % 13 = 0 OR id % 17 = 0 THEN 'sections' END, CASE WHEN NOT has_table THEN 'table' END, CASE WHEN id % 43 = 0 THEN 'brief' END) AS problems FROM x""")
+def package_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return packages(spark, sf).select("id", F.array_join(review.package_problems(), ",").alias("problems"))
+
+
+@query("WITH " + BANK + f""", r AS (SELECT id, coalesce(grade, '') AS grade, {REASON} FROM bank) SELECT id, CASE WHEN reason <> '' THEN 'quick review' WHEN grade <> 'A' AND id % 2 = 0 THEN 'grade not stated' WHEN id % 3 = 0 AND id % 5 = 0 THEN 'unknown bank' WHEN id % 7 = 0 THEN 'answer' WHEN id % 11 = 0 THEN 'several answers' ELSE '' END AS reason FROM r""")
+def auto_review_reason(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("id")
+    rows = packages(spark, sf).withColumn("quick", review.quick_reason(0.75))
+    rows = rows.withColumns({"grade": F.when(i % 2 != 0, "A").otherwise(F.col("grade")), "errors": F.array().cast("array<string>"), "bank": F.when((i % 3 == 0) & (i % 5 == 0), "x").otherwise("school"), "manual": F.lit(False), "type": F.lit("A1"), "answer": F.when(i % 7 == 0, "Z").when(i % 11 == 0, "AB").otherwise("b"), "n_options": F.lit(4)})
+    return rows.select("id", review.auto_reason(F.col("quick")).alias("reason"))
+
+
+@query("SELECT o_custkey % 10 AS set_id, count(*) AS n_tokens FROM orders GROUP BY 1")
+def snapshot_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """A token per set, the same whatever the order of rows, another after any change: both are counted here."""
+    rows = tables(spark, sf, "orders")[0].withColumn("set_id", F.col("o_custkey") % 10)
+    token = lambda d: status.snapshot_token(d, ["set_id"], ["o_orderkey", "o_orderstatus"])
+    same = token(rows).join(token(rows.orderBy(F.desc("o_orderkey"))).withColumnRenamed("token", "again"), "set_id").where("token = again")
+    return same.select("set_id").join(rows.groupBy("set_id").agg(F.count("*").alias("n_tokens")), "set_id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND contains(lower(o_orderpriority), 'urgent') ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 5")
+def trash_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables(spark, sf, "orders")[0].where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prompt_text"), "o_orderdate")
+    trash = status.trashed(rows, F.col("o_orderdate")).drop("prompt_text")
+    return browse.searched(trash, "URGENT", ["id"], 5, 20).select("id")
+
+
+@query("SELECT item_id, 'b' || (item_id % 4) || '-' || substr(sha1('analysis' || chr(31) || text), 1, 6) AS block_id FROM benchmark")
+def block_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tables(spark, sf, "benchmark")[0].select("item_id", questions.block_id(F.col("item_id") % 4, F.lit("analysis"), F.col("text")).alias("block_id"))
+
+
+@query("SELECT item_id, CAST(20 AS BIGINT) AS steps, CAST(40 AS BIGINT) AS tokens FROM benchmark")
+def generation_trace(spark: SparkSession, sf: str) -> DataFrame:
+    steps = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.struct(F.lit(" stage\n").alias("stage"), F.when(i % 5 == 0, -1).otherwise(F.when(i <= 20, 2).otherwise(9)).alias("tokens")))
+    made = cleaners.trace(steps)
+    total = F.aggregate(made, F.lit(0), lambda a, s: a + s["tokens"])
+    return tables(spark, sf, "benchmark")[0].select("item_id", long(F.size(made), "steps"), long(total + F.size(F.filter(made, lambda s: s["tokens"] == 0)) * 2, "tokens"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'model' ELSE 'rule' END AS \"by\", CASE WHEN item_id % 3 = 0 THEN 'unknown' ELSE 'B' END AS answer FROM benchmark")
+def selective_organise(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("item_id")
+    blocks = tables(spark, sf, "benchmark")[0].select(i.alias("id"), F.concat(F.lit("1. stem\nA. x\nB. y"), F.when(i % 3 == 0, "").otherwise("\nAnswer: B")).alias("text"))
+    made = audits.organised(blocks, questions.numbered, lambda d: d.withColumn("answer", F.lit("unknown")))
+    return made.select(F.col("id").alias("item_id"), "by", "answer")
