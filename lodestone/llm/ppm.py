@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import cut, lean, partitions, ship
+from .runtime import cut, lean, partitions, ship, trim
 
 ORDER = 5
 BITS, SYMBOL, SYMBOLS = 9, 511, 257
@@ -90,6 +90,7 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
                     before = sum(len(x[0]) for x in pieces)
                     held[k] = [merged(pieces)]
                     size -= before - len(held[k][0][0])
+                    trim()
             if size > FLUSH:
                 yield from emitted()
                 size = 0
@@ -143,6 +144,7 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if blocks[a] != block:
                 block, parts, tables = blocks[a], {WORD: [], GRAM: []}, {}
+                trim()
             piece = batch.slice(a, b - a)
             if kinds[a] != DOC:
                 parts[kinds[a]].append((piece["key"].to_numpy(zero_copy_only=False), piece["value"].to_numpy(zero_copy_only=False)))
@@ -152,6 +154,7 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
                     keys, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
                     tables[kind] = textkit.Lookup(keys, values, np.nan if kind == GRAM else 0.0)
                 parts = {WORD: [], GRAM: []}
+                trim()
             for part in textkit.slices(piece["text"]):
                 packed, offsets = grams(part, order)
                 logs, bits = tables[WORD].get(part.words().view(np.int64)), tables[GRAM].get(packed)
