@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .runtime import lean, ship
 
-CACHE = 400_000
+CACHE, PAIRS = 700_000, 400_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -148,7 +148,7 @@ class Machine:
         merge across the border may come first."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(list(a + b)) == [a, b] if self.tied and SPACE * 2 in a + b else self.bordered(a, b)
         return known
