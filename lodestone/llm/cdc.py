@@ -4,8 +4,13 @@ A gear hash h = 2h + G[byte] is taken modulo 2^16, so its top bits depend on the
 after a white space where its top bits are zero, at least MIN bytes after it began; gaps of more than MAX bytes are cut
 at multiples of MAX, on a code point's start. An insertion therefore moves only the chunks it touches. Chunks are keyed
 by a 128-bit digest; of equal chunks the first by (doc_id, position) is the original. Runs of repeated chunks of at
-least RUN bytes are removed (a repeated passage of over 50 words holds such a run wherever its chunks fall); shorter
-ones, such as a common closing line, stay.
+least RUN bytes are removed; shorter ones, such as a common closing line, stay.
+
+Chunks need a few cuts to fall in step, so a passage of little over 50 words may hold no such run. Passages of WORDS
+words are therefore found exactly: of the hashes of SHINGLE words inside each window of WORDS words the least is its
+anchor, the same one wherever the same bytes stand. Windows with a repeated anchor, and no others, are compared by
+their own digests, and every window but the first by (doc_id, position) is removed, so a repeated passage of WORDS
+or more words goes whole, whatever its chunks. A text that repeats itself keeps its first period.
 
 The first of each digest is found by a pre-aggregated minimum, so a passage in a third of all texts costs one row per
 task; the join of chunks with repeated digests is left to skew handling. Spans are gathered by document, and a
@@ -29,8 +34,11 @@ from . import textkit
 from .runtime import cut, lean, ship
 
 MIN, MAX, RUN, BITS = 40, 256, 112, 2
+WORDS, SHINGLE = 51, 16
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
+DIGESTS = ["d1", "d2", "doc_id", "at", "size"]
+SPANS = "d1 long, d2 long, doc_id long, at int, size int"
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -81,73 +89,138 @@ def chunks(part: textkit.Slice, least: int = MIN, most: int = MAX, bits: int = B
     return start, end, np.searchsorted(offsets[1:], start, "right")
 
 
+def anchors(part: textkit.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first word of each anchor's shingle, and the first and the number of the windows of WORDS words it stands for."""
+    start, end = part.bounds
+    if len(start) < WORDS:
+        return (np.zeros(0, np.int64),) * 3
+    h = part.spans(part.prefix(lower=False), start[: len(start) - SHINGLE + 1], end[SHINGLE - 1 :])
+    # the place of the least hash, the last of equal ones, of 1, 2, 4, ... shingles, then of all in a window
+    least, size, whole = np.arange(len(h)), 1, WORDS - SHINGLE + 1
+    while size < whole:
+        step = min(size, whole - size)
+        a, b = least[:-step], least[step:]
+        least, size = np.where(h[b] <= h[a], b, a), size + step
+    window = np.flatnonzero(part.doc[: len(least)] == part.doc[WORDS - 1 :])
+    least = least[window]
+    new = np.flatnonzero(np.diff(least, prepend=-1))
+    return least[new], window[new], np.diff(np.append(new, len(least)))
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks, and anchors: `at` is the first window's word, `size` less than 0 the number of windows."""
     for b in batches:
         for part in textkit.slices(b["text"]):
             start, end, doc = chunks(part)
+            at, size = start - part.offsets[doc], end - start
+            anchor, window, count = anchors(part)
+            if len(anchor):
+                first, last = part.bounds
+                start, end = np.concatenate([start, first[anchor]]), np.concatenate([end, last[anchor + SHINGLE - 1]])
+                doc = np.concatenate([doc, part.doc[window]])
+                at, size = np.concatenate([at, window - part.word_offsets[part.doc[window]]]), np.concatenate([size, -count])
             ids = b["doc_id"].slice(part.first, len(part)).to_numpy(zero_copy_only=False)[doc]
             d1 = part.spans(part.prefix(lower=False), start, end)
             d2 = part.spans(part.prefix(lower=False, base=OTHER), start, end, base=OTHER)
-            at = start - part.offsets[doc]
-            yield pa.record_batch([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array((end - start).astype(np.int32))], ["d1", "d2", "doc_id", "at", "size"])
+            d2[size < 0] ^= np.uint64(2**64 - 1)  # an anchor is never a chunk
+            yield pa.record_batch([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], DIGESTS)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): for each document that has any, its repeated chunks as sorted (at, size) of UTF-8 bytes."""
-    ship(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = rows.mapInArrow(lean(_chunked), "d1 long, d2 long, doc_id long, at int, size int")
+def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of WORDS words named by `ranges`, as spans of bytes."""
+    for b in batches:
+        for part in textkit.slices(b["text"]):
+            ranges = b["ranges"].slice(part.first, len(part))
+            doc = np.repeat(np.arange(len(part)), ranges.value_lengths().to_numpy(zero_copy_only=False))
+            at, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
+            doc, at = np.repeat(doc, -size), np.repeat(at, -size) + np.arange(-size.sum()) - np.repeat(np.cumsum(-size) + size, -size)
+            at = at + part.word_offsets[doc]
+            inside = at + WORDS <= part.word_offsets[doc + 1]  # but for another text of the same id, all are
+            doc, at = doc[inside], at[inside]
+            start, end = part.bounds[0][at], part.bounds[1][at + WORDS - 1]
+            ids = b["doc_id"].slice(part.first, len(part)).to_numpy(zero_copy_only=False)[doc]
+            d1 = part.spans(part.prefix(lower=False), start, end)
+            d2 = part.spans(part.prefix(lower=False, base=OTHER), start, end, base=OTHER)
+            yield pa.record_batch([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ids), pa.array((start - part.offsets[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32))], DIGESTS)
+
+
+def _again(made: DataFrame) -> DataFrame:
+    """Rows of made whose digest is not the first, and anchors of a digest that any other has."""
     firsts = made.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.at").alias("g"))
     # as a table of its own, so that both sides of the join are plain shuffles, which skew handling can split
     firsts = cut(firsts)
-    again = made.join(firsts, ["d1", "d2"]).where("doc_id <> f OR at <> g")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
+    return made.join(firsts, ["d1", "d2"]).where("size < 0 OR doc_id <> f OR at <> g")
+
 
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans, ranges): for each document that has any, its repeated chunks as sorted (at, size) of UTF-8 bytes,
+    and the windows of its repeated anchors."""
+    ship(docs.sparkSession)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = rows.mapInArrow(lean(_chunked), SPANS)
+    pick = lambda kind: F.sort_array(F.collect_set(F.when(kind, F.struct("at", "size"))))
+    return _again(made).groupBy("doc_id").agg(pick(F.col("size") > 0).alias("spans"), pick(F.col("size") < 0).alias("ranges"))
 
-def removed(spans: list[dict] | None, length: int, run: int) -> list[tuple[int, int]]:
-    """Maximal runs of neighbouring repeated chunks of `run` bytes or more, or of the whole text."""
+
+def repeated_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, passages): repeated windows of WORDS words as sorted (at, size) of UTF-8 bytes; found: repeated_chunks()."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(found.where("size(ranges) > 0").select("doc_id", "ranges"), "doc_id")
+    made = cut(rows.mapInArrow(lean(_windowed), SPANS))
+    return _again(made).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("passages"))
+
+
+def removed(spans: list[dict] | None, length: int, run: int, passages: list[dict] | None = None) -> list[tuple[int, int]]:
+    """Maximal runs of neighbouring repeated chunks of `run` bytes or more, or of the whole text, and all passages."""
     out: list[list[int]] = []
     for s in spans or ():
         if out and out[-1][1] == s["at"]:
             out[-1][1] += s["size"]
         else:
             out.append([s["at"], s["at"] + s["size"]])
-    return [(a, b) for a, b in out if b - a >= run or b - a == length]
+    gone: list[tuple[int, int]] = []
+    for a, b in sorted([(a, b) for a, b in out if b - a >= run or b - a == length] + [(p["at"], p["at"] + p["size"]) for p in passages or ()]):
+        if gone and a <= gone[-1][1]:
+            gone[-1] = gone[-1][0], max(b, gone[-1][1])
+        else:
+            gone.append((a, b))
+    return gone
 
 
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with `text` less its repeated runs, and with n_repeated (chunks), removed (spans of bytes) and text_bytes.
+    """docs with `text` less its repeated runs, and with n_repeated (chunks, or windows where no chunk is), removed (spans of bytes) and text_bytes.
 
     Null texts become empty. Columns of docs that have these names are replaced, others carried.
     """
-    kept = docs.drop("n_repeated", "removed", "text_bytes", "_cdc_doc", "_cdc_spans")
-    spans = repeated_chunks(docs).select(F.col("doc_id").alias("_cdc_doc"), F.col("spans").alias("_cdc_spans"))
+    kept = docs.drop("n_repeated", "removed", "text_bytes", "_cdc_doc", "_cdc_spans", "_cdc_passages")
+    found = cut(repeated_chunks(docs))
+    spans = found.join(repeated_windows(docs, found), "doc_id", "left").select(F.col("doc_id").alias("_cdc_doc"), F.col("spans").alias("_cdc_spans"), F.col("passages").alias("_cdc_passages"))
     joined = kept.withColumn("text", F.coalesce("text", F.lit(""))).join(spans, F.col("doc_id") == F.col("_cdc_doc"), "left").drop("_cdc_doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_repeated int, removed array<struct<start:int,end:int>>, text_bytes long"
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, gone, sizes = [], [], [], []
-            for text, found in zip(b["text"].to_pylist(), b["_cdc_spans"].to_pylist(), strict=True):
-                if not found:
+            for text, found, passages in zip(b["text"].to_pylist(), b["_cdc_spans"].to_pylist(), b["_cdc_passages"].to_pylist(), strict=True):
+                if not found and not passages:
                     texts.append(text)
                     counts.append(0)
                     gone.append([])
                     sizes.append(len(text.encode()))
                     continue
                 raw = text.encode()
-                cuts = removed(found, len(raw), run)
+                cuts = removed(found, len(raw), run, passages)
                 at, pieces = 0, []
                 for start, end in cuts:
                     pieces.append(raw[at:start])
                     at = end
                 pieces.append(raw[at:])
                 texts.append(b"".join(pieces).decode())
-                counts.append(len(found))
+                counts.append(len(found or passages))
                 gone.append([{"start": x, "end": y} for x, y in cuts])
                 sizes.append(len(raw))
-            columns = [pa.array(texts, b["text"].type) if n == "text" else b[n] for n in b.schema.names if n != "_cdc_spans"]
-            names = [n for n in b.schema.names if n != "_cdc_spans"]
+            columns = [pa.array(texts, b["text"].type) if n == "text" else b[n] for n in b.schema.names if n not in ("_cdc_spans", "_cdc_passages")]
+            names = [n for n in b.schema.names if n not in ("_cdc_spans", "_cdc_passages")]
             yield pa.record_batch([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(sizes, pa.int64())], [*names, "n_repeated", "removed", "text_bytes"])
 
     return joined.mapInArrow(lean(stripped), schema)

@@ -538,3 +538,19 @@ def test_chunks_on_odd_rows(odd, empty):
     by = {r.doc_id: r for r in got.collect()}
     assert by[None].text == "no id here" and by[3].text == "" and by[8].n_repeated > 0
     assert cdc.deduplicated(empty).count() == 0
+
+
+def test_passages_of_51_short_words_go_whole(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrst"), n))
+    prose = lambda n, most: " ".join(word(rng.integers(1, most + 1)) for _ in range(n))
+    rows, shared = [], []
+    for i in range(150):
+        shared.append(prose(51, 4))
+        rows += [(2 * i + k, f"{prose(60 + i % 7 + 9 * k, 9)} {shared[i]} {prose(40, 9)}") for k in (0, 1)]
+    got = {r.doc_id: r for r in cdc.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i, p in enumerate(shared) if p in got[2 * i + 1].text or not got[2 * i + 1].n_repeated]
+    assert missed == [] and all(got[2 * i].text == rows[2 * i][1] for i in range(150))
+    for i in range(150):
+        front, back = rows[2 * i + 1][1].split(shared[i])
+        assert got[2 * i + 1].text.split() == (front + back).split()
