@@ -12,6 +12,11 @@ anchor, the same one wherever the same bytes stand. Windows with a repeated anch
 their own digests, and every window but the first by (doc_id, position) is removed, so a repeated passage of WORDS
 or more words goes whole, whatever its chunks. A text that repeats itself keeps its first period.
 
+Cuts at multiples of MAX do not resist shifts, so text without white space (scripts without spaces, other separators,
+encoded data) depends on the windows: a word of more than LONG bytes counts by its parts, which begin at every code
+point outside ASCII and where the top bits of the gear hash are zero. A passage of WORDS such parts goes from its first
+to its last part, but for one of fewer bytes than WORDS words have at least, such as a ruled line.
+
 The first of each digest is found by a pre-aggregated minimum, so a passage in a third of all texts costs one row per
 task; the join of chunks with repeated digests is left to skew handling. Spans are gathered by document, and a
 document's chunks are bounded by its own length. No digest comes to the driver.
@@ -24,6 +29,7 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,7 @@ from . import textkit
 from .runtime import cut, lean, ship
 
 MIN, MAX, RUN, BITS = 40, 256, 112, 2
-WORDS, SHINGLE = 51, 16
+WORDS, SHINGLE, LONG = 51, 16, 32
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
 DIGESTS = ["d1", "d2", "doc_id", "at", "size"]
@@ -89,9 +95,38 @@ def chunks(part: textkit.Slice, least: int = MIN, most: int = MAX, bits: int = B
     return start, end, np.searchsorted(offsets[1:], start, "right")
 
 
-def anchors(part: textkit.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first word of each anchor's shingle, and the first and the number of the windows of WORDS words it stands for."""
+@dataclass
+class Units:
+    """Words of a slice, or parts of long ones: their bytes, documents, and the first unit of each document."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    offsets: np.ndarray
+
+
+def units(part: textkit.Slice) -> Units:
     start, end = part.bounds
+    long = end - start > LONG
+    if not long.any():
+        return Units(start, end, part.doc, part.word_offsets)
+    raw = part.raw
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[start[long]] += 1
+    inside[end[long]] -= 1  # a text may end where the next begins
+    inside = np.cumsum(inside, dtype=np.int8)[:-1] > 0
+    spot = np.flatnonzero(inside[1:] & inside[:-1] & (raw[1:] & 0xC0 != 0x80)) + 1
+    into = spot - start[np.searchsorted(start, spot, "right") - 1]
+    due = (into >= 16) & (gear(raw)[spot - 1] >> np.uint16(16 - BITS) == 0)  # a hash must not reach into the word before
+    spot = spot[(into > 0) & (due | (raw[spot] >= 0x80))]
+    start, end = np.sort(np.concatenate([start, spot])), np.sort(np.concatenate([end, spot]))
+    doc = np.searchsorted(part.offsets[1:], start, "right")
+    return Units(start, end, doc, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(part)))]))
+
+
+def anchors(part: textkit.Slice, every: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first unit of each anchor's shingle, and the first and the number of the windows of WORDS units it stands for."""
+    start, end = every.start, every.end
     if len(start) < WORDS:
         return (np.zeros(0, np.int64),) * 3
     h = part.spans(part.prefix(lower=False), start[: len(start) - SHINGLE + 1], end[SHINGLE - 1 :])
@@ -101,24 +136,24 @@ def anchors(part: textkit.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         step = min(size, whole - size)
         a, b = least[:-step], least[step:]
         least, size = np.where(h[b] <= h[a], b, a), size + step
-    window = np.flatnonzero(part.doc[: len(least)] == part.doc[WORDS - 1 :])
+    window = np.flatnonzero(every.doc[: len(least)] == every.doc[WORDS - 1 :])
     least = least[window]
     new = np.flatnonzero(np.diff(least, prepend=-1))
     return least[new], window[new], np.diff(np.append(new, len(least)))
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks, and anchors: `at` is the first window's word, `size` less than 0 the number of windows."""
+    """Chunks, and anchors: `at` is the first window's unit, `size` less than 0 the number of windows."""
     for b in batches:
         for part in textkit.slices(b["text"]):
             start, end, doc = chunks(part)
             at, size = start - part.offsets[doc], end - start
-            anchor, window, count = anchors(part)
+            found = units(part)
+            anchor, window, count = anchors(part, found)
             if len(anchor):
-                first, last = part.bounds
-                start, end = np.concatenate([start, first[anchor]]), np.concatenate([end, last[anchor + SHINGLE - 1]])
-                doc = np.concatenate([doc, part.doc[window]])
-                at, size = np.concatenate([at, window - part.word_offsets[part.doc[window]]]), np.concatenate([size, -count])
+                start, end = np.concatenate([start, found.start[anchor]]), np.concatenate([end, found.end[anchor + SHINGLE - 1]])
+                doc = np.concatenate([doc, found.doc[window]])
+                at, size = np.concatenate([at, window - found.offsets[found.doc[window]]]), np.concatenate([size, -count])
             ids = b["doc_id"].slice(part.first, len(part)).to_numpy(zero_copy_only=False)[doc]
             d1 = part.spans(part.prefix(lower=False), start, end)
             d2 = part.spans(part.prefix(lower=False, base=OTHER), start, end, base=OTHER)
@@ -127,17 +162,18 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of WORDS words named by `ranges`, as spans of bytes."""
+    """The windows of WORDS units named by `ranges`, as spans of bytes."""
     for b in batches:
         for part in textkit.slices(b["text"]):
             ranges = b["ranges"].slice(part.first, len(part))
             doc = np.repeat(np.arange(len(part)), ranges.value_lengths().to_numpy(zero_copy_only=False))
             at, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
             doc, at = np.repeat(doc, -size), np.repeat(at, -size) + np.arange(-size.sum()) - np.repeat(np.cumsum(-size) + size, -size)
-            at = at + part.word_offsets[doc]
-            inside = at + WORDS <= part.word_offsets[doc + 1]  # but for another text of the same id, all are
+            found = units(part)
+            at = at + found.offsets[doc]
+            inside = at + WORDS <= found.offsets[doc + 1]  # but for another text of the same id, all are
             doc, at = doc[inside], at[inside]
-            start, end = part.bounds[0][at], part.bounds[1][at + WORDS - 1]
+            start, end = found.start[at], found.end[at + WORDS - 1]
             ids = b["doc_id"].slice(part.first, len(part)).to_numpy(zero_copy_only=False)[doc]
             d1 = part.spans(part.prefix(lower=False), start, end)
             d2 = part.spans(part.prefix(lower=False, base=OTHER), start, end, base=OTHER)
@@ -163,7 +199,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, passages): repeated windows of WORDS words as sorted (at, size) of UTF-8 bytes; found: repeated_chunks()."""
+    """(doc_id, passages): repeated windows of WORDS units as sorted (at, size) of UTF-8 bytes; found: repeated_chunks()."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(found.where("size(ranges) > 0").select("doc_id", "ranges"), "doc_id")
     made = cut(rows.mapInArrow(lean(_windowed), SPANS))
@@ -171,24 +207,25 @@ def repeated_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def removed(spans: list[dict] | None, length: int, run: int, passages: list[dict] | None = None) -> list[tuple[int, int]]:
-    """Maximal runs of neighbouring repeated chunks of `run` bytes or more, or of the whole text, and all passages."""
-    out: list[list[int]] = []
-    for s in spans or ():
-        if out and out[-1][1] == s["at"]:
-            out[-1][1] += s["size"]
-        else:
-            out.append([s["at"], s["at"] + s["size"]])
-    gone: list[tuple[int, int]] = []
-    for a, b in sorted([(a, b) for a, b in out if b - a >= run or b - a == length] + [(p["at"], p["at"] + p["size"]) for p in passages or ()]):
-        if gone and a <= gone[-1][1]:
-            gone[-1] = gone[-1][0], max(b, gone[-1][1])
+    """Maximal runs of neighbouring repeated chunks of `run` bytes or more, or of the whole text, and of passages."""
+    chunked, worded = ([(s["at"], s["at"] + s["size"]) for s in x or ()] for x in (spans, passages))
+    long = [x for x in _merged(chunked) if x[1] - x[0] >= run or x[1] - x[0] == length]
+    return _merged(sorted(long + [x for x in _merged(worded) if x[1] - x[0] >= 2 * WORDS - 1]))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans that touch or overlap, as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            gone.append((a, b))
-    return gone
+            out.append((a, b))
+    return out
 
 
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with `text` less its repeated runs, and with n_repeated (chunks, or windows where no chunk is), removed (spans of bytes) and text_bytes.
+    """docs with `text` less its repeated runs, and with n_repeated (chunks, or removed spans where no chunk is), removed (spans of bytes) and text_bytes.
 
     Null texts become empty. Columns of docs that have these names are replaced, others carried.
     """
@@ -216,7 +253,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
                     at = end
                 pieces.append(raw[at:])
                 texts.append(b"".join(pieces).decode())
-                counts.append(len(found or passages))
+                counts.append(len(found or cuts))
                 gone.append([{"start": x, "end": y} for x, y in cuts])
                 sizes.append(len(raw))
             columns = [pa.array(texts, b["text"].type) if n == "text" else b[n] for n in b.schema.names if n not in ("_cdc_spans", "_cdc_passages")]

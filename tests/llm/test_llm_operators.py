@@ -554,3 +554,19 @@ def test_passages_of_51_short_words_go_whole(spark):
     for i in range(150):
         front, back = rows[2 * i + 1][1].split(shared[i])
         assert got[2 * i + 1].text.split() == (front + back).split()
+
+
+def test_passages_without_spaces_go_wherever_they_stand(spark):
+    rng = np.random.default_rng(4)
+    kinds = [lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n // 3))), lambda n: "".join(rng.choice(list("abcdefABCDEF0123456789+/"), n)), lambda n: "\u00a0".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n // 7))]
+    rows, shared = [], []
+    for i in range(90):
+        make = kinds[i % 3]
+        shared.append(make(1200))
+        rows += [(2 * i + k, make(400 + 5 * i + 111 * k) + shared[i] + make(350)) for k in (0, 1)]
+    got = {r.doc_id: r for r in cdc.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(90):
+        assert sum(s.end - s.start for s in got[2 * i + 1].removed) >= 1100, i
+        assert got[2 * i].text == rows[2 * i][1]
+    lines = [(i, f"{i} first{i * i}\n{'=' * 100}\nlast{i * 7}") for i in range(20)]
+    assert all(r.removed == [] for r in cdc.deduplicated(spark.createDataFrame(lines, "doc_id long, text string")).collect())
