@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut, drop_cut
+
 SHARDS, OLD_SHARDS, BLOCKS, SPLIT, CELL = 16, 12, 1024, 64, 50_000
 
 
@@ -120,15 +122,16 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def resharded(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, old: int = OLD_SHARDS, capacity: list[int] | None = None, cost: list[list[int]] | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
+def resharded(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, old: int = OLD_SHARDS, capacity: list[int] | None = None, cost: list[list[int]] | None = None, blocks: int = BLOCKS, carry: bool = False) -> tuple[DataFrame, Plan]:
     """(doc_id, size, text_crc32, old_shard, shard, slot) for each row of docs, and the plan behind it.
 
-    old_shard: its present shard, 0 to old - 1 (default: a hash of the text); capacity: bytes by new shard (default: even).
+    old_shard: its present shard, 0 to old - 1 (default: a hash of the text); capacity: bytes by new shard (default: even);
+    carry: with the row of docs itself, as a struct `row`.
     """
     spark = docs.sparkSession
     present = F.pmod(text_hash(), F.lit(old)) if old_shard is None else old_shard
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.cast("int").alias("old_shard"), text_hash().alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.cast("int").alias("old_shard"), text_hash().alias("h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     capacity = capacity or [total[0] // shards + (j < total[0] % shards) for j in range(shards)]
     fair = max(1, total[0] // max(1, shards * SPLIT))
@@ -149,14 +152,21 @@ def resharded(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None =
     ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, cell ORDER BY doc_id, h) - 1 AS place")
     # one row per cell of about CELL rows
     out = ranked.join(offsets, ["shard", "cell"]).withColumn("slot", (F.col("start") + F.col("place")).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), plan
+    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", *(["row"] if carry else [])), plan
 
 
 def rewritten(docs: DataFrame, path: str, old_shard: Column, old: int, **options) -> Plan:
-    """Writes the files of the shards that change, with all columns of docs, to path/shard=N; others stay untouched."""
-    placed, plan = resharded(docs, old_shard=old_shard, old=old, **options)
+    """Writes the files of the shards that change, with all columns of docs, to path/shard=N; others stay untouched.
+
+    docs may be read from path itself. Columns `shard` and `slot` of docs are replaced.
+    """
+    placed, plan = resharded(docs, old_shard=old_shard, old=old, carry=True, **options)
     if plan.touched:
-        moved = placed.select("doc_id", "text_crc32", "shard", "slot").where(F.col("shard").isin(*plan.touched)).dropDuplicates(["doc_id", "text_crc32"])
-        mine = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-        mine.join(moved, ["doc_id", "text_crc32"]).drop("text_crc32").write.mode("overwrite").partitionBy("shard").parquet(path)
+        fields = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+        moved = cut(placed.where(F.col("shard").isin(*plan.touched)).select(*fields, "shard", "slot"))
+        moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        drop_cut(moved)
+        for shard in plan.touched - set(plan.target.values()):  # nothing is left in it, so nothing was written over it
+            gone = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+            gone.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(gone, True)
     return plan

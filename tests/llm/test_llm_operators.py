@@ -570,3 +570,29 @@ def test_passages_without_spaces_go_wherever_they_stand(spark):
         assert got[2 * i].text == rows[2 * i][1]
     lines = [(i, f"{i} first{i * i}\n{'=' * 100}\nlast{i * 7}") for i in range(20)]
     assert all(r.removed == [] for r in cdc.deduplicated(spark.createDataFrame(lines, "doc_id long, text string")).collect())
+
+
+def test_rewritten_shards_keep_every_row(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(None if i % 5 == 0 else i // 2 * 2, f"text {i // 2} ", f"note {i}", i % 3) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, note string, shard int").write.partitionBy("shard").parquet(path)
+    size = {s: sum(len(r[1]) + 1 for r in rows if r[3] == s) for s in range(3)}
+
+    def read():
+        return spark.read.option("mergeSchema", True).parquet(path)
+
+    def files(shard):
+        return {f.name: f.read_bytes() for f in (tmp_path / "out" / f"shard={shard}").glob("*.parquet")}
+
+    whole, still = sorted(map(repr, (r[:3] for r in rows))), files(0)
+    plan = reshard.rewritten(read(), path, F.col("shard"), 3, shards=4, capacity=[size[0], size[1], size[2] - size[2] // 2, size[2] // 2])
+    got = read().collect()
+    assert plan.touched == {2, 3} and files(0) == still
+    assert sorted(repr((r.doc_id, r.text, r.note)) for r in got) == whole
+    for s in plan.touched:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # fewer shards than before: the last one's files go
+    plan = reshard.rewritten(read(), path, F.col("shard"), 4, shards=3, capacity=[size[0], size[1], size[2] + 100])
+    got = read().collect()
+    assert 3 in plan.touched and {r.shard for r in got} == {0, 1, 2}
+    assert sorted(repr((r.doc_id, r.text, r.note)) for r in got) == whole
