@@ -11,8 +11,9 @@ GAP, FIRM = 12, 3
 def calibration_runs(seen: DataFrame) -> DataFrame:
     """Runs of one offset from observations (library_id, pdf_page, printed_page).
 
-    Pages with several printed values are left out; a run goes on while the offset stays and the next page is at most GAP
-    on; runs of one page go, and of two unless adjacent. FIRM pages or more make a run sure.
+    Observations without a printed number (null) support no run and contradict none. Pages with several printed values
+    are left out; a run goes on while the offset stays and the next page is at most GAP on; runs of one page go, and of
+    two unless adjacent. FIRM pages or more make a run sure.
     """
     clean = seen.groupBy("library_id", "pdf_page").agg(F.min("printed_page").alias("printed_page"), F.max("printed_page").alias("other")).where("printed_page = other").withColumn("offset", F.col("pdf_page") - F.col("printed_page"))
     by = Window.partitionBy("library_id").orderBy("pdf_page")

@@ -147,10 +147,11 @@ runs AS (SELECT library_id, off, min(pdf_page) AS pdf_start, max(pdf_page) AS pd
 
 
 def seen(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each event; every third one has no printed number."""
     e = F.col("event_id")
     page = (e % 700).cast("long")
     printed = page - F.when(page < 300, 12).otherwise(15) - F.when(e % 53 == 0, 1).otherwise(0)
-    return tables(spark, sf, "events")[0].where(e % 3 != 0).select((F.col("user_id") % 10).alias("library_id"), page.alias("pdf_page"), printed.cast("long").alias("printed_page"))
+    return tables(spark, sf, "events")[0].select((F.col("user_id") % 10).alias("library_id"), page.alias("pdf_page"), F.when(e % 3 != 0, printed).cast("long").alias("printed_page"))
 
 
 @query("WITH " + RUNS + " SELECT library_id, off AS page_offset, pdf_start, pdf_end, support, CASE WHEN support >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM runs")

@@ -179,3 +179,15 @@ def test_activity_of_a_stream(spark, sf, tmp_path):
 def test_markdown_round_trip(spark):
     got = one(spark, questions.from_markdown(F.lit("### a\nx\ny\n### b\nz")))
     assert [(b.section, b.text) for b in got] == [("a", "x\ny"), ("b", "z")]
+
+
+def test_pages_without_a_printed_number(spark, sf):
+    from lodestone.plans.catalog_more import seen
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert seen(spark, sf).count() == events.count()
+    rows = spark.createDataFrame([(1, p, None if p in (3, 9) else p - 2) for p in range(3, 10)] + [(1, 5, None), (2, 4, None)], "library_id long, pdf_page long, printed_page long")
+    runs = pages.calibration_runs(rows)
+    assert [(r.library_id, r.offset, r.pdf_start, r.pdf_end, r.support) for r in runs.collect()] == [(1, 2, 4, 8, 5)]
+    assert {r.pdf_page for r in pages.page_map(runs, rows).collect()} == {4, 5, 6, 7, 8}
+    assert [(r.library_id, r.offset, r.support) for r in pages.usual_offset(rows).collect()] == [(1, 2, 5)]
