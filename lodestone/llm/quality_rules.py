@@ -6,7 +6,7 @@ character 3- and 4-grams (of bytes, as written): the mean weight of each family'
 on a bounded sample of labelled rows (`sample`, a documented bound, even between the labels), calibrated to a
 probability on a tenth of it that training does not see, with the labels' true shares, and held against `keep`.
 
-Scoring reads each text once, in Arrow batches, without a shuffle. Null texts have no words and fail. Without usable
+Scoring reads each text once, in Arrow batches, without a shuffle; a text's score is the same in any batch. Null texts have no words and fail. Without usable
 labels the classifier keeps all. Repeated rows are judged row by row, other columns ignored; an empty table gives none.
 """
 
@@ -39,12 +39,14 @@ def families(part: textkit.Slice, bits: int) -> list[tuple[np.ndarray, np.ndarra
         pair[1:][folded[1:] == folded[:-1]] = 1
     pair[part.word_offsets[:-1][np.diff(part.word_offsets) > 0]] = 2
     out = [((textkit.mix(words, 1) >> shift).astype(np.int64), part.word_offsets), ((textkit.mix(pair, 4) >> shift).astype(np.int64), part.word_offsets)]
-    raw = part.raw.astype(np.uint32)
+    raw, length = part.raw.astype(np.uint32), np.diff(part.offsets)
+    place = np.arange(len(raw)) - np.repeat(part.offsets[:-1], length)
     for n in (3, 4):
         gram = np.zeros(len(raw), np.uint32)
         for i in range(min(n, len(raw))):
             gram[i:] |= raw[: len(raw) - i] << np.uint32(8 * i)
-        out.append((((gram * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64), part.offsets))
+        gram = gram[place >= n - 1]  # none reaches into the text before
+        out.append((((gram * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64), np.concatenate([[0], np.cumsum(np.maximum(0, length - n + 1))])))
     return out
 
 

@@ -49,7 +49,12 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values between neighbouring offsets; empty ranges give 0."""
+    """Sums of values between neighbouring offsets; empty ranges give 0.
+
+    Floats are added range by range, so a sum does not depend on what stands before its range.
+    """
+    if values.dtype.kind == "f":
+        return np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), values, len(offsets) - 1).astype(np.float64)
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
