@@ -13,16 +13,18 @@ from . import textkit
 from .runtime import lean, ship
 
 UNIT = float(1 << 63)
+#: bytes of a text that a model is fitted on at most
+LONGEST = 1 << 15
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:
-    """doc_id, text, a 0/1 label, place and weight for about `most` labelled documents at most.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None, longest: int = LONGEST) -> DataFrame:
+    """doc_id, text, a 0/1 label, place and weight for about `most` labelled documents at most, of `longest` bytes at most.
 
-    Half are of each label if there are as many, chosen by a hash of doc_id: the same on every run. `weight` is how many
+    An id has one row, with the least of its texts, however often docs repeats it. Half are of each label if there are as many, chosen by a hash of doc_id: the same on every run. `weight` is how many
     labelled rows a row stands for, which undoes the even split. Labels that are null, of another value, or repeated
     with both values go, and so do those outside `keep`. The sample of ids, `most` rows, is the side that is broadcast.
     """
@@ -38,7 +40,8 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Col
     place = F.abs(F.xxhash64(F.lit(11), "doc_id")) / UNIT
     of = lambda x: F.when(F.col(label) == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
     chosen = marks.where(place < of(share)).withColumn("weight", of({y: 1 / max(share[y], 1e-12) for y in (0, 1)})).withColumn("place", place)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", label, "place", "weight").agg(F.min("text").alias("text"))
 
 
 def fitted(rows: DataFrame, label: str, features: Callable, fit: Callable) -> dict[str, np.ndarray]:

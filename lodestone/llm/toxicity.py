@@ -5,8 +5,10 @@ of longer words, so that inflected forms share a term; each is a 64-bit hash. Th
 sigmoid(b + sum w_i + sum over pairs <v_i, v_j>): the pair term learns what a sum of weights misses, such as an insult
 that is one only beside the mention of a group. It is fitted by AdaGrad, the factors far more
 slowly than the weights so that a single telling term gets its own weight, on a bounded sample of labelled rows
-(`sample`, a documented bound) and keeps the `most` terms whose presence separates the labels best (a likelihood-ratio
-test), so a long text of ordinary words has few active terms. Slope and bias come last, on a tenth of the sample.
+(`sample`, a documented bound). It keeps the `most` terms whose presence separates the labels best (a likelihood-ratio
+test), and the terms of the pairs among the `FREQUENT` most frequent ones whose joint presence tells more than the two
+do alone, so a term that says nothing by itself is kept for its partner and a long text of ordinary words still has few
+active terms. Slope and bias come last, on a tenth of the sample.
 
 Scoring reads every whole text once, in Arrow batches, without a shuffle; the fitted terms, `most` at most, go with
 the task. Null and empty texts score as the bias alone. Without usable labels every score is 0.5. Repeated rows are
@@ -28,6 +30,7 @@ from .ppm import held_out
 from .runtime import lean, ship
 
 SAMPLE, MOST, RANK, FLAG = 12_000, 4096, 8, 0.7
+FREQUENT, PAIRS, GAIN, JOINT = 512, 64, 8, 16
 CLOSING = np.zeros(256, bool)
 CLOSING[list(b".,;:!?)\"'")] = True
 
@@ -63,6 +66,39 @@ def machine(row: np.ndarray, at: np.ndarray, n: int, bias: float, w: np.ndarray,
     return bias + np.bincount(row, w[at], n) + 0.5 * ((total**2).sum(1) - square), total
 
 
+def _told(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood gain of a and b, the weights of both labels in a group, over the label's overall share."""
+    n = a + b
+    p = (a + 1e-9) / (n + 2e-9)
+    return a * np.log(np.maximum(p, 1e-12) / share) + b * np.log(np.maximum(1 - p, 1e-12) / (1 - share))
+
+
+def partners(row: np.ndarray, at: np.ndarray, y: np.ndarray, learn: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Terms of the pairs whose joint presence tells more of the label than both terms do one by one."""
+    often = np.argsort(-counts, kind="stable")[:FREQUENT]
+    often = often[counts[often] >= 8]
+    slot = np.full(len(counts), -1)
+    slot[often] = np.arange(len(often))
+    x = np.zeros((len(y), len(often)), np.float32)
+    known = slot[at] >= 0
+    x[row[known], slot[at][known]] = 1
+    x, y = x[learn], y[learn]
+    one, none = float((y == 1).sum()), float((y == 0).sum())
+    if not one or not none or not len(often):
+        return np.zeros(0, np.int64)
+    share = one / (one + none)
+    a11, b11 = ((x[y == k].T @ x[y == k]).astype(np.float64) for k in (1, 0))
+    a, b = np.diag(a11), np.diag(b11)
+    alone = _told(a, b, share) + _told(one - a, none - b, share)
+    cells = [(a11, b11), (a[:, None] - a11, b[:, None] - b11), (a[None] - a11, b[None] - b11), (one - a[:, None] - a[None] + a11, none - b[:, None] - b[None] + b11)]
+    # a term that another always comes with leaves an empty cell, which adds nothing
+    joint = sum(_told(np.maximum(p, 0), np.maximum(q, 0), share) for p, q in cells) - alone[:, None] - alone[None]
+    # what two terms tell twice lowers this, so what is left is their interaction
+    i, j = np.nonzero(np.triu(joint > JOINT, 1))
+    best = np.argsort(-joint[i, j], kind="stable")[:PAIRS]
+    return np.unique(often[np.concatenate([i[best], j[best]])])
+
+
 def fit(i: np.ndarray, _: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int = MOST, rank: int = RANK, epochs: int = 40, rate: float = 0.2, decay: float = 1e-5, batch: int = 64, pace: float = 0.02) -> dict[str, np.ndarray]:
     rows = np.arange(len(y))
     learn, check = rows[rows % 10 != 9], rows[rows % 10 == 9]
@@ -73,8 +109,8 @@ def fit(i: np.ndarray, _: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight
     na, nb = max(1, (y[learn] == 1).sum()), max(1, (y[learn] == 0).sum())
     p = (a + b + 1) / (na + nb + 2)
     gain = a * np.log((a / na + 1e-9) / p) + b * np.log((b / nb + 1e-9) / p)
-    kept = np.flatnonzero((a + b >= 3) & (gain > 8))
-    kept = np.sort(kept[np.argsort(-gain[kept], kind="stable")[:most]])
+    kept = np.flatnonzero((a + b >= 3) & (gain > GAIN))
+    kept = np.union1d(kept[np.argsort(-gain[kept], kind="stable")[:most]], partners(row, at, y, learn, a + b))
     slot = np.full(len(keys), -1)
     slot[kept] = np.arange(len(kept))
     active = slot[at] >= 0
