@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-The model file is compiled once per worker: the normaliser (rewrite rules, dummy prefix, spaces to U+2581), the pieces
-and the byte fallback become arcs of a transducer. Composing it with a text gives a lattice whose arcs are the pieces
-found between positions (or the byte pieces of a character that no piece holds), and the encoding is its shortest path
-in the tropical semiring (sums of weights along a path, the least over paths).
-
-For a unigram model the weights are minus the pieces' scores. For a BPE model the weights come from composing with a
-second acceptor over pairs of neighbouring pieces: 0 where the pair is what merging gives for the two pieces' joint
-text, infinite otherwise. As merges are local and ordered by (score, position) alone, a segmentation is the BPE result
+The model file is compiled once per worker. The normaliser is a transducer that rewrites the longest rule at each place
+(the model's own character map, decoded from its double array, or given rules), squeezes spaces, adds the dummy prefix
+and turns spaces into U+2581. The pieces are a trie of states whose final states give a piece; where no piece begins, the
+byte fallback's arcs spell a character's bytes. Composed with a text they give a lattice of positions, relaxed from left
+to right in the tropical semiring (weights add along a path, the least path wins), and the encoding is the shortest path.
+
+For a unigram model an arc weighs minus its piece's score. For a BPE model the lattice is composed with a second acceptor
+over pairs of neighbouring pieces, which weighs 0 where the pair is what merging gives for the two pieces' joint text and
+infinitely much otherwise; the relaxation is the same. As merges are local and ordered by (score, position) alone, a segmentation is the BPE result
 exactly if each of its neighbouring pairs is, so one path has finite weight, and it equals the merge procedure's
 result. Pairs are decided once each, by undoing the two pieces' merges from the last, and kept.
 
@@ -37,6 +38,7 @@ CACHE, PAIRS = 700_000, 400_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+INFINITE = float("inf")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -65,11 +67,31 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def char_map(data: bytes) -> dict[str, str]:
+    """The rewrite rules of a model's precompiled character map: a double array of keys, then their replacements."""
+    size = struct.unpack("<I", data[:4])[0]
+    array_, blob = struct.unpack(f"<{size // 4}I", data[4 : 4 + size]), data[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
+    rules, states = {}, [(offset(array_[0]), b"")]
+    while states:
+        at, key = states.pop()
+        for byte in range(1, 256):
+            to = at ^ byte
+            if to >= len(array_) or array_[to] & (1 << 31 | 0xFF) != byte:
+                continue
+            unit, below = array_[to], to ^ offset(array_[to])
+            if unit >> 8 & 1:  # a key ends here; its value is the leaf below
+                value = array_[below] & (1 << 31) - 1
+                rules[(key + bytes([byte])).decode(errors="surrogateescape")] = blob[value : blob.index(b"\0", value)].decode()
+            states.append((below, key + bytes([byte])))
+    return {k: v for k, v in rules.items() if not any("\udc80" <= c <= "\udcff" for c in k)}
+
+
 class Machine:
     """The compiled transducer of one model."""
 
     def __init__(self, model: bytes, rules: dict[str, str] | None = None):
-        self.kind, self.dummy, self.squeeze, self.escape, pieces = UNIGRAM, True, True, True, []
+        self.kind, pieces, spec = UNIGRAM, [], {}
         for number, value in fields(model):
             if number == 1:
                 found = dict(fields(value))
@@ -77,10 +99,10 @@ class Machine:
             elif number == 2:
                 self.kind = dict(fields(value)).get(3, UNIGRAM)
             elif number == 3:
-                spec = dict(fields(value))
-                self.dummy, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-                if spec.get(2) and rules is None:
-                    raise ValueError("give this model's character map as rewrite rules")
+                spec |= dict(fields(value))
+        self.dummy, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
+        if rules is None and spec.get(2):
+            rules = char_map(spec[2])
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models have weights")
         self.text = [p for p, _, _ in pieces]
@@ -91,7 +113,20 @@ class Machine:
         self.longest = max(map(len, self.arcs))
         self.penalty = 10 - min((self.score[i] for i in self.arcs.values()), default=0)
         self.rules = dict(rules or {})
-        self.rewrite = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
+        self.lengths: dict[str, list[int]] = {}  # of the rules that begin with a character, the longest first
+        for rule in sorted(self.rules, key=len, reverse=True):
+            found = self.lengths.setdefault(rule[0], [])
+            if len(rule) not in found:
+                found.append(len(rule))
+        self.ruled = re.compile("[" + "".join(map(re.escape, sorted(self.lengths))) + "]") if self.rules else None
+        # the pieces' trie: (state, character) to state, numbers of 21 bits for the character; and what final states give
+        self.next: dict[int, int] = {}
+        self.final: dict[int, tuple[str, float]] = {}
+        for p, i in self.arcs.items():
+            state = 0
+            for c in p:
+                state = self.next.setdefault(state << 21 | ord(c), len(self.next) + 1)
+            self.final[state] = p, -self.score[i]
         # where segments may fall apart: around `hard` characters, before U+2581, and between a letter and `late` ones
         inner = {c for p in self.arcs if len(p) > 1 for c in p}
         hard = {chr(c) for c in range(128) if chr(c) not in inner}
@@ -114,14 +149,30 @@ class Machine:
         self.start = np.cumsum(self.size) - self.size
 
     def normal(self, text: str) -> str:
-        if self.rewrite:
-            text = self.rewrite.sub(lambda m: self.rules[m[0]], text)
+        if self.ruled and self.ruled.search(text):
+            text = self.rewritten(text)
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if text and self.dummy:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
+    def rewritten(self, text: str) -> str:
+        """The longest rule at each place, from the left."""
+        out, at = [], 0
+        while found := self.ruled.search(text, at):
+            i = found.start()
+            out.append(text[at:i])
+            for n in self.lengths[text[i]]:
+                if text[i : i + n] in self.rules:
+                    out.append(self.rules[text[i : i + n]])
+                    at = i + n
+                    break
+            else:
+                out.append(text[i])
+                at = i + 1
+        return "".join([*out, text[at:]])
+
     def merged(self, symbols: list[str], stop: int = 1) -> list[str]:
         """Merging by the best score, the leftmost first, until nothing merges or `stop` symbols are left."""
         arcs, score = self.arcs, self.score
@@ -171,32 +222,33 @@ class Machine:
 
     def path(self, s: str) -> list[str]:
         """The shortest path through the lattice of a segment, as pieces and characters without a piece."""
-        arcs, longest, n = self.arcs, self.longest, len(s)
-        back: list[str] = [""] * (n + 1)
-        if self.kind == BPE:
-            # one state of finite weight per position: the last piece of the encoding of what is before it
-            good, pairs, compatible = self.good, self.pairs, self.compatible
-            for j in range(1, n + 1):
-                for i in range(j - longest if j > longest else 0, j):
-                    p = s[i:j]
-                    if p in good or i == j - 1:
-                        if i:
-                            fits = pairs.get((back[i], p))
-                            if fits is None:
-                                fits = compatible(back[i], p)
-                            if not fits:
-                                continue
-                        back[j] = p
+        n, next_, final, good, pairs, merging = len(s), self.next, self.final, self.good, self.pairs, self.kind == BPE
+        cost, back = [0.0] + [INFINITE] * n, [""] * (n + 1)
+        for i in range(n):
+            # all arcs into i are relaxed, so back[i] ends the least path to it
+            if cost[i] == INFINITE:
+                continue
+            state, j, last = 0, i, back[i]
+            while j < n:
+                state = next_.get(state << 21 | ord(s[j]), 0)
+                j += 1
+                found = final.get(state) if state else None
+                if found is None:
+                    if j > i + 1:
+                        if state:
+                            continue
                         break
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for j in range(1, n + 1):
-                for i in range(max(0, j - longest), j):
-                    p = s[i:j]
-                    k = arcs.get(p)
-                    w = cost[i] - self.score[k] if k is not None else cost[i] + self.penalty if j - i == 1 else None
-                    if w is not None and w < cost[j]:
-                        cost[j], back[j] = w, p
+                    found = s[i], self.penalty  # no piece: the character by itself, as bytes or unknown
+                p, weight = found
+                if merging:  # the acceptor of pairs
+                    if j > i + 1 and p not in good:
+                        continue
+                    fits = pairs.get((last, p)) if i else True
+                    weight = 0.0 if (fits if fits is not None else self.compatible(last, p)) else INFINITE
+                if cost[i] + weight < cost[j]:
+                    cost[j], back[j] = cost[i] + weight, p
+                if not state:
+                    break
         out, j = [], n
         while j:
             out.append(back[j])
