@@ -1,29 +1,25 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A gear hash h = 2h + G[byte] is taken modulo 2^16, so its top bits depend on the last 16 bytes alone. A chunk may end
-after a white space where its top bits are zero, at least MIN bytes after it began; gaps of more than MAX bytes are cut
-at multiples of MAX, on a code point's start. An insertion therefore moves only the chunks it touches. Chunks are keyed
-by a 128-bit digest; of equal chunks the first by (doc_id, position) is the original. Runs of repeated chunks of at
-least RUN bytes are removed; shorter ones, such as a common closing line, stay.
-
-Chunks need a few cuts to fall in step, so a passage of little over 50 words may hold no such run. Passages of WORDS
-words are therefore found exactly: of the hashes of SHINGLE words inside each window of WORDS words the least is its
-anchor, the same one wherever the same bytes stand. Windows with a repeated anchor, and no others, are compared by
-their own digests, and every window but the first by (doc_id, position) is removed, so a repeated passage of WORDS
-or more words goes whole, whatever its chunks. A text that repeats itself keeps its first period.
-
-Cuts at multiples of MAX do not resist shifts, so text without white space (scripts without spaces, other separators,
-encoded data) depends on the windows: a word of more than LONG bytes counts by its parts, which begin at every code
-point outside ASCII and where the top bits of the gear hash are zero. A passage of WORDS such parts goes from its first
-to its last part, but for one of fewer bytes than WORDS words have at least, such as a ruled line.
+A gear hash h = 2h + G[byte] is taken modulo 2^16, so it depends on the last 16 bytes alone. Every word has the hash at
+its end, and of each WINDOW words in a row the one with the least hash (the last of equal ones) ends a chunk. Cuts so
+depend on the words around them alone: an insertion moves only the chunks it touches, a chunk has WINDOW words at most,
+and a passage of WORDS words, wherever it stands, holds two cuts at least and so a whole chunk. (A word of more than
+LONG bytes counts by its parts, which begin at every code point outside ASCII and where the top bits of the gear hash
+are zero, so that scripts without spaces, other separators and encoded data resist shifts too.)
+
+Chunks are keyed by a 128-bit digest; of equal chunks the first by (doc_id, position) is the original, the others are
+repeated. A run of neighbouring repeated chunks of WORDS words or more is a repeated passage and goes. A shorter run may
+be the inside of one: if it reaches WORDS words with what is beside it, the windows of WORDS words there, and those at
+the originals of its chunks, are compared by digests of their own, and every window but the first goes. What repeats
+over fewer words, such as a common closing line, stays. A text that repeats itself keeps its first period.
 
 The first of each digest is found by a pre-aggregated minimum, so a passage in a third of all texts costs one row per
-task; the join of chunks with repeated digests is left to skew handling. Spans are gathered by document, and a
-document's chunks are bounded by its own length. No digest comes to the driver.
+task; the join of chunks with repeated digests is left to skew handling. The chunk table is written once and read
+twice. Spans are gathered by document and text, and are bounded by its length. No digest comes to the driver.
 
 Null texts count as empty, and an empty text has no chunks. Null ids are returned whole. Rows repeated under one id and
-text are treated alike. Other columns are kept by deduplicated() and ignored by chunk_report(). An empty table gives
-no rows.
+text are treated alike; different texts under one id are texts of their own. Other columns are kept by deduplicated(). A
+passage of fewer bytes than WORDS words have at least, such as a ruled line, stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,18 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import cut, lean, ship
+from .runtime import cut, drop_cut, lean, ship
 
-MIN, MAX, RUN, BITS = 40, 256, 112, 2
-WORDS, SHINGLE, LONG = 51, 16, 32
+WORDS, WINDOW, LONG, BITS = 51, 21, 32, 2
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
-DIGESTS = ["d1", "d2", "doc_id", "at", "size"]
-SPANS = "d1 long, d2 long, doc_id long, at int, size int"
+#: units from the end of a passage to where its chunks are its own: a hash looks back 16 bytes, 8 units at most
+EDGE = WINDOW + 8
+CHUNK = "d1 long, d2 long, doc_id long, t int, u int, m short, at int, size int"
+WINDOWED = "d1 long, d2 long, doc_id long, t int, u int, at int, size int"
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -57,44 +55,6 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(part: textkit.Slice, least: int = MIN, most: int = MAX, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and documents of all chunks of a slice, in order; they cover every byte."""
-    raw, offsets = part.raw, part.offsets
-    if not len(raw):
-        return (np.zeros(0, np.int64),) * 3
-    spot = np.flatnonzero(textkit.SPACE[raw] & (gear(raw) >> np.uint16(16 - bits) == 0)) + 1
-    # a window must not reach into the text before
-    owner = np.searchsorted(offsets[1:], spot - 1, "right")
-    spot = spot[spot - offsets[owner] >= 16]
-    ends = offsets[1:][np.diff(offsets) > 0]
-    spot = np.unique(np.concatenate([spot, ends]))
-    # from a cut, the next one is the first spot at least `least` bytes on, or the end of the text
-    ahead = np.searchsorted(spot, spot + least)
-    closing = np.searchsorted(spot, ends)
-    after = np.searchsorted(ends, spot, "right")
-    limit = closing[np.minimum(after, len(ends) - 1)]
-    jump = np.minimum(ahead, limit).tolist()
-    first = np.concatenate([[0], ends[:-1]])
-    begin = np.minimum(np.searchsorted(spot, first + least), closing).tolist()
-    cut, stop = [], closing.tolist()
-    for at, end in zip(begin, stop, strict=True):
-        while at < end:
-            cut.append(at)
-            at = jump[at]
-        cut.append(end)
-    end = spot[np.array(cut, np.int64)]
-    start = np.concatenate([[0], end[:-1]])
-    pieces = np.maximum(1, -(-(end - start) // most))
-    if (pieces > 1).any():
-        which = np.repeat(np.arange(len(start)), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = start[which] + nth * most
-        for _ in range(3):  # back to the start of a code point
-            at = at - ((nth > 0) & ((raw[np.minimum(at, len(raw) - 1)] & 0xC0) == 0x80))
-        start, end = at, np.concatenate([at[1:], [len(raw)]])
-    return start, end, np.searchsorted(offsets[1:], start, "right")
-
-
 @dataclass
 class Units:
     """Words of a slice, or parts of long ones: their bytes, documents, and the first unit of each document."""
@@ -124,96 +84,127 @@ def units(part: textkit.Slice) -> Units:
     return Units(start, end, doc, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(part)))]))
 
 
-def anchors(part: textkit.Slice, every: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first unit of each anchor's shingle, and the first and the number of the windows of WORDS units it stands for."""
-    start, end = every.start, every.end
-    if len(start) < WORDS:
-        return (np.zeros(0, np.int64),) * 3
-    h = part.spans(part.prefix(lower=False), start[: len(start) - SHINGLE + 1], end[SHINGLE - 1 :])
-    # the place of the least hash, the last of equal ones, of 1, 2, 4, ... shingles, then of all in a window
-    least, size, whole = np.arange(len(h)), 1, WORDS - SHINGLE + 1
-    while size < whole:
-        step = min(size, whole - size)
-        a, b = least[:-step], least[step:]
-        least, size = np.where(h[b] <= h[a], b, a), size + step
-    window = np.flatnonzero(every.doc[: len(least)] == every.doc[WORDS - 1 :])
-    least = least[window]
-    new = np.flatnonzero(np.diff(least, prepend=-1))
-    return least[new], window[new], np.diff(np.append(new, len(least)))
+def chunks(part: textkit.Slice, every: Units, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """First and last units of all chunks of a slice, in order; they hold every unit."""
+    n = len(every.start)
+    if not n:
+        return (np.zeros(0, np.int64),) * 2
+    h = gear(part.raw)[every.end - 1].astype(np.uint32)
+    h[every.end - part.offsets[every.doc] < 16] = 1 << 16  # a hash must not reach into the text before
+    last = every.offsets[1:][np.diff(every.offsets) > 0] - 1
+    closing = np.zeros(n, bool)
+    closing[last] = True
+    if n >= window:
+        # the place of the least hash, the last of equal ones, of 1, 2, 4, ... units, then of all in a window
+        least, size = np.arange(n), 1
+        while size < window:
+            step = min(size, window - size)
+            a, b = least[:-step], least[step:]
+            least, size = np.where(h[b] <= h[a], b, a), size + step
+        closing[least[every.doc[: len(least)] == every.doc[window - 1 :]]] = True
+    end = np.flatnonzero(closing)
+    return np.concatenate([[0], end[:-1] + 1]), end
+
+
+def _digests(part: textkit.Slice, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    return [pa.array(part.spans(part.prefix(lower=False, base=b), start, end, base=b).view(np.int64)) for b in (textkit.BASE, OTHER)]
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks, and anchors: `at` is the first window's unit, `size` less than 0 the number of windows."""
     for b in batches:
         for part in textkit.slices(b["text"]):
-            start, end, doc = chunks(part)
-            at, size = start - part.offsets[doc], end - start
             found = units(part)
-            anchor, window, count = anchors(part, found)
-            if len(anchor):
-                start, end = np.concatenate([start, found.start[anchor]]), np.concatenate([end, found.end[anchor + SHINGLE - 1]])
-                doc = np.concatenate([doc, found.doc[window]])
-                at, size = np.concatenate([at, window - found.offsets[found.doc[window]]]), np.concatenate([size, -count])
-            ids = b["doc_id"].slice(part.first, len(part)).to_numpy(zero_copy_only=False)[doc]
-            d1 = part.spans(part.prefix(lower=False), start, end)
-            d2 = part.spans(part.prefix(lower=False, base=OTHER), start, end, base=OTHER)
-            d2[size < 0] ^= np.uint64(2**64 - 1)  # an anchor is never a chunk
-            yield pa.record_batch([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], DIGESTS)
+            first, last = chunks(part, found)
+            doc = found.doc[first]
+            start, end = found.start[first], found.end[last]
+            many = last - first + 1
+            of = [b[c].slice(part.first, len(part)).take(pa.array(doc)) for c in ("doc_id", "t")]
+            more = [(first - found.offsets[doc]).astype(np.int32), many.astype(np.int16), (start - part.offsets[doc]).astype(np.int32), (end - start).astype(np.int32)]
+            yield pa.record_batch([*_digests(part, start, end), *of, *map(pa.array, more)], ["d1", "d2", "doc_id", "t", "u", "m", "at", "size"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the repeated chunks of each text: its spans that go; and, with `ask`, windows to compare, as ranges of units, of
+    this text and of its chunks' originals."""
+    for b in batches:
+        lists = b["chunks"]
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        flat = dict(zip([f.name for f in lists.type.value_type], (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()), strict=True))
+        u, m = flat["u"], flat["m"]
+        new = np.ones(len(u), bool)
+        new[1:] = (row[1:] != row[:-1]) | (u[1:] != u[:-1] + m[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(u)) - 1
+        long = u[last] + m[last] - u[first] >= WORDS
+        size = flat["at"][last] + flat["size"][last] - flat["at"][first]
+        gone = long & (size >= 2 * WORDS - 1)
+        low, high = u[first] - EDGE, u[last] + m[last] + EDGE
+        own, shift = pa.array(row[first]), flat["g"] - u
+
+        def told(ids: list[pa.Array], x: np.ndarray, y: np.ndarray, ask: bool) -> pa.RecordBatch:
+            return pa.record_batch([*ids, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(len(x), ask))], ["doc_id", "t", "x", "y", "ask"])
+
+        mine = lambda which: [b[c].take(own).filter(pa.array(which)) for c in ("doc_id", "t")]
+        theirs = lambda at: [pa.array(flat["f"][at]), pa.array(flat["ft"][at].astype(np.int32))]
+        yield told(mine(gone), flat["at"][first][gone], (flat["at"][first] + size)[gone], False)
+        # a short run's windows, here and at the originals of all its chunks
+        yield told(mine(~long), low[~long], high[~long], True)
+        run = np.cumsum(new) - 1
+        inner = np.flatnonzero(~long[run])
+        yield told(theirs(inner), low[run[inner]] + shift[inner], high[run[inner]] + shift[inner], True)
+        # of a long one, those that reach beyond its ends
+        for at, x, y in ((first[long], low[long], u[first[long]] + WORDS - 1), (last[long], u[last[long]] + m[last[long]] - WORDS + 1, high[long])):
+            yield told(mine(long), x, y, True)
+            yield told(theirs(at), x + shift[at], y + shift[at], True)
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of WORDS units named by `ranges`, as spans of bytes."""
+    """The windows of WORDS units inside `ranges` of units."""
     for b in batches:
         for part in textkit.slices(b["text"]):
             ranges = b["ranges"].slice(part.first, len(part))
-            doc = np.repeat(np.arange(len(part)), ranges.value_lengths().to_numpy(zero_copy_only=False))
-            at, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
-            doc, at = np.repeat(doc, -size), np.repeat(at, -size) + np.arange(-size.sum()) - np.repeat(np.cumsum(-size) + size, -size)
             found = units(part)
-            at = at + found.offsets[doc]
-            inside = at + WORDS <= found.offsets[doc + 1]  # but for another text of the same id, all are
-            doc, at = doc[inside], at[inside]
+            doc = np.repeat(np.arange(len(part)), ranges.value_lengths().to_numpy(zero_copy_only=False))
+            low, high = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
+            low, high = np.maximum(low, 0), np.minimum(high, np.diff(found.offsets)[doc])
+            many = np.maximum(0, high - low - WORDS + 1)
+            at = np.repeat(found.offsets[doc] + low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at = np.unique(at)
+            doc = found.doc[at]
             start, end = found.start[at], found.end[at + WORDS - 1]
-            ids = b["doc_id"].slice(part.first, len(part)).to_numpy(zero_copy_only=False)[doc]
-            d1 = part.spans(part.prefix(lower=False), start, end)
-            d2 = part.spans(part.prefix(lower=False, base=OTHER), start, end, base=OTHER)
-            yield pa.record_batch([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ids), pa.array((start - part.offsets[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32))], DIGESTS)
+            of = [b[c].slice(part.first, len(part)).take(pa.array(doc)) for c in ("doc_id", "t")]
+            more = [(at - found.offsets[doc]).astype(np.int32), (start - part.offsets[doc]).astype(np.int32), (end - start).astype(np.int32)]
+            yield pa.record_batch([*_digests(part, start, end), *of, *map(pa.array, more)], ["d1", "d2", "doc_id", "t", "u", "at", "size"])
 
 
 def _again(made: DataFrame) -> DataFrame:
-    """Rows of made whose digest is not the first, and anchors of a digest that any other has."""
-    firsts = made.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.at").alias("g"))
+    """Rows of made whose digest is not the first; f, ft, g: id, text and unit of the first."""
+    place = F.struct("doc_id", "t", "u")
+    firsts = made.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.t").alias("ft"), F.col("first.u").alias("g"))
     # as a table of its own, so that both sides of the join are plain shuffles, which skew handling can split
-    firsts = cut(firsts)
-    return made.join(firsts, ["d1", "d2"]).where("size < 0 OR doc_id <> f OR at <> g")
+    return made.join(cut(firsts), ["d1", "d2"]).where("doc_id <> f OR t <> ft OR u <> g")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, ranges): for each document that has any, its repeated chunks as sorted (at, size) of UTF-8 bytes,
-    and the windows of its repeated anchors."""
-    ship(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = rows.mapInArrow(lean(_chunked), SPANS)
-    pick = lambda kind: F.sort_array(F.collect_set(F.when(kind, F.struct("at", "size"))))
-    return _again(made).groupBy("doc_id").agg(pick(F.col("size") > 0).alias("spans"), pick(F.col("size") < 0).alias("ranges"))
+def text_key() -> Column:
+    """Tells texts of one id apart."""
+    return F.hash(F.coalesce("text", F.lit("")))
 
 
-def repeated_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, passages): repeated windows of WORDS units as sorted (at, size) of UTF-8 bytes; found: repeated_chunks()."""
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(found.where("size(ranges) > 0").select("doc_id", "ranges"), "doc_id")
-    made = cut(rows.mapInArrow(lean(_windowed), SPANS))
-    return _again(made).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("passages"))
-
-
-def removed(spans: list[dict] | None, length: int, run: int, passages: list[dict] | None = None) -> list[tuple[int, int]]:
-    """Maximal runs of neighbouring repeated chunks of `run` bytes or more, or of the whole text, and of passages."""
-    chunked, worded = ([(s["at"], s["at"] + s["size"]) for s in x or ()] for x in (spans, passages))
-    long = [x for x in _merged(chunked) if x[1] - x[0] >= run or x[1] - x[0] == length]
-    return _merged(sorted(long + [x for x in _merged(worded) if x[1] - x[0] >= 2 * WORDS - 1]))
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, spans): for each text that has any, what goes of it as sorted (start, end) of UTF-8 bytes; they may overlap."""
+    ship(docs.sparkSession)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), "text")
+    made = cut(rows.mapInArrow(lean(_chunked), CHUNK))
+    gathered = _again(made).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("u", "m", "at", "size", "f", "ft", "g"))).alias("chunks"))
+    found = cut(gathered.mapInArrow(lean(_runs), "doc_id long, t int, x int, y int, ask boolean"))
+    drop_cut(made)
+    ranges = found.where("ask").groupBy("doc_id", "t").agg(F.collect_set(F.struct("x", "y")).alias("ranges"))
+    windows = cut(rows.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), WINDOWED))
+    spans = found.where("NOT ask").select("doc_id", "t", "x", "y").union(_again(windows).where(F.col("size") >= 2 * WORDS - 1).select("doc_id", "t", "at", F.col("at") + F.col("size")))
+    return spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("x").alias("start"), F.col("y").alias("end")))).alias("spans"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans that touch or overlap, as one."""
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -224,40 +215,32 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with `text` less its repeated runs, and with n_repeated (chunks, or removed spans where no chunk is), removed (spans of bytes) and text_bytes.
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with `text` less its repeated passages, and with removed (spans of bytes), n_repeated (how many) and text_bytes.
 
     Null texts become empty. Columns of docs that have these names are replaced, others carried.
     """
-    kept = docs.drop("n_repeated", "removed", "text_bytes", "_cdc_doc", "_cdc_spans", "_cdc_passages")
-    found = cut(repeated_chunks(docs))
-    spans = found.join(repeated_windows(docs, found), "doc_id", "left").select(F.col("doc_id").alias("_cdc_doc"), F.col("spans").alias("_cdc_spans"), F.col("passages").alias("_cdc_passages"))
-    joined = kept.withColumn("text", F.coalesce("text", F.lit(""))).join(spans, F.col("doc_id") == F.col("_cdc_doc"), "left").drop("_cdc_doc")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_repeated int, removed array<struct<start:int,end:int>>, text_bytes long"
+    kept = docs.drop("n_repeated", "removed", "text_bytes", "_cdc_doc", "_cdc_t", "_cdc_spans")
+    spans = repeated_passages(docs).select(F.col("doc_id").alias("_cdc_doc"), F.col("t").alias("_cdc_t"), F.col("spans").alias("_cdc_spans"))
+    filled = kept.withColumn("text", F.coalesce("text", F.lit("")))
+    joined = filled.join(cut(spans), (F.col("doc_id").cast("long") == F.col("_cdc_doc")) & (text_key() == F.col("_cdc_t")), "left").drop("_cdc_doc", "_cdc_t")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", removed array<struct<start:int,end:int>>, n_repeated int, text_bytes long"
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts, gone, sizes = [], [], [], []
-            for text, found, passages in zip(b["text"].to_pylist(), b["_cdc_spans"].to_pylist(), b["_cdc_passages"].to_pylist(), strict=True):
-                if not found and not passages:
-                    texts.append(text)
-                    counts.append(0)
-                    gone.append([])
-                    sizes.append(len(text.encode()))
-                    continue
-                raw = text.encode()
-                cuts = removed(found, len(raw), run, passages)
-                at, pieces = 0, []
-                for start, end in cuts:
-                    pieces.append(raw[at:start])
-                    at = end
-                pieces.append(raw[at:])
-                texts.append(b"".join(pieces).decode())
-                counts.append(len(found or cuts))
-                gone.append([{"start": x, "end": y} for x, y in cuts])
-                sizes.append(len(raw))
-            columns = [pa.array(texts, b["text"].type) if n == "text" else b[n] for n in b.schema.names if n not in ("_cdc_spans", "_cdc_passages")]
-            names = [n for n in b.schema.names if n not in ("_cdc_spans", "_cdc_passages")]
-            yield pa.record_batch([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(sizes, pa.int64())], [*names, "n_repeated", "removed", "text_bytes"])
+            names = [n for n in b.schema.names if n != "_cdc_spans"]
+            texts, some = b["text"], pc.is_valid(b["_cdc_spans"])
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            gone: list[list[dict[str, int]]] = [[] for _ in range(len(b))]
+            made = []
+            for i, text, found in zip(at.tolist(), texts.filter(some).to_pylist(), b["_cdc_spans"].filter(some).to_pylist(), strict=True):
+                raw, cuts = text.encode(), merged([(s["start"], s["end"]) for s in found])
+                edges = [0, *(x for c in cuts for x in c), len(raw)]
+                made.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode())
+                gone[i] = [{"start": x, "end": y} for x, y in cuts]
+            less = pc.replace_with_mask(texts, some, pa.array(made, texts.type)) if made else texts
+            spans_ = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            counts = pc.cast(pc.list_value_length(spans_), pa.int32())
+            yield pa.record_batch([*(less if n == "text" else b[n] for n in names), spans_, counts, pc.cast(pc.binary_length(texts), pa.int64())], [*names, "removed", "n_repeated", "text_bytes"])
 
     return joined.mapInArrow(lean(stripped), schema)
