@@ -34,15 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import cut, drop_cut, lean, ship
+from .runtime import Scratch, cut, lean, ship
 
 WORDS, WINDOW, LONG, BITS = 51, 21, 32, 2
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
 #: units from the end of a passage to where its chunks are its own: a hash looks back 16 bytes, 8 units at most
 EDGE = WINDOW + 8
-CHUNK = "d1 long, d2 long, doc_id long, t int, u int, m short, at int, size int"
-WINDOWED = "d1 long, d2 long, doc_id long, t int, u int, at int, size int"
+#: units beside a chunk of which its row keeps two bits each; ids that go to every task
+BESIDE, BROADCAST_IDS = 14, 500_000
+#: place: text key and first unit; span: first byte and bytes; beside: bits of units before and after, and units of its own
+CHUNK = "d1 long, d2 long, doc_id long, place long, span long, beside long"
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -110,6 +112,18 @@ def _digests(part: textkit.Slice, start: np.ndarray, end: np.ndarray) -> list[pa
     return [pa.array(part.spans(part.prefix(lower=False, base=b), start, end, base=b).view(np.int64)) for b in (textkit.BASE, OTHER)]
 
 
+def _beside(part: textkit.Slice, every: Units, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the hash of each of BESIDE units before and after chunks, the nearest lowest; 0 beyond the text."""
+    bits = (part.spans(part.prefix(lower=False), every.start, every.end) >> np.uint64(62)).astype(np.int64)
+    low, high = every.offsets[every.doc[first]], every.offsets[every.doc[first] + 1]
+    before, after = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    for k in range(BESIDE):
+        i, j = first - 1 - k, last + 1 + k
+        before |= np.where(i >= low, bits[np.maximum(i, 0)], 0) << (2 * k)
+        after |= np.where(j < high, bits[np.minimum(j, len(bits) - 1)], 0) << (2 * k)
+    return before, after
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in textkit.slices(b["text"]):
@@ -117,45 +131,60 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = chunks(part, found)
             doc = found.doc[first]
             start, end = found.start[first], found.end[last]
-            many = last - first + 1
-            of = [b[c].slice(part.first, len(part)).take(pa.array(doc)) for c in ("doc_id", "t")]
-            more = [(first - found.offsets[doc]).astype(np.int32), many.astype(np.int16), (start - part.offsets[doc]).astype(np.int32), (end - start).astype(np.int32)]
-            yield pa.record_batch([*_digests(part, start, end), *of, *map(pa.array, more)], ["d1", "d2", "doc_id", "t", "u", "m", "at", "size"])
+            before, after = _beside(part, found, first, last)
+            ids, t = (b[c].slice(part.first, len(part)) for c in ("doc_id", "t"))
+            place = t.to_numpy().astype(np.int64)[doc] << 32 | first - found.offsets[doc]
+            more = [place, start - part.offsets[doc] << 32 | end - start, last - first + 1 << 4 * BESIDE | after << 2 * BESIDE | before]
+            yield pa.record_batch([*_digests(part, start, end), ids.take(pa.array(doc)), *map(pa.array, more)], ["d1", "d2", "doc_id", "place", "span", "beside"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many units two chunks may have in common beside them, EDGE if all that are kept are alike."""
+    x = a ^ b
+    return np.where(x == 0, EDGE, np.bitwise_count((x & -x) - 1) // 2)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the repeated chunks of each text: its spans that go; and, with `ask`, windows to compare, as ranges of units, of
     this text and of its chunks' originals."""
+    side = (1 << 2 * BESIDE) - 1
     for b in batches:
         lists = b["chunks"]
         row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
         flat = dict(zip([f.name for f in lists.type.value_type], (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()), strict=True))
-        u, m = flat["u"], flat["m"]
+        u, m, at, size, g = flat["place"] & 0xFFFFFFFF, flat["beside"] >> 4 * BESIDE, flat["span"] >> 32, flat["span"] & 0xFFFFFFFF, flat["origin"] & 0xFFFFFFFF
+        left = _alike(flat["beside"] & side, flat["around"] & side)
+        right = _alike(flat["beside"] >> 2 * BESIDE & side, flat["around"] >> 2 * BESIDE & side)
         new = np.ones(len(u), bool)
         new[1:] = (row[1:] != row[:-1]) | (u[1:] != u[:-1] + m[:-1])
         first = np.flatnonzero(new)
+        if not len(first):
+            continue
         last = np.append(first[1:], len(u)) - 1
-        long = u[last] + m[last] - u[first] >= WORDS
-        size = flat["at"][last] + flat["size"][last] - flat["at"][first]
-        gone = long & (size >= 2 * WORDS - 1)
-        low, high = u[first] - EDGE, u[last] + m[last] + EDGE
-        own, shift = pa.array(row[first]), flat["g"] - u
+        run = np.cumsum(new) - 1
+        start, end = u[first], u[last] + m[last]
+        # how far a passage around the run may reach, by any of its chunks and that one's original
+        low, high = np.minimum(np.minimum.reduceat(u - left, first), start), np.maximum(np.maximum.reduceat(u + m + right, first), end)
+        long = end - start >= WORDS
+        bytes_ = at[last] + size[last] - at[first]
+        gone, shift, own = long & (bytes_ >= 2 * WORDS - 1), g - u, pa.array(row[first])
+        t = (flat["origin"] >> 32).astype(np.int32)
 
         def told(ids: list[pa.Array], x: np.ndarray, y: np.ndarray, ask: bool) -> pa.RecordBatch:
             return pa.record_batch([*ids, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(len(x), ask))], ["doc_id", "t", "x", "y", "ask"])
 
         mine = lambda which: [b[c].take(own).filter(pa.array(which)) for c in ("doc_id", "t")]
-        theirs = lambda at: [pa.array(flat["f"][at]), pa.array(flat["ft"][at].astype(np.int32))]
-        yield told(mine(gone), flat["at"][first][gone], (flat["at"][first] + size)[gone], False)
+        theirs = lambda at_: [pa.array(flat["f"][at_]), pa.array(t[at_])]
+        yield told(mine(gone), at[first][gone], (at[first] + bytes_)[gone], False)
         # a short run's windows, here and at the originals of all its chunks
-        yield told(mine(~long), low[~long], high[~long], True)
-        run = np.cumsum(new) - 1
-        inner = np.flatnonzero(~long[run])
+        short = ~long & (high - low >= WORDS)
+        yield told(mine(short), low[short], high[short], True)
+        inner = np.flatnonzero(short[run])
         yield told(theirs(inner), low[run[inner]] + shift[inner], high[run[inner]] + shift[inner], True)
         # of a long one, those that reach beyond its ends
-        for at, x, y in ((first[long], low[long], u[first[long]] + WORDS - 1), (last[long], u[last[long]] + m[last[long]] - WORDS + 1, high[long])):
-            yield told(mine(long), x, y, True)
-            yield told(theirs(at), x + shift[at], y + shift[at], True)
+        for some, at_, x, y in ((long & (low < start), first, low, start + WORDS - 1), (long & (high > end), last, end - WORDS + 1, high)):
+            yield told(mine(some), x[some], y[some], True)
+            yield told(theirs(at_[some]), x[some] + shift[at_[some]], y[some] + shift[at_[some]], True)
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +201,28 @@ def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.unique(at)
             doc = found.doc[at]
             start, end = found.start[at], found.end[at + WORDS - 1]
-            of = [b[c].slice(part.first, len(part)).take(pa.array(doc)) for c in ("doc_id", "t")]
-            more = [(at - found.offsets[doc]).astype(np.int32), (start - part.offsets[doc]).astype(np.int32), (end - start).astype(np.int32)]
-            yield pa.record_batch([*_digests(part, start, end), *of, *map(pa.array, more)], ["d1", "d2", "doc_id", "t", "u", "at", "size"])
+            ids, t = (b[c].slice(part.first, len(part)) for c in ("doc_id", "t"))
+            more = [t.to_numpy().astype(np.int64)[doc] << 32 | at - found.offsets[doc], start - part.offsets[doc] << 32 | end - start, np.zeros(len(at), np.int64)]
+            yield pa.record_batch([*_digests(part, start, end), ids.take(pa.array(doc)), *map(pa.array, more)], ["d1", "d2", "doc_id", "place", "span", "beside"])
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """rows to go to every task, if counted few; beyond that the other side is shuffled to meet them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def _again(made: DataFrame) -> DataFrame:
-    """Rows of made whose digest is not the first; f, ft, g: id, text and unit of the first."""
-    place = F.struct("doc_id", "t", "u")
-    firsts = made.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.t").alias("ft"), F.col("first.u").alias("g"))
+def _again(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of made whose digest is not the first; f, origin, around: id, place and surroundings of the first.
+
+    Digests are counted by one half alone; what that leaves, few rows, is compared in full.
+    """
+    twice = scratch.cut(made.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
+    some = scratch.cut(made.join(_near(twice), "d1", "left_semi"))
+    place = F.struct("doc_id", "place")
+    firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "place", "beside")).alias("first"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
     # as a table of its own, so that both sides of the join are plain shuffles, which skew handling can split
-    return made.join(cut(firsts), ["d1", "d2"]).where("doc_id <> f OR t <> ft OR u <> g")
+    firsts = scratch.cut(firsts.select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.place").alias("origin"), F.col("first.beside").alias("around")))
+    return some.join(firsts, ["d1", "d2"]).where("doc_id <> f OR place <> origin").withColumn("t", F.shiftright("place", 32).cast("int"))
 
 
 def text_key() -> Column:
@@ -194,14 +234,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, t, spans): for each text that has any, what goes of it as sorted (start, end) of UTF-8 bytes; they may overlap."""
     ship(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), "text")
-    made = cut(rows.mapInArrow(lean(_chunked), CHUNK))
-    gathered = _again(made).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("u", "m", "at", "size", "f", "ft", "g"))).alias("chunks"))
-    found = cut(gathered.mapInArrow(lean(_runs), "doc_id long, t int, x int, y int, ask boolean"))
-    drop_cut(made)
-    ranges = found.where("ask").groupBy("doc_id", "t").agg(F.collect_set(F.struct("x", "y")).alias("ranges"))
-    windows = cut(rows.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), WINDOWED))
-    spans = found.where("NOT ask").select("doc_id", "t", "x", "y").union(_again(windows).where(F.col("size") >= 2 * WORDS - 1).select("doc_id", "t", "at", F.col("at") + F.col("size")))
-    return spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("x").alias("start"), F.col("y").alias("end")))).alias("spans"))
+    early, late = Scratch(), Scratch()
+    made = early.cut(rows.mapInArrow(lean(_chunked), CHUNK))
+    gathered = _again(made, early).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "span", "beside", "f", "origin", "around"))).alias("chunks"))
+    found = late.cut(gathered.mapInArrow(lean(_runs), "doc_id long, t int, x int, y int, ask boolean"))
+    early.drop()
+    ranges = late.cut(found.where("ask").groupBy("doc_id", "t").agg(F.collect_set(F.struct("x", "y")).alias("ranges")))
+    asked = rows.join(_near(ranges.select("doc_id", "t")), ["doc_id", "t"], "left_semi")
+    windows = late.cut(asked.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), CHUNK))
+    at, size = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    more = _again(windows, late).where(size >= 2 * WORDS - 1).select("doc_id", "t", at, at + size)
+    spans = found.where("NOT ask").select("doc_id", "t", "x", "y").union(more)
+    whole = cut(spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("x").alias("start"), F.col("y").alias("end")))).alias("spans")))
+    late.drop()
+    return whole
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,7 +269,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = docs.drop("n_repeated", "removed", "text_bytes", "_cdc_doc", "_cdc_t", "_cdc_spans")
     spans = repeated_passages(docs).select(F.col("doc_id").alias("_cdc_doc"), F.col("t").alias("_cdc_t"), F.col("spans").alias("_cdc_spans"))
     filled = kept.withColumn("text", F.coalesce("text", F.lit("")))
-    joined = filled.join(cut(spans), (F.col("doc_id").cast("long") == F.col("_cdc_doc")) & (text_key() == F.col("_cdc_t")), "left").drop("_cdc_doc", "_cdc_t")
+    same = (F.col("doc_id").cast("long") == F.col("_cdc_doc")) & (text_key() == F.col("_cdc_t"))
+    ids = spans.select("_cdc_doc", "_cdc_t")
+    if ids.count() <= BROADCAST_IDS:  # texts of which nothing goes stay where they are
+        touched = filled.join(F.broadcast(ids), same, "left_semi").join(spans, same)
+        joined = touched.unionByName(filled.join(F.broadcast(ids), same, "left_anti"), allowMissingColumns=True)
+    else:
+        joined = filled.join(spans, same, "left")
+    joined = joined.drop("_cdc_doc", "_cdc_t")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", removed array<struct<start:int,end:int>>, n_repeated int, text_bytes long"
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
