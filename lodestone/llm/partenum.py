@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .runtime import cut, lean, ship
+from .runtime import Scratch, cut, drop_cut, lean, ship
 
 #: words of a sketch, for sets of up to 64 times as many elements; larger sets have larger ones
 SKETCH = 16
@@ -205,18 +205,18 @@ def _distinct_buckets(rows: DataFrame) -> DataFrame:
     return members.groupBy("n", "p", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "p", "n")
 
 
-def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a > b, of different components that have a pivot in common and that sizes and sketches allow to be
     linked; stars: (doc, p) of signatures of three sets or more."""
-    comp = cut(stars.join(labels, F.col("doc") == F.col("id"), "left").select("p", "doc", F.coalesce("component", "doc").alias("comp")))
-    several = cut(comp.groupBy("p").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("p"))
+    comp = scratch.cut(stars.join(labels, F.col("doc") == F.col("id"), "left").select("p", "doc", F.coalesce("component", "doc").alias("comp")))
+    several = scratch.cut(comp.groupBy("p").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("p"))
 
     def folded(word: int) -> Column:
         """A word of the sketch of SKETCH words that larger ones fold to."""
         return F.aggregate(F.filter("sketch", lambda _, i: i % SKETCH == word), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
 
     facts = sets.select(F.col("doc_id").alias("doc"), "n", *(folded(i).alias(f"s{i}") for i in range(SKETCH)))
-    left = cut(comp.join(several, "p", "left_semi").join(facts, "doc"))
+    left = scratch.cut(comp.join(several, "p", "left_semi").join(facts, "doc"))
     size = lambda c: F.col(f"{c}.n")
     apart = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(SKETCH)), F.lit(0))
     near = (F.least(size("l"), size("r")) * den >= F.greatest(size("l"), size("r")) * num) & (apart * (den + num) <= (size("l") + size("r")) * (den - num))
@@ -229,26 +229,31 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    early, late = Scratch(), Scratch()
     base = cut(rows.mapInArrow(lean(lambda it: _digested(it, width)), "doc_id long, n long, d1 long, d2 long"))
     classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     # classes are cut so that both sides of the join are plain shuffles, which skew handling can split
-    copies = cut(base.join(cut(classes), ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
+    copies = late.cut(base.join(late.cut(classes), ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
     signed = rows.where("doc_id IS NOT NULL").mapInArrow(lean(lambda it: _signed(it, width, num, den)), "sig long, doc long, own boolean")
     # rows with `own` are known to have company, and are dealt out one by one; of the others a task sends one a signature
     shared = signed.selectExpr("sig", "doc", "own", "count(*) OVER (PARTITION BY sig, IF(own, doc, NULL)) AS n").where("own OR n > 1")
-    shared = cut(shared.join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct())
-    stars = cut(shared.join(cut(_distinct_buckets(shared)), "sig").select("doc", "p", "n"))
-    wanted = cut(stars.select(F.col("doc").alias("doc_id")).distinct())
+    shared = early.cut(shared.join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct())
+    stars = late.cut(shared.join(early.cut(_distinct_buckets(shared)), "sig").select("doc", "p", "n"))
+    early.drop()
+    wanted = late.cut(stars.select(F.col("doc").alias("doc_id")).distinct())
     # candidates are few beside the rows; their ids are broadcast only if counted small, else the texts are shuffled
     held = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = cut(rows.join(held, "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, width)), "doc_id long, n long, sketch array<long>, items array<long>").withColumn("d", F.xxhash64("items")).dropDuplicates(["doc_id", "d"]))
+    sets = late.cut(rows.join(held, "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, width)), "doc_id long, n long, sketch array<long>, items array<long>").withColumn("d", F.xxhash64("items")).dropDuplicates(["doc_id", "d"]))
 
-    first = cut(stars.where("doc <> p").select(F.col("doc").alias("a"), F.col("p").alias("b")).distinct())
-    edges = cut(verified(first, sets, num, den))
+    first = late.cut(stars.where("doc <> p").select(F.col("doc").alias("a"), F.col("p").alias("b")).distinct())
+    edges = late.cut(verified(first, sets, num, den))
     # of two sets none is left to compare, nor is the pivot
-    rest = cut(_rest(stars.where("n > 2 AND doc <> p").select("doc", "p").distinct(), components(edges), sets, num, den))
-    edges = edges.union(cut(verified(rest.join(first, ["a", "b"], "left_anti"), sets, num, den)))
+    linked = components(edges)
+    rest = late.cut(_rest(stars.where("n > 2 AND doc <> p").select("doc", "p").distinct(), linked, sets, num, den, late))
+    drop_cut(linked)
+    edges = edges.union(late.cut(verified(rest.join(first, ["a", "b"], "left_anti"), sets, num, den)))
     whole = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = components(whole.union(edges))
+    late.drop()
     out = base.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -43,6 +43,21 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables of one operator's run that its result does not read; drop() deletes those made so far."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.held.append(cut(df))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        while self.held:
+            drop_cut(self.held.pop())
+
+
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
