@@ -7,14 +7,17 @@ has c / (n + d) and the escape d / (n + d). After an escape the next shorter con
 longer one. As a context's symbols all follow its suffix too, what is left out is a sum per context, which one join
 computes, so exclusion is exact. Past the empty context every symbol not yet seen there is equally likely.
 
-How it scales: a block is a split of the input files (or a hash class of doc_id where there are no files). The first
-pass counts the distinct words and grams of each block in its own task and sends only these; a window by key gives
+How it scales: a block is a split of the input files, or one of several hash classes of its rows, as many as it has
+BLOCK bytes (where there are no files, classes of all rows by Spark's estimate of their size). Its texts and its keys
+are so bounded, whatever the size of a split. The first pass counts the distinct words and grams of each block in its own task and sends only these; a window by key gives
 each block the corpus counts of its own keys, and grams get their code length by joins of trie tables. The second
-pass sends the texts once, by block, behind the block's part of the model, and streams them against it. A key has a
-row per block at most, so none is hot; no table is broadcast and nothing but two totals reaches the driver.
+pass sends the texts once, by block, behind the block's part of the model, and streams them against it; blocks are
+numbered, and each number is a task of its own. A key has a row per block at most, so none is hot; nothing but three
+totals reaches the driver.
 
 Null texts count as empty, and an empty text has one token, its end. Null ids are scored and belong to the training
-part. Equal ids are scored row by row. Other columns are ignored. Words are keyed by 64-bit hashes; among w distinct
+part. Equal ids are scored row by row. Other columns are ignored. A symbol that the first pass did not see in its block,
+which only an input that changes meanwhile can have, costs as much as any of SYMBOLS equally likely ones. Words are keyed by 64-bit hashes; among w distinct
 words a collision has odds of about w^2 / 2^65. An empty table gives no rows.
 """
 
@@ -28,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import cut, lean, partitions, ship, trim
+from .runtime import Scratch, cut, lean, partitions, ship, trim
 
 ORDER = 5
 BITS, SYMBOL, SYMBOLS = 9, 511, 257
 WORD, GRAM, DOC = 0, 1, 2
-FLUSH = 1 << 21
+FLUSH, BLOCK = 1 << 21, 16 << 20
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -73,7 +76,11 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
         held.clear()
 
     for batch in batches:
-        blocks, train = batch["block"].to_numpy(zero_copy_only=False), ~batch["held_out"].to_numpy(zero_copy_only=False)
+        blocks = batch["block"].to_numpy(zero_copy_only=False)
+        if (blocks[1:] != blocks[:-1]).any():  # classes of one split, which lie mixed
+            batch = batch.take(pa.array(np.argsort(blocks, kind="stable")))
+            blocks = batch["block"].to_numpy(zero_copy_only=False)
+        train = ~batch["held_out"].to_numpy(zero_copy_only=False)
         edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]]) if len(blocks) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             for part in textkit.slices(batch["text"].slice(a, b - a)):
@@ -97,18 +104,18 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
     yield from emitted()
 
 
-def trie(grams_: DataFrame, order: int = ORDER) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+def trie(grams_: DataFrame, scratch: Scratch, order: int = ORDER) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
     """From training grams (key, n): for each depth the counts (key, n), and for each context its n, d and x, the
     count of its symbols in the context one shorter (what exclusion takes away there)."""
     counts = {order: grams_}
     for k in range(order - 1, -1, -1):
-        counts[k] = cut(counts[k + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
+        counts[k] = scratch.cut(counts[k + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
     contexts = {}
     for k in range(order, -1, -1):
         rows = counts[k]
         if k:
             rows = rows.withColumn("short", F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1))).join(counts[k - 1].select(F.col("key").alias("short"), F.col("n").alias("m")), "short")
-        contexts[k] = cut(rows.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("d"), (F.sum("m") if k else F.lit(0)).cast("long").alias("x")))
+        contexts[k] = scratch.cut(rows.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("d"), (F.sum("m") if k else F.lit(0)).cast("long").alias("x")))
     return counts, contexts
 
 
@@ -152,14 +159,12 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
             if not tables:
                 for kind, found in parts.items():
                     keys, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
-                    tables[kind] = textkit.Lookup(keys, values, np.nan if kind == GRAM else 0.0)
+                    tables[kind] = textkit.Lookup(keys, values, float(np.log10(SYMBOLS)) if kind == GRAM else 0.0)
                 parts = {WORD: [], GRAM: []}
                 trim()
             for part in textkit.slices(piece["text"]):
                 packed, offsets = grams(part, order)
                 logs, bits = tables[WORD].get(part.words().view(np.int64)), tables[GRAM].get(packed)
-                if np.isnan(bits).any():
-                    raise RuntimeError("a block changed between two reads of the input")
                 yield pa.record_batch(
                     [piece["key"].slice(part.first, len(part)), pa.array(np.diff(part.word_offsets) + 1), pa.array(textkit.sums((logs > 0).astype(np.int64), part.word_offsets)), pa.array(textkit.sums(logs, part.word_offsets)), pa.array(-textkit.sums(bits, offsets))],
                     ["doc_id", "n_tokens", "n_known", "logs", "score"],
@@ -174,8 +179,14 @@ def ppm_score(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder:
     """
     spark = docs.sparkSession
     ship(spark)
-    split = F.when(F.input_file_name() == "", F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(spark)))).otherwise(F.input_file_block_start())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.input_file_name(), split).alias("block"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    loose = min(max(4 * partitions(spark), size // BLOCK + 1), 1 << 20)
+    text = F.coalesce("text", F.lit(""))
+    filed = F.input_file_name() != ""
+    classes = F.when(filed, F.ceil(F.greatest(F.input_file_block_length(), F.lit(1)) / BLOCK)).otherwise(F.lit(loose))
+    own = F.pmod(F.xxhash64("doc_id", F.octet_length(text)), classes.cast("long"))
+    block = F.xxhash64(F.input_file_name(), F.when(filed, F.input_file_block_start()).otherwise(F.lit(0)), own)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), block.alias("block"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
     found = rows.select("block", "held_out", "text").mapInArrow(lean(lambda it: _counts(it, order)), "block long, kind byte, key long, n long")
     # a row per block and key, with the count over all blocks; `first` marks one of each key's rows
     known = cut(found.selectExpr("block", "kind", "key", "n", "sum(n) OVER (PARTITION BY kind, key) AS total", "row_number() OVER (PARTITION BY kind, key ORDER BY block) = 1 AS first"))
@@ -184,13 +195,17 @@ def ppm_score(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("first") & (F.col("total") > 0), 1)).alias("v")).first()
     ends = rows.where(~F.col("held_out")).select("held_out").count()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    seen = cut(known.where(f"kind = {GRAM} AND first AND total > 0").select("key", F.col("total").alias("n")))
-    counts, contexts = trie(seen, order)
+    scratch = Scratch()
+    seen = scratch.cut(known.where(f"kind = {GRAM} AND first AND total > 0").select("key", F.col("total").alias("n")))
+    counts, contexts = trie(seen, scratch, order)
     lengths = cut(code_lengths(known.where(f"kind = {GRAM} AND first").select("key"), counts, contexts))
+    scratch.drop()
     # a block whose counts were flushed midway has several rows of one key, all with the same value
     model = words.where("total > 0").select("block", "kind", "key", F.log10(F.col("total") + 1).alias("value")).unionByName(known.where(f"kind = {GRAM}").join(lengths, "key").select("block", "kind", "key", F.col("bits10").alias("value"))).withColumn("text", F.lit(None).cast("string"))
     texts = rows.select("block", F.lit(DOC).cast("byte").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("double").alias("value"), "text")
-    scored = model.unionByName(texts).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(lean(lambda it: _scored(it, order)), "doc_id long, n_tokens long, n_known long, logs double, score double")
+    numbers = cut(known.select("block").distinct().selectExpr("block", "CAST(row_number() OVER (ORDER BY block) - 1 AS INT) AS number"))
+    tasks = max(1, numbers.count())
+    scored = model.unionByName(texts).join(numbers, "block").repartitionById(tasks, "number").sortWithinPartitions("block", "kind").drop("number").mapInArrow(lean(lambda it: _scored(it, order)), "doc_id long, n_tokens long, n_known long, logs double, score double")
     end = float(np.log10(ends + 1))
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
