@@ -13,9 +13,10 @@ be the inside of one: if it reaches WORDS words with what is beside it, the wind
 the originals of its chunks, are compared by digests of their own, and every window but the first goes. What repeats
 over fewer words, such as a common closing line, stays. A text that repeats itself keeps its first period.
 
-The first of each digest is found by a pre-aggregated minimum, so a passage in a third of all texts costs one row per
-task; the join of chunks with repeated digests is left to skew handling. The chunk table is written once and read
-twice. Spans are gathered by document and text, and are bounded by its length. No digest comes to the driver.
+Of equal chunks that meet in one task all but the first are known there to be repeated, with that first as original;
+only one row of each digest and task goes on to meet those of other tasks, so a passage in a third of all texts is not
+hot. The chunks are made and shuffled once. Spans are gathered by document and text, and are bounded by its length. No
+digest comes to the driver.
 
 Null texts count as empty, and an empty text has no chunks. Null ids are returned whole. Rows repeated under one id and
 text are treated alike; different texts under one id are texts of their own. Other columns are kept by deduplicated(). A
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -41,10 +42,11 @@ GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
 #: units from the end of a passage to where its chunks are its own: a hash looks back 16 bytes, 8 units at most
 EDGE = WINDOW + 8
-#: units beside a chunk of which its row keeps two bits each; ids that go to every task
-BESIDE, BROADCAST_IDS = 14, 500_000
-#: place: text key and first unit; span: first byte and bytes; beside: bits of units before and after, and units of its own
-CHUNK = "d1 long, d2 long, doc_id long, place long, span long, beside long"
+#: units beside a chunk of which its row keeps two bits each; ids that go to every task; rows that a task holds
+BESIDE, BROADCAST_IDS, HELD = 14, 500_000, 1 << 19
+#: place: 27 bits that tell the texts of an id apart, 32 of the first unit, 5 of the units; beside: bits of units before
+#: and after, or, where f and origin name the original, what differs there
+CHUNK = "d1 long, d2 long, doc_id long, place long, beside long, f long, origin long"
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -108,8 +110,12 @@ def chunks(part: textkit.Slice, every: Units, window: int = WINDOW) -> tuple[np.
     return np.concatenate([[0], end[:-1] + 1]), end
 
 
-def _digests(part: textkit.Slice, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
-    return [pa.array(part.spans(part.prefix(lower=False, base=b), start, end, base=b).view(np.int64)) for b in (textkit.BASE, OTHER)]
+def _digests(part: textkit.Slice, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    return [part.spans(part.prefix(lower=False, base=b), start, end, base=b).view(np.int64) for b in (textkit.BASE, OTHER)]
+
+
+def _unit(place: np.ndarray) -> np.ndarray:
+    return place >> 5 & 0xFFFFFFFF
 
 
 def _beside(part: textkit.Slice, every: Units, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,37 +130,68 @@ def _beside(part: textkit.Slice, every: Units, first: np.ndarray, last: np.ndarr
     return before, after
 
 
+def _told(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows d1, d2, doc_id, place, beside, of each digest the first as it is, the others with it as their original and
+    dealt by themselves; rows repeated in full are one."""
+    d1, d2, ids, place, beside = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.lexsort((place, ids, d2, d1))
+    d1, d2, ids, place, beside = (x[order] for x in (d1, d2, ids, place, beside))
+    new = np.ones(len(d1), bool)
+    new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+    kept = np.ones(len(d1), bool)
+    kept[1:] = new[1:] | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = ~new
+    d1 = np.where(own, textkit.mix((ids ^ place).view(np.uint64), 71).view(np.int64), d1)
+    beside = np.where(own, beside ^ beside[first], beside)
+    rows = np.flatnonzero(kept)
+    for i in range(0, len(rows), 100_000):
+        at = rows[i : i + 100_000]
+        mask = new[at]
+        yield pa.record_batch([*(pa.array(x[at]) for x in (d1, d2, ids, place, beside)), pa.array(ids[first[at]], mask=mask), pa.array(place[first[at]], mask=mask)], ["d1", "d2", "doc_id", "place", "beside", "f", "origin"])
+
+
+def _noted(made: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
+    for found in made:
+        held.append(found)
+        if sum(len(x[0]) for x in held) > HELD:
+            yield from _told(held)
+    if held:
+        yield from _told(held)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in textkit.slices(b["text"]):
-            found = units(part)
-            first, last = chunks(part, found)
-            doc = found.doc[first]
-            start, end = found.start[first], found.end[last]
-            before, after = _beside(part, found, first, last)
-            ids, t = (b[c].slice(part.first, len(part)) for c in ("doc_id", "t"))
-            place = t.to_numpy().astype(np.int64)[doc] << 32 | first - found.offsets[doc]
-            more = [place, start - part.offsets[doc] << 32 | end - start, last - first + 1 << 4 * BESIDE | after << 2 * BESIDE | before]
-            yield pa.record_batch([*_digests(part, start, end), ids.take(pa.array(doc)), *map(pa.array, more)], ["d1", "d2", "doc_id", "place", "span", "beside"])
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many units two chunks may have in common beside them, EDGE if all that are kept are alike."""
-    x = a ^ b
+    def made() -> Iterator[list[np.ndarray]]:
+        for b in batches:
+            for part in textkit.slices(b["text"]):
+                found = units(part)
+                first, last = chunks(part, found)
+                doc = found.doc[first]
+                before, after = _beside(part, found, first, last)
+                ids, t = (b[c].slice(part.first, len(part)).to_numpy() for c in ("doc_id", "t"))
+                place = t[doc].astype(np.int64) << 37 | first - found.offsets[doc] << 5 | last - first + 1
+                yield [*_digests(part, found.start[first], found.end[last]), ids[doc], place, after << 2 * BESIDE | before]
+
+    return _noted(made())
+
+
+def _alike(x: np.ndarray) -> np.ndarray:
+    """How many units two chunks may have in common on a side where x differs; EDGE if all that are kept are alike."""
     return np.where(x == 0, EDGE, np.bitwise_count((x & -x) - 1) // 2)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the repeated chunks of each text: its spans that go; and, with `ask`, windows to compare, as ranges of units, of
-    this text and of its chunks' originals."""
+    """From the repeated chunks of each text: what goes of it, as ranges of units; and, with `ask`, ranges in which windows
+    are to be compared, of this text and of its chunks' originals."""
     side = (1 << 2 * BESIDE) - 1
     for b in batches:
         lists = b["chunks"]
         row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
         flat = dict(zip([f.name for f in lists.type.value_type], (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()), strict=True))
-        u, m, at, size, g = flat["place"] & 0xFFFFFFFF, flat["beside"] >> 4 * BESIDE, flat["span"] >> 32, flat["span"] & 0xFFFFFFFF, flat["origin"] & 0xFFFFFFFF
-        left = _alike(flat["beside"] & side, flat["around"] & side)
-        right = _alike(flat["beside"] >> 2 * BESIDE & side, flat["around"] >> 2 * BESIDE & side)
+        u, m, g = _unit(flat["place"]), flat["place"] & 31, _unit(flat["origin"])
+        left, right = _alike(flat["beside"] & side), _alike(flat["beside"] >> 2 * BESIDE & side)
         new = np.ones(len(u), bool)
         new[1:] = (row[1:] != row[:-1]) | (u[1:] != u[:-1] + m[:-1])
         first = np.flatnonzero(new)
@@ -165,45 +202,52 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, end = u[first], u[last] + m[last]
         # how far a passage around the run may reach, by any of its chunks and that one's original
         low, high = np.minimum(np.minimum.reduceat(u - left, first), start), np.maximum(np.maximum.reduceat(u + m + right, first), end)
-        long = end - start >= WORDS
-        bytes_ = at[last] + size[last] - at[first]
-        gone, shift, own = long & (bytes_ >= 2 * WORDS - 1), g - u, pa.array(row[first])
-        t = (flat["origin"] >> 32).astype(np.int32)
+        long, shift, own, t = end - start >= WORDS, g - u, pa.array(row[first]), (flat["origin"] >> 37).astype(np.int32)
 
         def told(ids: list[pa.Array], x: np.ndarray, y: np.ndarray, ask: bool) -> pa.RecordBatch:
             return pa.record_batch([*ids, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(len(x), ask))], ["doc_id", "t", "x", "y", "ask"])
 
         mine = lambda which: [b[c].take(own).filter(pa.array(which)) for c in ("doc_id", "t")]
-        theirs = lambda at_: [pa.array(flat["f"][at_]), pa.array(t[at_])]
-        yield told(mine(gone), at[first][gone], (at[first] + bytes_)[gone], False)
+        theirs = lambda at: [pa.array(flat["f"][at]), pa.array(t[at])]
+        yield told(mine(long), start[long], end[long], False)
         # a short run's windows, here and at the originals of all its chunks
         short = ~long & (high - low >= WORDS)
         yield told(mine(short), low[short], high[short], True)
         inner = np.flatnonzero(short[run])
         yield told(theirs(inner), low[run[inner]] + shift[inner], high[run[inner]] + shift[inner], True)
         # of a long one, those that reach beyond its ends
-        for some, at_, x, y in ((long & (low < start), first, low, start + WORDS - 1), (long & (high > end), last, end - WORDS + 1, high)):
+        for some, at, x, y in ((long & (low < start), first, low, start + WORDS - 1), (long & (high > end), last, end - WORDS + 1, high)):
             yield told(mine(some), x[some], y[some], True)
-            yield told(theirs(at_[some]), x[some] + shift[at_[some]], y[some] + shift[at_[some]], True)
+            yield told(theirs(at[some]), x[some] + shift[at[some]], y[some] + shift[at[some]], True)
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of WORDS units inside `ranges` of units."""
-    for b in batches:
-        for part in textkit.slices(b["text"]):
-            ranges = b["ranges"].slice(part.first, len(part))
-            found = units(part)
-            doc = np.repeat(np.arange(len(part)), ranges.value_lengths().to_numpy(zero_copy_only=False))
-            low, high = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
-            low, high = np.maximum(low, 0), np.minimum(high, np.diff(found.offsets)[doc])
-            many = np.maximum(0, high - low - WORDS + 1)
-            at = np.repeat(found.offsets[doc] + low - np.cumsum(many) + many, many) + np.arange(many.sum())
-            at = np.unique(at)
-            doc = found.doc[at]
-            start, end = found.start[at], found.end[at + WORDS - 1]
-            ids, t = (b[c].slice(part.first, len(part)) for c in ("doc_id", "t"))
-            more = [t.to_numpy().astype(np.int64)[doc] << 32 | at - found.offsets[doc], start - part.offsets[doc] << 32 | end - start, np.zeros(len(at), np.int64)]
-            yield pa.record_batch([*_digests(part, start, end), ids.take(pa.array(doc)), *map(pa.array, more)], ["d1", "d2", "doc_id", "place", "span", "beside"])
+
+    def made() -> Iterator[list[np.ndarray]]:
+        for b in batches:
+            for part in textkit.slices(b["text"]):
+                ranges = b["ranges"].slice(part.first, len(part))
+                found = units(part)
+                doc = np.repeat(np.arange(len(part)), ranges.value_lengths().to_numpy(zero_copy_only=False))
+                low, high = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
+                low, high = np.maximum(low, 0), np.minimum(high, np.diff(found.offsets)[doc])
+                many = np.maximum(0, high - low - WORDS + 1)
+                at = np.unique(np.repeat(found.offsets[doc] + low - np.cumsum(many) + many, many) + np.arange(many.sum()))
+                doc = found.doc[at]
+                ids, t = (b[c].slice(part.first, len(part)).to_numpy() for c in ("doc_id", "t"))
+                yield [*_digests(part, found.start[at], found.end[at + WORDS - 1]), ids[doc], t[doc].astype(np.int64) << 37 | at - found.offsets[doc] << 5, np.zeros(len(at), np.int64)]
+
+    return _noted(made())
+
+
+def _again(made: DataFrame) -> DataFrame:
+    """doc_id, t, place, beside (what differs from the original's), f and origin (id and place of it) of all rows of made
+    whose digest has an earlier one."""
+    first = F.first(F.struct("doc_id", "place", "beside")).over(Window.partitionBy("d1", "d2").orderBy("doc_id", "place"))
+    rows = made.withColumn("first", first).where("f IS NOT NULL OR doc_id <> first.doc_id OR place <> first.place")
+    apart = F.when(F.col("f").isNull(), F.col("beside").bitwiseXOR(F.col("first.beside"))).otherwise(F.col("beside"))
+    return rows.select("doc_id", F.shiftright("place", 37).cast("int").alias("t"), "place", apart.alias("beside"), F.coalesce("f", "first.doc_id").alias("f"), F.coalesce("origin", "first.place").alias("origin"))
 
 
 def _near(rows: DataFrame) -> DataFrame:
@@ -211,42 +255,26 @@ def _near(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def _again(made: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of made whose digest is not the first; f, origin, around: id, place and surroundings of the first.
-
-    Digests are counted by one half alone; what that leaves, few rows, is compared in full.
-    """
-    twice = scratch.cut(made.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
-    some = scratch.cut(made.join(_near(twice), "d1", "left_semi"))
-    place = F.struct("doc_id", "place")
-    firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "place", "beside")).alias("first"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-    # as a table of its own, so that both sides of the join are plain shuffles, which skew handling can split
-    firsts = scratch.cut(firsts.select("d1", "d2", F.col("first.doc_id").alias("f"), F.col("first.place").alias("origin"), F.col("first.beside").alias("around")))
-    return some.join(firsts, ["d1", "d2"]).where("doc_id <> f OR place <> origin").withColumn("t", F.shiftright("place", 32).cast("int"))
-
-
 def text_key() -> Column:
-    """Tells texts of one id apart."""
-    return F.hash(F.coalesce("text", F.lit("")))
+    """Tells texts of one id apart, by 26 bits."""
+    return F.pmod(F.hash(F.coalesce("text", F.lit(""))), F.lit(1 << 26)).cast("int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, spans): for each text that has any, what goes of it as sorted (start, end) of UTF-8 bytes; they may overlap."""
+    """(doc_id, t, spans): for each text that has any, what goes of it as sorted (start, end) of units; they may overlap."""
     ship(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), "text")
-    early, late = Scratch(), Scratch()
-    made = early.cut(rows.mapInArrow(lean(_chunked), CHUNK))
-    gathered = _again(made, early).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "span", "beside", "f", "origin", "around"))).alias("chunks"))
-    found = late.cut(gathered.mapInArrow(lean(_runs), "doc_id long, t int, x int, y int, ask boolean"))
-    early.drop()
-    ranges = late.cut(found.where("ask").groupBy("doc_id", "t").agg(F.collect_set(F.struct("x", "y")).alias("ranges")))
+    scratch = Scratch()
+    made = rows.mapInArrow(lean(_chunked), CHUNK)
+    gathered = _again(made).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "beside", "f", "origin"))).alias("chunks"))
+    found = scratch.cut(gathered.mapInArrow(lean(_runs), "doc_id long, t int, x int, y int, ask boolean"))
+    ranges = scratch.cut(found.where("ask").groupBy("doc_id", "t").agg(F.collect_set(F.struct("x", "y")).alias("ranges")))
     asked = rows.join(_near(ranges.select("doc_id", "t")), ["doc_id", "t"], "left_semi")
-    windows = late.cut(asked.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), CHUNK))
-    at, size = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    more = _again(windows, late).where(size >= 2 * WORDS - 1).select("doc_id", "t", at, at + size)
-    spans = found.where("NOT ask").select("doc_id", "t", "x", "y").union(more)
+    windows = _again(asked.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), CHUNK))
+    at = F.shiftright("place", 5).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    spans = found.where("NOT ask").select("doc_id", "t", "x", "y").union(windows.select("doc_id", "t", at, at + WORDS))
     whole = cut(spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("x").alias("start"), F.col("y").alias("end")))).alias("spans")))
-    late.drop()
+    scratch.drop()
     return whole
 
 
@@ -285,12 +313,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             texts, some = b["text"], pc.is_valid(b["_cdc_spans"])
             at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
             gone: list[list[dict[str, int]]] = [[] for _ in range(len(b))]
-            made = []
-            for i, text, found in zip(at.tolist(), texts.filter(some).to_pylist(), b["_cdc_spans"].filter(some).to_pylist(), strict=True):
-                raw, cuts = text.encode(), merged([(s["start"], s["end"]) for s in found])
-                edges = [0, *(x for c in cuts for x in c), len(raw)]
-                made.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode())
-                gone[i] = [{"start": x, "end": y} for x, y in cuts]
+            made, held, chosen = [], texts.filter(some), b["_cdc_spans"].filter(some).to_pylist()
+            for part in textkit.slices(held):
+                every = units(part)
+                for k in range(len(part)):
+                    base, begin = every.offsets[k], part.offsets[k]
+                    cuts = [(int(every.start[base + x] - begin), int(every.end[base + y - 1] - begin)) for x, y in merged([(s["start"], s["end"]) for s in chosen[part.first + k]])]
+                    cuts = [c for c in cuts if c[1] - c[0] >= 2 * WORDS - 1]
+                    raw = part.raw[begin : part.offsets[k + 1]].tobytes()
+                    edges = [0, *(x for c in cuts for x in c), len(raw)]
+                    made.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode())
+                    gone[at[part.first + k]] = [{"start": x, "end": y} for x, y in cuts]
             less = pc.replace_with_mask(texts, some, pa.array(made, texts.type)) if made else texts
             spans_ = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             counts = pc.cast(pc.list_value_length(spans_), pa.int32())
