@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}]+|[0-9]+"
+TOKEN = r"[\u4e00-\u9fff]|[a-z]+|\p{Nd}+(?:\.\p{Nd}+)?"
+# fixed values: words of a question that say nothing about its subject
+STOP = (
+    "题型 型题 单句 最佳 选择 选项 答案 正确 错误 有关 关于 下列 以下 其中 描述 说法 关系 的是 一个 一种 主要 可以 可能 应该 应当 属于 不属于 "
+    "a b c d e f 的 了 于 与 和 或 及 中 是 为 在 有 无 可 使 由 对 最 全"
+).split()
 SPACES = r"^[ \t\n\f\r]+|[ \t\n\f\r]+$"
 
 
@@ -24,16 +29,22 @@ def one_line(c: Column, limit: int) -> Column:
     return F.substring(F.regexp_replace(strip(c), "[ \t\n\f\r]+", " "), 1, limit)
 
 
+def squeezed(c: Column) -> Column:
+    """White space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
 def plain(c: Column) -> Column:
     """HTML or light markup as text: <br> becomes a line end, other tags go."""
     return strip(F.regexp_replace(F.regexp_replace(c, "(?i)<br */?>", "\n"), "<[^>]*>", ""))
 
 
 def tokens(c: Column) -> Column:
+    """Single Han characters, Latin words in lower case, and numbers with their decimals."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def query_terms(c: Column, stop: Sequence[str] = (), most: int = 16) -> Column:
+def query_terms(c: Column, stop: Sequence[str] = STOP, most: int = 16) -> Column:
     """The first `most` distinct tokens that are no stop words, in order of appearance."""
     found = F.array_distinct(tokens(c))
     if stop:
@@ -42,8 +53,8 @@ def query_terms(c: Column, stop: Sequence[str] = (), most: int = 16) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Distinct neighbouring pairs of the letters and digits of a text, lower-cased."""
-    kept = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    """Distinct neighbouring pairs of a text's ASCII letters and digits and Han characters, case folded."""
+    kept = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"[^0-9a-z\u4e00-\u9fff]+", "")
     return F.when(F.char_length(kept) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(kept) - 1), lambda i: F.substring(kept, i, F.lit(2)))))
 
 

@@ -141,8 +141,13 @@ def by_lines(texts: DataFrame, most: int = 8000) -> DataFrame:
     """Texts (id, text) as pieces of whole lines of at most `most` characters; a longer line is cut."""
     line = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit("\n")))
     parts = F.flatten(F.transform(line, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.char_length(x) - 1) / most)).cast("int")), lambda i: F.substring(x, i * most + 1, F.lit(most)))))
-    empty = F.array().cast("array<string>")
-    grown = F.aggregate(parts, empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.char_length(F.get(acc, F.size(acc) - 1)) + F.char_length(x) <= most), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.get(acc, F.size(acc) - 1), x)))).otherwise(F.concat(acc, F.array(x))))
+    # the fold carries numbers alone: where pieces begin, and the length of the last
+    first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(most + 1).alias("size"))
+    sized = F.transform("_parts", lambda x, i: F.struct(i.alias("i"), F.char_length(x).alias("n")))
+    fold = F.aggregate(sized, first, lambda acc, x: F.when(acc["size"] + x["n"] <= most, F.struct(acc["starts"].alias("starts"), (acc["size"] + x["n"]).alias("size"))).otherwise(F.struct(F.concat(acc["starts"], F.array(x["i"])).alias("starts"), x["n"].alias("size"))))
+    texts = texts.select("id", parts.alias("_parts")).withColumn("_starts", fold["starts"])
+    ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.lit(0), F.size("_starts") - 1)), F.array(F.size("_parts")))
+    grown = F.zip_with("_starts", ends, lambda x, y: F.array_join(F.slice(F.col("_parts"), x + 1, y - x), ""))
     return texts.select("id", F.posexplode(grown).alias("at", "piece"))
 
 

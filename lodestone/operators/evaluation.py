@@ -12,6 +12,43 @@ from pyspark.sql import functions as F
 from ..functions.scoring import hybrid_score
 
 
+#: vectors and queries that meet in one task
+PART, BLOCK = 20_000, 2_000
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, cosine (6 decimals): the k vectors of greatest cosine to each query, of equal ones the least ids.
+
+    Queries (query_id, vector) meet all vectors (vec_id, vector) in blocks: each task holds BLOCK queries and PART vectors
+    at most, in double precision, and gives k rows a query; a vector is no neighbour of the query of its id. Null vectors
+    must be left out; zero vectors have a cosine of 0, as have those of another length.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n, m = vectors.count(), queries.count()
+    parts, blocks = max(8, n // PART + 1), m // BLOCK + 1
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    right = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+
+    def met(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for size in {len(x) for x in q["vector"]}:
+            mine, theirs = (t[t["vector"].map(len) == size] for t in (q, v))
+            a, b = (np.stack(t["vector"].to_numpy()).astype(float) if len(t) else np.zeros((0, size)) for t in (mine, theirs))
+            unit = lambda x: x / np.where((s := np.sqrt((x * x).sum(1, keepdims=True))) == 0, 1, s)
+            ids = theirs["vec_id"].to_numpy()
+            for i, row in zip(mine["query_id"].to_numpy(), np.round(unit(a) @ unit(b).T, 6), strict=True):
+                order = np.lexsort((ids, -row))[: k + 1]
+                order = order[ids[order] != i][:k]
+                found.append(pd.DataFrame({"query_id": i, "vec_id": ids[order], "cosine": row[order]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(met, "query_id long, vec_id long, cosine double")
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("_r") <= k).drop("_r")
+
+
 def outcomes(candidates: DataFrame, truths: DataFrame, accepted: Column, score: Column, by: tuple[str, ...] = (), k: int = 3) -> DataFrame:
     """Per query (and setting): n_pred and rank of the first hit among its first k accepted candidates."""
     keys = [*by, "query_id"]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine, hybrid_score, tiers
-from ..functions.text import query_terms, tokens
+from ..functions.text import STOP, query_terms, tokens
+from ..store import kept
+
+#: (query, term) rows that go to every task
+BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -26,41 +31,80 @@ FTS = Variant(1.2, floor=1e-6)
 OKAPI = Variant(1.5, epsilon=0.25, distinct=False)
 
 
-def indexed(chunks: DataFrame) -> DataFrame:
-    """chunk_id, tokens, length of each chunk (chunk_id, chunk_text)."""
-    return chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("tokens")).withColumn("length", F.size("tokens"))
+@dataclass(frozen=True)
+class Index:
+    """Chunks, each with its tokens and a number `at`, kept once and dealt by it; how many there are, their mean length."""
+
+    chunks: DataFrame
+    n: int
+    mean: float
+    carried: tuple[str, ...]
+
+    def told(self, found: DataFrame) -> DataFrame:
+        """found (at, ...) with chunk_id and what the index carries."""
+        mine = [c for c in ("chunk_id", *self.carried) if c not in found.columns]
+        return found.join(self.chunks.select("at", *mine), "at").drop("at")
+
+
+def indexed(chunks: DataFrame, carry: tuple[str, ...] = ()) -> Index:
+    """The index of chunks (chunk_id, chunk_text and columns to carry): they are read and cut into tokens once."""
+    rows = chunks.select("chunk_id", *carry, tokens(F.col("chunk_text")).alias("tokens")).withColumn("at", F.monotonically_increasing_id())
+    rows = kept(rows.withColumn("length", F.size("tokens")).repartition("at"))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
+    return Index(rows, size["n"], size["mean"], carry)
 
 
-def asked(queries: DataFrame, text: str = "text", stop: tuple[str, ...] = (), variant: Variant = FTS) -> DataFrame:
-    """query_id, term, times: the terms each query asks for."""
+def asked(queries: DataFrame, text: str = "text", stop: Sequence[str] = STOP, variant: Variant = FTS) -> DataFrame:
+    """query_id, term, times: the terms each query asks for; stop words count in the variant that takes no repeats."""
     found = query_terms(F.col(text), stop) if variant.distinct else tokens(F.col(text))
     return queries.select("query_id", F.explode(found).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(chunks: DataFrame, terms: DataFrame, variant: Variant = FTS) -> DataFrame:
-    """query_id, chunk_id, score (6 decimals, higher is better) for each chunk that has a query's term.
+def bm25(index: Index, terms: DataFrame, variant: Variant = FTS, by: str | None = None) -> DataFrame:
+    """query_id, at, score (6 decimals, higher is better), and the carried column `by`, of each chunk with a query's term.
 
-    Statistics come from all chunks, whatever scope a search has. Postings are kept of asked terms only, counted per
-    chunk before they are shuffled; document frequencies are sums over those. Okapi's mean idf needs the frequencies of
-    the whole vocabulary, one more pre-aggregated pass.
+    Statistics come from all chunks, whatever scope a search has. Postings are made of asked terms only, where a chunk
+    lies, and a chunk's scores are sums there: no posting or hit is shuffled. Queries' terms go to the chunks by broadcast
+    if they are counted few, else both meet by term. Okapi's mean idf needs the frequencies of the whole vocabulary, one
+    more pre-aggregated pass.
     """
-    index = indexed(chunks)
-    size = index.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    n, mean = size.select("n").scalar(), size.select("mean").scalar()
+    n, mean, more = index.n, max(index.mean, 1e-9), [by] if by else []
     idf = lambda df: F.log((n - df + 0.5) / (df + 0.5))
-    wanted = terms.select("term").distinct()
-    exploded = index.select("chunk_id", "length", F.explode("tokens").alias("term"))
-    postings = exploded.join(wanted, "term").groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    few = terms.count() <= BROADCAST_TERMS
+    near = F.broadcast if few else lambda x: x
+    tokens_ = index.chunks.select("at", *more, "length", F.explode("tokens").alias("term"))
+    postings = tokens_.join(near(terms.select("term").distinct()), "term", "left_semi").groupBy("at", *more, "length", "term").agg(F.count("*").alias("tf"))
     weights = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df")))
     if variant.floor is not None:
         weights = weights.withColumn("idf", F.when(F.col("idf") <= 0, variant.floor).otherwise(F.col("idf")))
     if variant.epsilon is not None:
-        every = index.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        usual = every.agg(F.avg(idf(F.col("df"))).alias("m")).scalar()
+        every = index.chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        usual = every.agg(F.coalesce(F.avg(idf(F.col("df"))), F.lit(0.0)).alias("m")).first()["m"]
         weights = weights.withColumn("idf", F.when(F.col("idf") < 0, usual * variant.epsilon).otherwise(F.col("idf")))
+    weights = terms.join(weights, "term").select("term", "query_id", (F.col("idf") * F.col("times")).alias("weight"))
     share = F.col("tf") * (variant.k1 + 1) / (F.col("tf") + variant.k1 * (1 - variant.b + variant.b * F.col("length") / mean))
-    hits = postings.join(weights, "term").join(terms, "term").withColumn("part", F.col("idf") * share * F.col("times"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    hits = postings.withColumn("share", share).join(near(weights), "term")
+    return hits.groupBy("at", *more, "query_id").agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("score"))
+
+
+def best(index: Index, terms: DataFrame, k: int, variant: Variant = FTS, by: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank and what the index carries: the k best chunks of each query (in each `by`).
+
+    Each task keeps its own k best, and those of equal score, before any row is shuffled.
+    """
+    group = ["query_id", *([by] if by else [])]
+    hits = bm25(index, terms, variant, by)
+    near = hits.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("score")))).where(F.col("rank") <= k).drop("rank")
+    return top(index.told(near), k, group, [F.desc("score"), F.col("chunk_id")])
+
+
+def scoped(index: Index, terms: DataFrame, scope: DataFrame, k: int, on: str, variant: Variant = FTS) -> DataFrame:
+    """best() for each (query_id, role) of scope (query_id, role, and the carried column `on`): a search of its own in each
+    role's part of the index, with the statistics of all of it."""
+    hits = bm25(index, terms, variant, on).join(scope, ["query_id", on])
+    group = ["query_id", "role"]
+    near = hits.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("score")))).where(F.col("rank") <= k).drop("rank")
+    return top(index.told(near), k, group, [F.desc("score"), F.col("chunk_id")])
 
 
 def top(rows: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -100,8 +144,9 @@ def diverse(candidates: DataFrame, books: int, threshold: float, top_k: int) ->
 
 
 def merged(rows: DataFrame, score: str = "score") -> DataFrame:
-    """The best of each query's hits of one chunk over several sub-queries."""
-    return rows.groupBy("query_id", "chunk_id").agg(F.max(score).alias(score), F.count("*").alias("n_queries"))
+    """The best of each query's hits of one chunk over several sub-queries; with a column `clue`, the clues it supports."""
+    more = [F.sort_array(F.collect_set("clue")).alias("clues")] if "clue" in rows.columns else []
+    return rows.groupBy("query_id", "chunk_id").agg(F.max(score).alias(score), F.count("*").alias("n_queries"), *more)
 
 
 def aliased(subject: Column, aliases: dict[str, str], hops: int = 8) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import chunking, evaluation, evidence, retrieval
+from ..operators import chunking, evaluation, evidence, retrieval, routing
 from ..sources.readers import tables
+from ..store import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,13 +44,14 @@ raw AS (SELECT doc_id, source, lang, i, regexp_replace(regexp_replace(substr(tex
 chunks AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, chunk_text,
   lpad(CAST(doc_id AS VARCHAR), 12, '0') || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS VARCHAR), 6, '0') AS chunk_id FROM raw WHERE chunk_text <> '')"""
 
+STOPPED = ", ".join(f"'{w}'" for w in text.STOP)
 TERMS = r"""
-words AS (SELECT item_id AS query_id, unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}]+|[0-9]+') AS t FROM benchmark)),
+words AS (SELECT item_id AS query_id, unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|\p{Nd}+(?:\.\p{Nd}+)?') AS t FROM benchmark)),
 firsts AS (SELECT query_id, term, min(pos) AS pos, count(*) AS times FROM words GROUP BY ALL),
-terms AS (SELECT query_id, term, 1 AS times FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM firsts) WHERE r <= 16)"""
+terms AS (SELECT query_id, term, 1 AS times FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM firsts WHERE term NOT IN (STOPPED)) WHERE r <= 16)""".replace("STOPPED", STOPPED)
 
 INDEX = r"""
-toks AS (SELECT chunk_id, regexp_extract_all(lower(chunk_text), '[\p{L}]+|[0-9]+') AS t FROM chunks),
+toks AS (SELECT chunk_id, regexp_extract_all(lower(chunk_text), '[一-鿿]|[a-z]+|\p{Nd}+(?:\.\p{Nd}+)?') AS t FROM chunks),
 size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks),
 flat AS (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM toks),
 tf AS (SELECT term, chunk_id, length, count(*) AS tf FROM flat GROUP BY ALL),
@@ -80,14 +82,11 @@ def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return e.select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def candidates(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+def candidates(spark: SparkSession, sf: str, k: int = 20, carry: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, doc_id, book, lang, cosine of the questions' BM25 candidates that have a vector."""
-    chunks = chunked(spark, sf)
-    hits = retrieval.bm25(chunks, retrieval.asked(asked(spark, sf)))
-    best = retrieval.top(hits, k, ["query_id"], [F.desc("score"), F.col("chunk_id")], "r").drop("r")
-    doc = F.regexp_extract("chunk_id", "^0*([0-9]+)-", 1).cast("long")
-    books = tables(spark, sf, "documents")[0].select(F.col("doc_id").alias("vector_id"), F.col("source").alias("book"), "lang")
-    return retrieval.with_cosine(best.withColumn("vector_id", doc).join(books, "vector_id"), *vectors(spark, sf)).withColumnRenamed("vector_id", "doc_id")
+    index = retrieval.indexed(chunked(spark, sf).withColumnRenamed("source", "book"), ("doc_id", "book", "lang", *carry))
+    rows = retrieval.best(index, retrieval.asked(asked(spark, sf)), k, by=by).drop("rank")
+    return retrieval.with_cosine(rows.withColumnRenamed("doc_id", "vector_id"), *vectors(spark, sf)).withColumnRenamed("vector_id", "doc_id")
 
 
 @query("WITH " + WINDOWS + " SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(length(chunk_text) AS BIGINT) AS n_chars, md5(chunk_text) AS chunk_md5 FROM chunks")
@@ -95,18 +94,18 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunked(spark, sf).select("doc_id", long("chunk_index"), long(F.char_length("chunk_text"), "n_chars"), F.md5("chunk_text").alias("chunk_md5"))
 
 
-@query(r"""SELECT doc_id, count(*) AS n_lines, CAST(count_if(trim(line) <> '') AS BIGINT) AS n_full FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE NOT regexp_matches(line, '^#{1,6} ') GROUP BY doc_id HAVING count_if(trim(line) <> '') > 0""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(generate_series(1, len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\|.*\|$') THEN 'table' WHEN regexp_matches(line, '^\$\$|^\\\[') THEN 'formula' WHEN trim(line) = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM l),
+m AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN regexp_replace(line, '^#+ ', '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM k),
+n AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> kind OR kind IN ('formula', 'heading') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM m)
+SELECT doc_id, CAST(block AS BIGINT) AS block, kind, title, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5 FROM n WHERE kind NOT IN ('blank', 'heading') GROUP BY doc_id, block, kind, title""")
 def structural_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    (docs,) = tables(spark, sf, "documents")
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike("^#{1,6} ")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    made = chunking.blocks(docs).groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).cast("long").alias("n_full"))
-    return lines.join(made, "doc_id")
+    return chunking.blocks(tables(spark, sf, "documents")[0]).select("doc_id", long("block"), "kind", "title", F.md5("text").alias("text_md5"))
 
 
 @query("WITH " + ",".join([WINDOWS, TERMS, INDEX, FTS_HITS]) + " SELECT query_id, chunk_id, score, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM hits) WHERE r <= 20")
 def bm25_fts5_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = retrieval.bm25(chunked(spark, sf), retrieval.asked(asked(spark, sf)))
-    return retrieval.top(hits, 20, ["query_id"], [F.desc("score"), F.col("chunk_id")]).select("query_id", "chunk_id", "score", long("rank"))
+    return retrieval.best(retrieval.indexed(chunked(spark, sf)), retrieval.asked(asked(spark, sf)), 20).select("query_id", "chunk_id", "score", long("rank"))
 
 
 @query("WITH " + ",".join([WINDOWS, TERMS, INDEX]) + """,
@@ -116,10 +115,9 @@ hits AS (SELECT query_id, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df
 pool AS (SELECT query_id, chunk_id, score FROM hits UNION ALL SELECT q.item_id, c.chunk_id, 0.0 FROM benchmark q CROSS JOIN (SELECT chunk_id FROM chunks ORDER BY chunk_id LIMIT 40) c WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.item_id AND h.chunk_id = c.chunk_id) AND (SELECT count(*) FROM hits h WHERE h.query_id = q.item_id) < 20)
 SELECT query_id, chunk_id, score, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM pool) WHERE r <= 20""")
 def bm25_okapi_topk(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunked(spark, sf)
-    hits = retrieval.bm25(chunks, retrieval.asked(asked(spark, sf), variant=retrieval.OKAPI), retrieval.OKAPI)
-    best = retrieval.top(hits, 20, ["query_id"], [F.desc("score"), F.col("chunk_id")]).drop("rank")
-    whole = retrieval.filled(best, asked(spark, sf), chunks, 20)
+    index = retrieval.indexed(chunked(spark, sf))
+    best = retrieval.best(index, retrieval.asked(asked(spark, sf), variant=retrieval.OKAPI), 20, retrieval.OKAPI).drop("rank")
+    whole = retrieval.filled(best, asked(spark, sf), index.chunks, 20)
     return retrieval.top(whole, 20, ["query_id"], [F.desc("score"), F.col("chunk_id")]).select("query_id", "chunk_id", "score", long("rank"))
 
 
@@ -151,35 +149,40 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY cosine D
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN in_book = 1 AND cosine >= 0.55 THEN 0 ELSE 1 END, cosine DESC, chunk_id) AS rank FROM b WHERE cosine >= 0.55 OR best = 1)
 SELECT query_id, book, chunk_id, cosine, CAST(rank AS BIGINT) AS rank FROM s WHERE rank <= 4 AND (cosine >= 0.55 OR rank = 1)""")
 def per_book_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    hits = retrieval.bm25(chunked(spark, sf), retrieval.asked(asked(spark, sf)))
-    books = tables(spark, sf, "documents")[0].select(F.col("doc_id").alias("vector_id"), F.col("source").alias("book"))
-    rows = hits.withColumn("vector_id", F.regexp_extract("chunk_id", "^0*([0-9]+)-", 1).cast("long")).join(books, "vector_id")
-    rows = retrieval.top(rows, 12, ["query_id", "book"], [F.desc("score"), F.col("chunk_id")], "r").drop("r")
-    best = retrieval.diverse(retrieval.with_cosine(rows, *vectors(spark, sf)), 20, 0.5, 3)
+    best = retrieval.diverse(candidates(spark, sf, 12, by="book"), 20, 0.5, 3)
     return best.select("query_id", "book", "chunk_id", "cosine", long("rank"))
 
 
-@query(CANDIDATES + """,
+@query("WITH " + ",".join([WINDOWS, TERMS, INDEX, FTS_HITS]) + """,
 q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS subject FROM benchmark),
-pr AS (SELECT query_id, cosine AS c, chunk_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM cand JOIN q USING (query_id) WHERE lang = subject) WHERE r = 1),
-sr AS (SELECT query_id, cosine AS c, chunk_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM cand JOIN q USING (query_id) WHERE lang <> subject) WHERE r = 1),
+scoped AS (SELECT h.*, c.doc_id, CASE WHEN c.lang = q.subject THEN 'primary' ELSE 'secondary' END AS role FROM hits h JOIN chunks c USING (chunk_id) JOIN q USING (query_id) WHERE c.lang IS NOT NULL),
+top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY score DESC, chunk_id) AS r FROM scoped) WHERE r <= 20),
+cand AS (SELECT t.query_id, t.role, t.chunk_id, coalesce(round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 6), 0) AS cosine FROM top20 t JOIN embeddings v ON v.vec_id = t.doc_id JOIN embeddings w ON w.vec_id = t.query_id WHERE v.embedding IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY cosine DESC, chunk_id) AS n FROM cand) WHERE n = 1),
+pr AS (SELECT query_id, cosine AS c, chunk_id AS id FROM one WHERE role = 'primary'),
+sr AS (SELECT query_id, cosine AS c, chunk_id AS id FROM one WHERE role = 'secondary'),
 j AS (SELECT coalesce(pr.query_id, sr.query_id) AS query_id, pr.c AS pc, pr.id AS pid, sr.c AS sc, sr.id AS sid FROM pr FULL JOIN sr ON pr.query_id = sr.query_id),
 k AS (SELECT *, CASE WHEN pc >= 0.5 THEN 'primary' WHEN sc >= 0.7 THEN 'secondary' WHEN sc IS NULL OR pc >= sc THEN 'primary' ELSE 'secondary' END AS scope FROM j)
 SELECT query_id, scope, CASE scope WHEN 'primary' THEN pid ELSE sid END AS chunk_id, CASE scope WHEN 'primary' THEN pc ELSE sc END AS cosine, coalesce(CASE scope WHEN 'primary' THEN pc >= 0.5 ELSE sc >= 0.7 END, false) AS is_matched FROM k""")
 def subject_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Each question's subject is searched, and so are all others, beside it: two searches, of which one is taken."""
     names = F.element_at(F.array(F.lit("English "), F.lit("  francais"), F.lit("Deutsch")), (F.col("query_id") % 3 + 1).cast("int"))
     aliases = {"english": "Anglais", "anglais": "en", "Francais": "fr", "deutsch": "German", "german": "de"}
-    subject = asked(spark, sf).select("query_id", retrieval.aliased(names, aliases).alias("subject"))
-    rows = candidates(spark, sf).join(subject, "query_id")
-    one = lambda d: retrieval.top(d, 1, ["query_id"], [F.desc("cosine"), F.col("chunk_id")]).select("query_id", "chunk_id", "cosine")
-    return retrieval.fallback(one(rows.where("lang = subject")), one(rows.where("lang <> subject")), 0.5)
+    chunks = chunked(spark, sf)
+    langs = tables(spark, sf, "documents")[0].where("lang IS NOT NULL").select(F.col("lang").alias("library_id"), F.col("lang").alias("subject")).distinct()
+    scope = routing.routed(asked(spark, sf).select("query_id", names.alias("subject")), langs, aliases, chosen=True).withColumnRenamed("library_id", "lang")
+    index = retrieval.indexed(chunks, ("doc_id", "lang"))
+    rows = retrieval.scoped(index, retrieval.asked(asked(spark, sf)), scope, 20, "lang").drop("rank").withColumnRenamed("doc_id", "vector_id")
+    rows = retrieval.with_cosine(rows, *vectors(spark, sf))
+    one = lambda role: retrieval.top(rows.where(F.col("role") == role), 1, ["query_id"], [F.desc("cosine"), F.col("chunk_id")]).select("query_id", "chunk_id", "cosine")
+    return retrieval.fallback(one("primary"), one("secondary"), 0.5)
 
 
 @query("WITH " + WINDOWS + r""",
-halves AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}]+|[0-9]+') AS t FROM benchmark),
+halves AS (SELECT item_id, regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|\p{Nd}+(?:\.\p{Nd}+)?') AS t FROM benchmark),
 sub AS (SELECT item_id * 2 AS sub_id, list_slice(t, 1, len(t) // 2) AS t FROM halves UNION ALL SELECT item_id * 2 + 1, list_slice(t, len(t) // 2 + 1, len(t)) FROM halves),
 words AS (SELECT sub_id AS query_id, unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM sub),
-terms AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM (SELECT query_id, term, min(pos) AS pos FROM words GROUP BY ALL)) WHERE r <= 16),""" + INDEX + "," + FTS_HITS + """,
+terms AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM (SELECT query_id, term, min(pos) AS pos FROM words WHERE term NOT IN (STOPPED) GROUP BY ALL)) WHERE r <= 16),""".replace("STOPPED", STOPPED) + INDEX + "," + FTS_HITS + """,
 top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM hits) WHERE r <= 20)
 SELECT query_id // 2 AS query_id, chunk_id, max(score) AS score, count(*) AS n_queries FROM top20 GROUP BY ALL""")
 def multi_query_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +190,7 @@ def multi_query_merge(spark: SparkSession, sf: str) -> DataFrame:
     half = F.floor(F.size(t) / 2).cast("int")
     parts = F.array(F.array_join(F.slice(t, F.lit(1), half), " "), F.array_join(F.slice(t, half + 1, F.size(t)), " "))
     subs = asked(spark, sf).select("query_id", F.posexplode(parts).alias("at", "text")).select((F.col("query_id") * 2 + F.col("at")).alias("query_id"), "text")
-    hits = retrieval.top(retrieval.bm25(chunked(spark, sf), retrieval.asked(subs)), 20, ["query_id"], [F.desc("score"), F.col("chunk_id")])
+    hits = retrieval.best(retrieval.indexed(chunked(spark, sf)), retrieval.asked(subs), 20)
     return retrieval.merged(hits.withColumn("query_id", F.floor(F.col("query_id") / 2)))
 
 
@@ -215,9 +218,9 @@ cov AS (SELECT o.query_id, count(*) AS covered FROM one o JOIN terms t USING (qu
 SELECT o.query_id, confidence, coalesce(covered, 0) AS covered, CASE WHEN o.cosine < 0.5 THEN 'C' WHEN confidence = 'strong' AND coalesce(covered, 0) >= least(2, greatest(1, coalesce(n_terms, 0))) THEN 'A' ELSE 'B' END AS grade
 FROM one o JOIN conf USING (query_id) LEFT JOIN ts USING (query_id) LEFT JOIN cov USING (query_id)""")
 def evidence_grade(spark: SparkSession, sf: str) -> DataFrame:
-    best = surely(retrieval.diverse(candidates(spark, sf), 1, 0.5, 3))
+    best = surely(retrieval.diverse(candidates(spark, sf, carry=("chunk_text",)), 1, 0.5, 3))
     words = asked(spark, sf).select("query_id", F.filter(text.query_terms(F.col("text")), lambda t: F.char_length(t).between(3, 21)).alias("terms"))
-    rows = best.where("rank = 1").join(chunked(spark, sf).select("chunk_id", "chunk_text"), "chunk_id").join(words, "query_id")
+    rows = best.where("rank = 1").join(words, "query_id")
     covered = F.size(F.filter("terms", lambda t: F.contains(F.lower("chunk_text"), t)))
     return rows.select("query_id", "confidence", long(covered, "covered"), scoring.evidence_grade(F.col("confidence"), F.col("cosine"), 0.5, covered, F.size("terms")).alias("grade"))
 
@@ -232,21 +235,42 @@ def match_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("label").alias("set_id"), scoring.match_confidence(scores, 0.6).alias("at_60"), scoring.stored_confidence(F.col("own"), F.when(F.col("n") >= 2, F.array("top", F.lit(0.65), F.lit(0.65))).otherwise(F.array("top"))).alias("stored"))
 
 
-SENTENCES = CANDIDATES + r""",
-picked AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text FROM cand JOIN (SELECT chunk_id, chunk_text FROM chunks) USING (chunk_id)),
-parts AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text, unnest(p) AS s, unnest(generate_series(1, len(p))) AS i FROM (SELECT *, string_split(regexp_replace(chunk_text, '([.!?;\n])', '\1' || chr(1), 'g'), chr(1)) AS p FROM picked)),
-sent AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY i) - 1 AS pos, s AS sentence FROM (SELECT * EXCLUDE (s), regexp_replace(regexp_replace(s, '^[ \t\n\f\r]+', ''), '[ \t\n\f\r]+$', '') AS s FROM parts) WHERE s <> ''),
-answers AS (SELECT item_id AS query_id, substr(text, 1, 24) AS answer, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+|[0-9]+')) AS stems FROM benchmark),
-big AS (SELECT *, regexp_replace(lower(answer), '[^\p{L}\p{N}]', '', 'g') AS ka, regexp_replace(lower(sentence), '[^\p{L}\p{N}]', '', 'g') AS ks FROM sent JOIN answers USING (query_id)),
-big2 AS (SELECT *, CASE WHEN length(ka) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(generate_series(1, length(ka) - 1), lambda i: substr(ka, CAST(i AS INT), 2))) END AS ba,
-  CASE WHEN length(ks) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(generate_series(1, length(ks) - 1), lambda i: substr(ks, CAST(i AS INT), 2))) END AS bs FROM big),
-scored AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text, answer, pos, sentence, ba, bs, round((CASE WHEN length(trim(answer)) > 0 AND contains(lower(sentence), lower(answer)) THEN 120.0 ELSE 0.0 END) + 90 * (CASE WHEN len(ba) = 0 THEN 0.0 ELSE CAST(len(list_intersect(ba, bs)) AS DOUBLE) / len(ba) END)
-  + coalesce(list_sum(list_transform(list_filter(stems, lambda t: length(t) BETWEEN 2 AND 24 AND contains(lower(sentence), t)), lambda t: least(8, length(t)))), 0), 6) AS support FROM big2)"""
+#: sentence ends of the driver's languages beside the usual ones
+ENDS = ".!?;" + evidence.MARKS
+SPLIT = "list_filter(list_transform(regexp_extract_all({}, '[^" + ENDS + "]+[" + ENDS + "]?'), lambda v: trim(v)), lambda v: v <> '')"
+FOLDED = "regexp_replace(replace(lower({}), 'ß', 'ss'), '[^0-9a-z一-鿿]+', '', 'g')"
+PAIRS = "CASE WHEN length({0}) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(generate_series(1, length({0}) - 1), lambda i: substr({0}, CAST(i AS INT), 2))) END"
+
+
+def support_sql(sentence: str, units: str) -> str:
+    """SQL of evidence.support() for one answer; units: the sentence's bigrams."""
+    return f"""round((CASE WHEN answer <> '' AND contains({sentence}, answer) THEN 120.0 ELSE 0.0 END) + 90 * (CASE WHEN len(ba) = 0 THEN 0.0 ELSE CAST(len(list_intersect(ba, {units})) AS DOUBLE) / len(ba) END)
+  + coalesce(list_sum(list_transform(list_filter(stems, lambda t: contains({sentence}, t)), lambda t: least(8, length(t)))), 0)
+  + CASE WHEN regexp_matches(stem, '{evidence.ASKS}') AND regexp_matches({sentence}, '{evidence.DEFINES}') THEN 18.0 ELSE 0.0 END
+  - CASE WHEN regexp_matches({sentence}, '{evidence.CONTENTS}') AND NOT (answer <> '' AND contains({sentence}, answer)) THEN 12.0 ELSE 0.0 END, 6)"""
+
+
+ANSWERS = r"""
+asks AS (SELECT item_id AS query_id, text AS stem, string_split_regex(text, '[\s，。；：、？！“”‘’（）()]+') AS p FROM benchmark),
+longest AS (SELECT query_id, (max({'n': length(t), 't': t})).t AS answer FROM (SELECT query_id, unnest(p) AS t FROM asks) GROUP BY query_id),
+answers0 AS (SELECT query_id, stem, answer, list_filter(p, lambda t: length(t) BETWEEN 2 AND 24) AS stems, FOLDED AS ka FROM asks JOIN longest USING (query_id)),
+answers AS (SELECT query_id, stem, answer, stems, PAIRS AS ba FROM answers0)""".replace("FOLDED", FOLDED.format("answer")).replace("PAIRS", PAIRS.format("ka"))
+SENTENCES = CANDIDATES + "," + ANSWERS + r""",
+picked AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text, trim(regexp_replace(chunk_text, '\s+', ' ', 'g')) AS quote FROM cand JOIN (SELECT chunk_id, chunk_text FROM chunks) USING (chunk_id)),
+sent AS (SELECT query_id, chunk_id, doc_id, book, cosine, chunk_text, quote, unnest(p) AS sentence, unnest(generate_series(1, len(p))) - 1 AS pos FROM (SELECT *, SPLIT AS p FROM picked)),
+big AS (SELECT *, FOLDED AS ks FROM sent JOIN answers USING (query_id)),
+big2 AS (SELECT *, PAIRS AS bs FROM big),
+scored AS (SELECT *, SUPPORT AS support FROM big2)""".replace("SPLIT", SPLIT.format("quote")).replace("FOLDED", FOLDED.format("sentence")).replace("PAIRS", PAIRS.format("ks")).replace("SUPPORT", support_sql("sentence", "bs"))
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions with their longest word as the keyed answer."""
+    words = F.transform(F.split("text", evidence.PARTS), lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t")))
+    return asked(spark, sf).select("query_id", F.array(F.array_max(words)["t"]).alias("answers"), F.col("text").alias("stem"))
 
 
 def supported(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    rows = candidates(spark, sf).join(chunked(spark, sf).select("chunk_id", "chunk_text"), "chunk_id")
-    return evidence.scored_sentences(rows, asked(spark, sf).select("query_id", F.substring("text", 1, 24).alias("answer"), F.col("text").alias("stem")), keep)
+    return evidence.scored_sentences(candidates(spark, sf, carry=("chunk_text",)), questions(spark, sf), keep, ENDS)
 
 
 @query(SENTENCES + " SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, md5(sentence) AS sentence_md5, support FROM scored")
@@ -255,17 +279,30 @@ def sentence_support(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("query_id", "chunk_id", long("at", "pos"), F.md5("sentence").alias("sentence_md5"), "support")
 
 
-@query(SENTENCES + """,
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY support DESC, pos) AS r FROM scored)
-SELECT b.query_id, b.chunk_id, md5(substr(b.sentence, 1, 240)) AS excerpt_md5, b.support, md5(substr((SELECT string_agg(s.sentence, ' ' ORDER BY s.pos) FROM scored s WHERE s.query_id = b.query_id AND s.chunk_id = b.chunk_id AND s.pos BETWEEN b.pos - 1 AND b.pos + 1), 1, 320)) AS context_md5 FROM b WHERE r = 1""")
+@query(SENTENCES + r""",
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY support DESC, pos) AS r FROM scored),
+lined AS (SELECT query_id, chunk_id, quote, list_filter(list_transform(string_split(chunk_text, chr(10)), lambda l: trim(trim(regexp_replace(l, '\s+', ' ', 'g')), ' ' || chr(9) || '|·')), lambda l: l <> '' AND NOT regexp_matches(l, 'NOISE')) AS ls FROM picked),
+cleaned AS (SELECT query_id, chunk_id, CASE WHEN len(ls) > 0 THEN array_to_string(ls, ' ') ELSE quote END AS clean FROM lined),
+told AS (SELECT query_id, chunk_id, clean, SPLIT AS p FROM cleaned),
+each AS (SELECT query_id, chunk_id, unnest(p) AS sentence, unnest(generate_series(1, len(p))) AS pos FROM told),
+folded AS (SELECT *, FOLDED AS ks FROM each JOIN answers USING (query_id)),
+judged AS (SELECT *, SUPPORT AS support FROM (SELECT *, PAIRS AS bs FROM folded)),
+top AS (SELECT query_id, chunk_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY support DESC, pos) AS r FROM judged) WHERE r = 1),
+near AS (SELECT query_id, chunk_id, string_agg(sentence, '' ORDER BY e.pos) AS context FROM each e JOIN top t USING (query_id, chunk_id) WHERE e.pos BETWEEN t.pos - 1 AND t.pos + 1 GROUP BY ALL),
+ctx AS (SELECT query_id, chunk_id, CASE WHEN len(p) > 1 THEN context WHEN strpos(clean, substr(p[1], 1, 240)) = 0 THEN substr(clean, 1, 320) ELSE substr(clean, CAST(greatest(0, strpos(clean, substr(p[1], 1, 240)) - 81) AS INT) + 1, CAST(strpos(clean, substr(p[1], 1, 240)) - 1 + length(substr(p[1], 1, 240)) + 160 - greatest(0, strpos(clean, substr(p[1], 1, 240)) - 81) AS INT)) END AS context FROM told JOIN near USING (query_id, chunk_id)),
+found AS (SELECT query_id, chunk_id, substr(sentence, 1, 240) AS excerpt, support, quote, answer, list_filter(list_transform(p, lambda t: trim(regexp_replace(t, '^[A-E][.、．:]?', ''))), lambda t: length(t) BETWEEN 2 AND 24) AS named FROM b JOIN asks USING (query_id) WHERE r = 1)
+SELECT query_id, chunk_id, md5(excerpt) AS excerpt_md5, support, md5(substr(trim(regexp_replace(context, '\s+', ' ', 'g')), 1, 320)) AS context_md5,
+  (SELECT coalesce(string_agg(t, '|' ORDER BY i), '') FROM (SELECT t, min(i) AS i FROM (SELECT unnest(list_prepend(answer, named)) AS t, unnest(generate_series(1, len(named) + 1)) AS i) WHERE length(t) BETWEEN 2 AND 120 AND contains(excerpt, t) AND contains(quote, t) GROUP BY t ORDER BY i LIMIT 8)) AS highlights
+FROM found JOIN ctx USING (query_id, chunk_id)""".replace("NOISE", evidence.NOISE).replace("SPLIT", SPLIT.format("clean")).replace("FOLDED", FOLDED.format("sentence")).replace("PAIRS", PAIRS.format("ks")).replace("SUPPORT", support_sql("sentence", "bs")))
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.excerpts(supported(spark, sf)).select("query_id", "chunk_id", F.md5("excerpt").alias("excerpt_md5"), "support", F.md5("context").alias("context_md5"))
+    rows = candidates(spark, sf, carry=("chunk_text",)).join(questions(spark, sf), "query_id")
+    found = evidence.excerpts(rows.select("query_id", "chunk_id", F.col("chunk_text").alias("quote"), "answers", "stem", F.col("stem").alias("question")), ENDS)
+    return found.where("support IS NOT NULL").select("query_id", "chunk_id", F.md5("excerpt").alias("excerpt_md5"), "support", F.md5("context").alias("context_md5"), F.array_join("highlights", "|").alias("highlights"))
 
 
 @query(SENTENCES + r""",
-g AS (SELECT *, regexp_replace(lower(chunk_text), '[^\p{L}\p{N}]', '', 'g') AS kc FROM scored),
-g2 AS (SELECT *, CASE WHEN length(kc) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(generate_series(1, length(kc) - 1), lambda i: substr(kc, CAST(i AS INT), 2))) END AS bc FROM g)
-SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, length(sentence) >= 20 AND len(bs) > 0 AND len(list_intersect(bs, bc)) >= len(bs) * 0.55 AND len(list_filter(regexp_extract_all(sentence, '[0-9]+'), lambda n: NOT contains(chunk_text, n))) = 0 AS grounded FROM g2""")
+g2 AS (SELECT *, PAIRS AS bc FROM (SELECT *, FOLDED AS kc FROM scored))
+SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, length(sentence) >= 20 AND len(bs) > 0 AND len(list_intersect(bs, bc)) >= len(bs) * 0.55 AND len(list_filter(regexp_extract_all(sentence, '[0-9]+(?:\.[0-9]+)?%?'), lambda n: NOT contains(chunk_text, n))) = 0 AS grounded FROM g2""".replace("FOLDED", FOLDED.format("chunk_text")).replace("PAIRS", PAIRS.format("kc")))
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
     return supported(spark, sf, ("chunk_text",)).select("query_id", "chunk_id", long("at", "pos"), evidence.grounded(F.col("sentence"), F.col("chunk_text")).alias("grounded"))
 
@@ -292,10 +329,11 @@ def generation_route(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
-JUDGED = """WITH t AS (SELECT vec_id AS query_id, CASE vec_id % 2 WHEN 0 THEN 'A' ELSE 'B' END AS grade, label, embedding FROM embeddings WHERE vec_id % 5 = 0),
-c AS (SELECT t.query_id, t.grade, lpad(CAST(v.vec_id AS VARCHAR), 9, '0') AS chunk_id, round(list_cosine_similarity(CAST(t.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cosine, round(((v.vec_id * 37 + t.query_id * 11) % 101) / 100.0, 6) AS rerank, t.label = v.label AS relevant
-  FROM t JOIN embeddings v ON v.vec_id > t.query_id AND v.vec_id <= t.query_id + 8),
-truths AS (SELECT t.query_id, t.grade, coalesce(count_if(c.relevant), 0) AS n_truth FROM t LEFT JOIN c USING (query_id) GROUP BY t.query_id, t.grade)"""
+JUDGED = """WITH t AS (SELECT vec_id AS query_id, CASE vec_id % 40 WHEN 0 THEN 'A' ELSE 'B' END AS grade, label, embedding FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL),
+near AS (SELECT t.query_id, t.grade, v.vec_id, round(list_cosine_similarity(CAST(t.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cosine, t.label = v.label AS relevant FROM t JOIN embeddings v ON v.vec_id <> t.query_id AND v.embedding IS NOT NULL),
+c AS (SELECT query_id, grade, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS chunk_id, cosine, round(((vec_id * 37 + query_id * 11) % 101) / 100.0, 6) AS rerank, coalesce(relevant, false) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS r FROM near) WHERE r <= 20),
+sizes AS (SELECT label, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY label),
+truths AS (SELECT t.query_id, t.grade, coalesce(s.n, 1) - 1 AS n_truth FROM t LEFT JOIN sizes s ON t.label = s.label)"""
 
 
 def measured_sql(name: str, score: str, accept: str, keys: str = "") -> str:
@@ -313,13 +351,14 @@ def measured_sql(name: str, score: str, accept: str, keys: str = "") -> str:
 
 
 def judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates of every fifth vector: the eight next ones by id; relevant if of the same label."""
-    (e,) = tables(spark, sf, "embeddings")
-    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("grade"), F.col("label").alias("own"), F.col("embedding").alias("asked"))
-    near = q.withColumn("vec_id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 8))).join(e, "vec_id")
-    rows = near.select("query_id", "grade", F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("chunk_id"), F.round(scoring.cosine(F.col("asked"), F.col("embedding")), 6).alias("cosine"), F.round((F.col("vec_id") * 37 + F.col("query_id") * 11) % 101 / 100.0, 6).alias("rerank"), (F.col("own") == F.col("label")).alias("relevant"))
-    found = rows.groupBy("query_id").agg(F.count_if("relevant").alias("n_truth"))
-    return rows, q.select("query_id", "grade").join(found, "query_id", "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0)))
+    """The 20 nearest of all vectors to each whose id is divisible by 20; relevant if of the same label, of all there are."""
+    e = tables(spark, sf, "embeddings")[0].where("embedding IS NOT NULL")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 40 == 0, "A").otherwise("B").alias("grade"), "label", F.col("embedding").alias("vector"))
+    near = evaluation.nearest(q.select("query_id", "vector"), e.select("vec_id", F.col("embedding").alias("vector")), 20).join(q.select("query_id", "grade", F.col("label").alias("own")), "query_id").join(e.select("vec_id", "label"), "vec_id")
+    rows = near.select("query_id", "grade", F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("chunk_id"), "cosine", F.round((F.col("vec_id") * 37 + F.col("query_id") * 11) % 101 / 100.0, 6).alias("rerank"), F.coalesce(F.col("own") == F.col("label"), F.lit(False)).alias("relevant"))
+    sizes = e.groupBy("label").agg(F.count("*").alias("n"))
+    truths = q.select("query_id", "grade", "label").join(sizes, "label", "left").select("query_id", "grade", (F.coalesce("n", F.lit(1)) - 1).alias("n_truth"))
+    return kept(rows), kept(truths)
 
 
 def measured(rows: DataFrame, truths: DataFrame, alpha: float, threshold: float) -> DataFrame:

@@ -180,8 +180,8 @@ def mode_offset(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tags -------------------------------------------------------------------------------------------------------------
 
-TAGGED = """tagged AS (SELECT p_brand AS set_id, CAST(p_size % 3 AS BIGINT) AS subject, p_partkey AS question_id, list_slice(string_split(p_type, ' '), 1, 2) AS tags, string_split(p_name, ' ') AS suggested FROM part),
-flat AS (SELECT set_id, subject, question_id, unnest(tags || suggested) AS label, unnest(generate_series(1, len(tags || suggested))) AS pos FROM tagged),
+TAGGED = """tagged AS (SELECT p_brand AS set_id, CAST(p_size % 3 AS BIGINT) AS subject, p_partkey AS question_id, CASE p_partkey % 7 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN NULL ELSE list_slice(string_split(p_type, ' '), 1, 2) END AS tags, CASE WHEN p_partkey % 7 > 1 THEN string_split(p_name, ' ') END AS suggested FROM part),
+flat AS (SELECT set_id, subject, question_id, unnest(tags || suggested) AS label, unnest(generate_series(1, len(tags || suggested))) AS pos FROM tagged WHERE len(tags) > 0),
 keyed AS (SELECT *, regexp_replace(lower(label), '[ \t\n._-]+', '', 'g') AS k FROM flat),
 firsts AS (SELECT set_id, subject, question_id, k, min(pos) AS pos, substr(arg_min(label, pos), 1, 24) AS label FROM keyed WHERE k <> '' GROUP BY ALL),
 cat AS (SELECT set_id, subject, k, count(*) AS usage, arg_min(label, question_id) AS name, CASE WHEN count(*) >= 3 THEN 'active' ELSE 'candidate' END AS status FROM firsts GROUP BY ALL)"""
@@ -189,7 +189,7 @@ cat AS (SELECT set_id, subject, k, count(*) AS usage, arg_min(label, question_id
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
     (p,) = tables(spark, sf, "part")
-    return p.select(F.col("p_brand").alias("set_id"), long(F.col("p_size") % 3, "subject"), F.col("p_partkey").alias("question_id"), F.slice(F.split("p_type", " "), 1, 2).alias("tags"), F.split("p_name", " ").alias("suggested"))
+    return p.select(F.col("p_brand").alias("set_id"), long(F.col("p_size") % 3, "subject"), F.col("p_partkey").alias("question_id"), F.when(F.col("p_partkey") % 7 > 1, F.slice(F.split("p_type", " "), 1, 2)).when(F.col("p_partkey") % 7 == 0, F.array().cast("array<string>")).alias("tags"), F.when(F.col("p_partkey") % 7 > 1, F.split("p_name", " ")).alias("suggested"))
 
 
 @query("WITH " + TAGGED + " SELECT set_id, subject, k AS tag_key, usage, name, status FROM cat")
@@ -198,7 +198,7 @@ def tag_catalog_sync(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.select("set_id", "subject", F.col("key").alias("tag_key"), "usage", "name", "status")
 
 
-@query("WITH " + TAGGED + ", j AS (SELECT f.set_id, f.subject, f.question_id, f.pos, c.name, c.status, row_number() OVER (PARTITION BY f.set_id, f.subject, f.question_id, c.status ORDER BY f.pos) AS r FROM firsts f JOIN cat c USING (set_id, subject, k)) SELECT set_id, subject, question_id, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (WHERE status = 'active' AND r <= 3), '') AS tags, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (WHERE status = 'candidate' AND r <= 3), '') AS suggested FROM j GROUP BY ALL")
+@query("WITH " + TAGGED + ", j AS (SELECT f.set_id, f.subject, f.question_id, f.pos, c.name, c.status, row_number() OVER (PARTITION BY f.set_id, f.subject, f.question_id, c.status ORDER BY f.pos) AS r FROM firsts f JOIN cat c USING (set_id, subject, k)) SELECT set_id, subject, question_id, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (WHERE status = 'active' AND r <= 3), '') AS tags, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (WHERE status = 'candidate' AND r <= 3), '') AS suggested FROM tagged LEFT JOIN j USING (set_id, subject, question_id) GROUP BY ALL")
 def tag_lists_sync(spark: SparkSession, sf: str) -> DataFrame:
     _, rows = tags.synced(tagged(spark, sf))
     return rows.select("set_id", "subject", "question_id", F.array_join("tags", ",").alias("tags"), F.array_join("suggested", ",").alias("suggested"))
@@ -231,15 +231,15 @@ def tag_delete(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(tags.renamed(cases(spark, sf), "Alpha", None))
 
 
-@query(f"SELECT question_id, true AS changed, CASE WHEN tags[2] = 'Beta 2' THEN 'gamma' ELSE 'gamma,' || tags[2] END AS tags, 'gamma' AS suggested FROM ({CASES})")
+@query(f"SELECT question_id, true AS changed, CASE WHEN tags[2] = 'Beta 2' THEN 'gamma' ELSE 'gamma,' || tags[2] END AS tags, '' AS suggested FROM ({CASES})")
 def tag_merge(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(tags.merged(cases(spark, sf), ["alpha", "beta 2"], "gamma"))
 
 
-@query("WITH " + TAGGED + " SELECT set_id, subject, k AS tag_key FROM cat WHERE contains(lower(name), 'ste')")
+@query("WITH " + TAGGED + " SELECT set_id, subject, k AS tag_key FROM cat WHERE contains(lower(name), 'ol')")
 def tag_search(spark: SparkSession, sf: str) -> DataFrame:
     catalog, _ = tags.synced(tagged(spark, sf))
-    return tags.search(catalog.withColumn("aliases", F.array().cast("array<string>")), "STE").select("set_id", "subject", F.col("key").alias("tag_key"))
+    return tags.search(catalog.withColumn("aliases", F.array().cast("array<string>")), "OL").select("set_id", "subject", F.col("key").alias("tag_key"))
 
 
 # --- duplicates, states, reviews --------------------------------------------------------------------------------------
@@ -520,7 +520,7 @@ def prompt_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", questions.prompt().alias("prompt"))
 
 
-@query("SELECT item_id, CAST(len(list_distinct(l)) AS BIGINT) AS n_bigrams FROM (SELECT item_id, CASE WHEN length(k) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_transform(generate_series(1, length(k) - 1), lambda i: substr(k, CAST(i AS INT), 2)) END AS l FROM (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM benchmark))")
+@query("SELECT item_id, CAST(len(list_distinct(l)) AS BIGINT) AS n_bigrams FROM (SELECT item_id, CASE WHEN length(k) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_transform(generate_series(1, length(k) - 1), lambda i: substr(k, CAST(i AS INT), 2)) END AS l FROM (SELECT item_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-z一-鿿]+', '', 'g') AS k FROM benchmark))")
 def char_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return tables(spark, sf, "benchmark")[0].select("item_id", long(F.size(text.bigrams(F.col("text"))), "n_bigrams"))
 
@@ -528,3 +528,14 @@ def char_bigrams(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT page_id, url, md5(substr(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), 1, 32767)) AS cell_md5 FROM pages")
 def sheet_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cells(tables(spark, sf, "pages")[0]).select("page_id", "url", F.md5("html").alias("cell_md5"))
+
+
+@query("WITH " + TAGGED + " SELECT a.set_id, a.subject, a.k AS source, b.k AS target FROM cat a JOIN cat b ON a.set_id = b.set_id AND a.subject = b.subject AND a.k <> b.k AND b.status = 'active'")
+def tag_merge_targets(spark: SparkSession, sf: str) -> DataFrame:
+    catalog, _ = tags.synced(tagged(spark, sf))
+    return tags.merge_targets(catalog)
+
+
+@query(f"SELECT question_id, true AS changed, array_to_string(list_slice(list_distinct_in_order, 1, 3), ',') AS tags, suggested FROM (SELECT question_id, [tags[1], tags[2], 'gamma'] AS list_distinct_in_order, 'ALPHA' AS suggested FROM ({CASES}))")
+def tag_activate(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(tags.renamed(cases(spark, sf), "Gamma", " gamma ", True, 3))

@@ -153,11 +153,11 @@ def once_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return audits.once_per(docs, ["text"], lambda d: d.withColumn("n", F.char_length("text").cast("long"))).select("doc_id", "n")
 
 
-@query("SELECT o_orderkey AS id, coalesce((SELECT string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS parts FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey AS id, coalesce(parts, '') AS parts FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def sheet_regroup(spark: SparkSession, sf: str) -> DataFrame:
     o, items = tables(spark, sf, "orders", "lineitem")
     flat = items.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("at"), "l_partkey", F.lit("t").alias("type"))
-    made = audits.regrouped(o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id")), flat.select("id", "at", "l_partkey", "type"), flat.where("at = 1").select("id", "at", "type"))
+    made = audits.regrouped(o.select(F.col("o_orderkey").alias("id")), flat.select("id", "at", "l_partkey", "type"), flat.where("at = 1").select("id", "at", "type"))
     return made.select("id", F.coalesce(F.array_join(F.transform("blocks", lambda b: b["l_partkey"].cast("string")), ","), F.lit("")).alias("parts"))
 
 
@@ -191,9 +191,9 @@ def evidence_pages(spark: SparkSession, sf: str) -> DataFrame:
     return audits.remapped_pages(rows, found).select("id", F.array_join(F.transform("evidence", lambda e: e["printed_page"].cast("string")), ",").alias("pages"), "touched")
 
 
-@query("SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS n_chars, true AS bounded FROM documents WHERE text IS NOT NULL AND length(text) < 20000")
+@query("SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS n_chars, true AS bounded FROM documents WHERE text IS NOT NULL")
 def line_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables(spark, sf, "documents")[0].where("text IS NOT NULL AND char_length(text) < 20000").select(F.col("doc_id").alias("id"), "text")
+    docs = tables(spark, sf, "documents")[0].where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     n = F.char_length("piece")
     return audits.by_lines(docs).groupBy(F.col("id").alias("doc_id")).agg(F.sum(n).cast("long").alias("n_chars"), (F.max(n) <= 8000).alias("bounded"))
 
