@@ -170,7 +170,10 @@ def heading_fields(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("file", long("number"), F.element_at("fields", "answer").alias("answer"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id AS job_id, event_id AS e, event_id % 17 = 0 AS slow, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT job_id, e, n, CASE WHEN slow THEN 4 ELSE 8 END AS level, CASE WHEN slow THEN 0 ELSE 1 END AS run FROM o WHERE n = 1
+UNION ALL SELECT o.job_id, o.e, o.n, CASE WHEN slow THEN greatest(1, level // 2) WHEN run + 1 >= 4 THEN least(16, level + 1) ELSE level END, CASE WHEN slow OR run + 1 >= 4 THEN 0 ELSE run + 1 END FROM s JOIN o ON o.job_id = s.job_id AND o.n = s.n + 1)
+SELECT job_id, e AS "at", CAST(level AS INTEGER) AS level FROM s""")
 def adaptive_concurrency(spark: SparkSession, sf: str) -> DataFrame:
     e = tables(spark, sf, "events")[0]
     rows = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 17 == 0, "throttled").otherwise("ok").alias("outcome"))
