@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batches, delta, exchange, routing
+from ..functions import vectors
+from ..operators import batches, delta, exchange, routing, sets
 from ..sources.readers import tables
 from .catalog import long, query
 
@@ -141,3 +142,86 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 def batch_commit(spark: SparkSession, sf: str) -> DataFrame:
     sets, rows = batches.committed(draft(spark, sf), "import")
     return sets.join(rows.groupBy("set_id").agg(F.count_distinct("external_id").alias("n_ids")), "set_id").select("name", "source_path", "question_count", "n_ids")
+
+
+# --- sets -------------------------------------------------------------------------------------------------------------
+
+OWNED = """s AS (SELECT n_nationkey AS set_id, n_name AS name FROM nation WHERE n_nationkey % 6 <> 5),
+q AS (SELECT c_custkey AS id, c_nationkey AS set_id, c_custkey % 7 AS external_id FROM customer WHERE c_custkey % 3 <> 0),
+j AS (SELECT o_orderkey AS job_id, CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'done' ELSE 'failed' END AS status, o_custkey AS c FROM orders WHERE o_orderkey % 9 = 0)"""
+
+
+def owned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as sets, some of which are gone, and customers as their questions."""
+    n, c = tables(spark, sf, "nation", "customer")
+    held = n.where("n_nationkey % 6 <> 5").select(F.col("n_nationkey").alias("set_id"), F.col("n_name").alias("name"))
+    return held, c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("set_id"), (F.col("c_custkey") % 7).alias("external_id"))
+
+
+@query("WITH " + OWNED + """, n AS (SELECT DISTINCT c_nationkey AS set_id, c_custkey % 11 AS external_id FROM customer WHERE c_custkey % 3 = 0),
+f AS (SELECT set_id, external_id FROM n WHERE set_id IN (SELECT set_id FROM s) AND (set_id, external_id) NOT IN (SELECT (set_id, external_id) FROM q))
+SELECT set_id, (SELECT count(*) FROM q WHERE q.set_id = s.set_id) + (SELECT count(*) FROM f WHERE f.set_id = s.set_id) AS question_count, (SELECT count(*) FROM f WHERE f.set_id = s.set_id) AS n_new FROM s""")
+def set_append(spark: SparkSession, sf: str) -> DataFrame:
+    held, rows = owned(spark, sf)
+    new = tables(spark, sf, "customer")[0].where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("set_id"), (F.col("c_custkey") % 11).alias("external_id"))
+    grown, _, fresh = sets.appended(held, rows, new)
+    n = fresh.groupBy("set_id").agg(F.count("*").alias("n"))
+    return grown.join(n, "set_id", "left").select("set_id", "question_count", F.coalesce("n", F.lit(0)).alias("n_new"))
+
+
+@query("WITH " + OWNED + """, l AS (SELECT * FROM q WHERE id % 5 <> 0) SELECT set_id, (SELECT count(*) FROM l WHERE l.set_id = s.set_id) AS question_count, (SELECT count(*) FROM orders JOIN l ON l.id = o_custkey WHERE l.set_id = s.set_id) AS n_children FROM s""")
+def question_delete(spark: SparkSession, sf: str) -> DataFrame:
+    held, rows = owned(spark, sf)
+    children = tables(spark, sf, "orders")[0].select("o_orderkey", F.col("o_custkey").alias("question_pk"))
+    counted, left, found = sets.removed(rows.where("id % 5 = 0"), held, rows, {"orders": children})
+    n = found["orders"].join(left.select(F.col("id").alias("question_pk"), "set_id"), "question_pk").groupBy("set_id").agg(F.count("*").alias("n"))
+    return counted.join(n, "set_id", "left").select("set_id", "question_count", F.coalesce("n", F.lit(0)).alias("n_children"))
+
+
+@query("WITH " + OWNED + """, r AS (SELECT DISTINCT job_id, status, coalesce(q.set_id, 0) AS set_id FROM j LEFT JOIN q ON q.id = j.c AND j.job_id % 2 = 0 WHERE CASE WHEN job_id % 2 = 0 THEN q.id IS NOT NULL ELSE job_id % 5 <> 0 END)
+SELECT set_id, (SELECT count(*) FROM r WHERE r.set_id = s.set_id) AS n_jobs, (SELECT count(*) FROM r WHERE r.set_id = s.set_id AND status = 'queued') = 0 AS deletable FROM s""")
+def set_deletable(spark: SparkSession, sf: str) -> DataFrame:
+    """Even jobs name a question, one by itself or in a list; odd ones the set 0, or are not readable."""
+    held, rows = owned(spark, sf)
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    one = F.to_json(F.struct(c.alias("question_pk")))
+    many = F.concat(F.lit('{"question_ids":["x",'), c, F.lit("]}"))
+    payload = F.when(k % 2 == 0, F.when(k % 4 == 0, one).otherwise(many)).when(k % 5 == 0, F.lit("{broken")).otherwise(F.lit('{"set_id":"0"}'))
+    jobs = tables(spark, sf, "orders")[0].where("o_orderkey % 9 = 0").select(k.alias("job_id"), F.when(k % 4 == 0, "queued").when(k % 4 == 1, "done").otherwise("failed").alias("status"), payload.alias("payload"))
+    return sets.deletable(jobs, held, rows)
+
+
+@query("WITH " + OWNED + " SELECT c_custkey AS id, coalesce(s.name, 'gone') AS set_name FROM customer LEFT JOIN s ON s.set_id = c_nationkey")
+def trash_names(spark: SparkSession, sf: str) -> DataFrame:
+    held, _ = owned(spark, sf)
+    rows = tables(spark, sf, "customer")[0].select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("set_id"))
+    return sets.trash_list(rows, held, "gone").select("id", "set_name")
+
+
+@query("SELECT o_orderkey AS job_id, o_orderstatus AS kind FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def next_job(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = tables(spark, sf, "orders")[0].select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("status"), F.col("o_orderstatus").alias("kind"))
+    return sets.next_job(jobs).select("job_id", "kind")
+
+
+@query("""SELECT doc_id, NOT (doc_id % 2 = 0) OR length(trim(coalesce(text, ''))) = 0 OR doc_id % 3 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 <> 0) OR doc_id % 13 = 0 AS manual FROM documents""")
+def manual_gate(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    sections = F.when(i % 7 == 0, F.array(F.lit("analysis"))).otherwise(F.array(F.lit("pitfalls"), F.lit("analysis"), F.lit("answerBasis")))
+    found = sets.needs_manual(F.col("text"), i % 2 == 0, i % 3 == 0, i % 5 != 0, F.lit(True), sections, i % 11 == 0, i % 13 == 0)
+    return tables(spark, sf, "documents")[0].select("doc_id", found.alias("manual"))
+
+
+@query("SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 1 ELSE least(10, n_nationkey) END AS BIGINT) AS version, CASE WHEN n_nationkey % 2 = 0 THEN 'analysis-tool' ELSE n_name END AS generator, n_nationkey % 4 <> 0 AS active FROM nation")
+def card_meta(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    rows = tables(spark, sf, "nation")[0]
+    m = sets.card_meta(n.cast("int"), F.when(n % 2 == 0, F.lit(" \n")).otherwise(F.col("n_name")), F.lit(None).cast("string"))
+    live = sets.deactivated(rows.select(n.alias("library_id"), F.lit(True).alias("active")), rows.where(n % 4 == 0).select(n.alias("library_id")))
+    return rows.select(n, m.alias("m")).join(live, F.col("n_nationkey") == F.col("library_id")).select("n_nationkey", long("m.schemaVersion", "version"), F.col("m.generator").alias("generator"), "active")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, CAST(4 * len(embedding) AS BIGINT) AS bytes, true AS same FROM embeddings WHERE embedding IS NOT NULL")
+def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables(spark, sf, "embeddings")[0].where("embedding IS NOT NULL").select("vec_id", "embedding", vectors.encoded(F.col("embedding")).alias("data"))
+    return rows.select("vec_id", long(F.size("embedding"), "n"), long(F.length("data"), "bytes"), (vectors.decoded(F.col("data"), F.size("embedding")) == F.col("embedding")).alias("same"))

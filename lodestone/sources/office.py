@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shipped
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -88,6 +90,7 @@ def document_paragraphs(data: bytes) -> Iterator[tuple[int, str, str]]:
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    shipped(spark)
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 

@@ -1,10 +1,17 @@
-"""Where intermediate tables are kept: Spark's checkpoints, in a folder that driver and executors share."""
+"""Where intermediate tables are kept: Spark's checkpoints, in a folder that driver and executors share. And how this
+package comes to the Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = Path(__file__).resolve().parents[1]
+_sent: set[str] = set()
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -23,3 +30,17 @@ def kept(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once, unless they find it by PYTHONPATH anyway."""
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if str(ROOT) in known or app in _sent:
+        return
+    _sent.add(app)
+    target = Path(tempfile.mkdtemp(), "package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in Path(__file__).parent.rglob("*.py"):
+            z.write(f, f.relative_to(ROOT))
+    spark.sparkContext.addPyFile(str(target))
