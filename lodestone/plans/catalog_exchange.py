@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import batches, delta, exchange, routing, sets
+from ..operators import batches, delta, exchange, formats, routing, sets
 from ..sources.readers import tables
 from .catalog import long, query
 
@@ -225,3 +225,52 @@ def card_meta(spark: SparkSession, sf: str) -> DataFrame:
 def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables(spark, sf, "embeddings")[0].where("embedding IS NOT NULL").select("vec_id", "embedding", vectors.encoded(F.col("embedding")).alias("data"))
     return rows.select("vec_id", long(F.size("embedding"), "n"), long(F.length("data"), "bytes"), (vectors.decoded(F.col("data"), F.size("embedding")) == F.col("embedding")).alias("same"))
+
+
+# --- fields -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '{formats.LABELS['B']}' WHEN 1 THEN '{formats.LABELS['X']}' WHEN 2 THEN '{formats.LABELS['A3A4']}' WHEN 3 THEN '{formats.LABELS['A4']}' WHEN 4 THEN '{formats.LABELS['A2']}' WHEN 5 THEN '{formats.LABELS['judge']}' ELSE '' END AS label,
+CASE doc_id % 4 WHEN 0 THEN 'CA' WHEN 1 THEN '正确' WHEN 2 THEN '错误' ELSE 'gut' END AS answer FROM documents""")
+def type_labels(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    pick = lambda n, *x: F.element_at(F.array(*map(F.lit, x)), (i % n + 1).cast("int"))
+    label = formats.type_label(pick(7, " b1 ", "x", "A3 / a4", "a4", "", "", "?"), pick(7, "", "", "", "", "A2", "judge", "fill"))
+    return tables(spark, sf, "documents")[0].select("doc_id", label.alias("label"), formats.answer(pick(4, "c,a c", " 对", "x ", " gut. ")).alias("answer"))
+
+
+@query(r"""SELECT item_id, substr(trim(regexp_replace(split_part(regexp_replace(t, '([。！？!?])\s*', '\1' || chr(1)), chr(1), 1), '\s+', ' ', 'g')), 1, 160) AS brief, 'A. x|B. y z|C. third' AS options FROM (SELECT item_id, trim(regexp_replace('' || text, '\s+', ' ', 'g')) AS t FROM benchmark)""")
+def short_texts(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.array(F.lit("A. x  b、 y z"), F.lit(" "), F.lit("third"))
+    return tables(spark, sf, "benchmark")[0].select("item_id", formats.brief(F.lit(""), F.col("text")).alias("brief"), F.array_join(formats.options(lines), "|").alias("options"))
+
+
+@query("""SELECT item_id, CASE WHEN trim(text) <> '' THEN 'analysis/paragraph,' ELSE '' END || CASE WHEN item_id % 2 = 0 THEN 'pitfalls/table,' ELSE '' END || 'analysis/list,pitfalls/callout' AS kinds, md5(CASE WHEN trim(text) <> '' THEN trim(text) ELSE '' END) AS text_md5 FROM benchmark WHERE text NOT LIKE '%<%' AND length(text) < 4000""")
+def normal_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    kind = "struct<section:string,type:string,title:string,text:string,items:array<string>,columns:array<string>,rows:array<array<string>>,tone:string>"
+    null = F.lit(None)
+    block = lambda **f: F.struct(*(f.get(n, null).alias(n) for n in ("section", "type", "title", "text", "items", "columns", "rows", "tone"))).cast(kind)
+    words = lambda *x: F.array(*map(F.lit, x))
+    columns = F.when(F.col("item_id") % 2 == 0, words("a", " ", "<b>b</b>")).otherwise(words("a"))
+    found = F.array(block(section=F.lit("odd"), type=F.lit("odd"), text=F.col("text")), block(section=F.lit("pitfalls"), type=F.lit("table"), columns=columns, rows=F.array(words("x"), words("", ""))), block(type=F.lit("list"), text=F.lit("one\n\ntwo")), block(type=F.lit("list"), items=words(" ")), block(section=F.lit("pitfalls"), type=F.lit("callout"), text=F.lit("mind"), tone=F.lit("loud")))
+    rows = tables(spark, sf, "benchmark")[0].where(~F.col("text").like("%<%") & (F.char_length("text") < 4000)).select("item_id", "text", formats.blocks(found).alias("b"))
+    first = F.get("b", F.lit(0))
+    own = F.when(first["type"] == "paragraph", first["text"]).otherwise("")
+    return rows.select("item_id", F.array_join(F.transform("b", lambda x: F.concat(x["section"], F.lit("/"), x["type"])), ",").alias("kinds"), F.md5(own).alias("text_md5"))
+
+
+@query("""WITH r AS (SELECT doc_id, CAST(doc_id % 300 AS VARCHAR) AS id FROM documents)
+SELECT doc_id, concat_ws(';', CASE WHEN doc_id % 9 = 0 THEN 'bad' END, CASE WHEN (SELECT min(doc_id) FROM r f WHERE f.id = r.id) < doc_id THEN 'id as in row ' || (SELECT min(doc_id) FROM r f WHERE f.id = r.id) END, CASE WHEN CAST(id AS BIGINT) IN (SELECT item_id FROM benchmark) THEN 'id is imported' END) AS warnings FROM r""")
+def row_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = tables(spark, sf, "documents")[0].select(i, F.concat(F.lit(" "), (i % 300).cast("string")).alias("id"), i.alias("ordinal"), F.when(i % 9 == 0, F.array(F.lit("bad"))).alias("errors"))
+    found = formats.warnings(rows, tables(spark, sf, "benchmark")[0].select(F.col("item_id").alias("id")))
+    return found.select("doc_id", F.array_join("warnings", ";").alias("warnings"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 2 = 0 AND n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0)")
+def legacy_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    files = tables(spark, sf, "nation")[0].select(n, n.alias("file_id"), F.when(n % 5 == 0, "error").otherwise("ready").alias("status"), F.when(n % 2 == 1, "f").alias("fingerprint"))
+    chunks = tables(spark, sf, "customer")[0].select(F.col("c_nationkey").alias("file_id"), F.when(F.col("c_custkey") % 40 == 0, 512).otherwise(1024).alias("dim"))
+    return formats.adoptable(files, chunks, 1024).select("n_nationkey")
