@@ -16,30 +16,26 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _large(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """least: a table, so that its join, where a node of many neighbours is hot, has plain sides that skew handling splits."""
     return edges.union(edges.select("b", "a")).where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(edges: DataFrame, least: DataFrame) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     return edges.join(least, "a").where("b <> m").select("b", "m").union(least).toDF("a", "b").distinct()
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(a, m): the smallest neighbour of each node; a table, so that its join has plain sides, which skew handling can split."""
-    return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of edges (a, b); a node without edges other than to itself is not listed."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while True:
         # both steps keep each edge's first node the larger
-        least = _least(now.union(now.select("b", "a")).union(now.select("a", "a")).union(now.select("b", "b")))
-        large = cut(_large(now, least))
-        small = _least(large)
-        made = cut(_small(large, small))
-        for done in (now, least, large, small):
-            drop_cut(done)
+        every = now.union(now.select("b", "a")).union(now.select("b", "b"))
+        least = cut(every.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        made = cut(_small(_large(now, least)))
+        drop_cut(now)
+        drop_cut(least)
         before, now, state = state, made, _state(made)
         if state == before:
             break

@@ -89,18 +89,21 @@ def keys(made: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs.reshape(len(made), tables, bits).astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(2, dtype=np.int32)
 
 
-def bounds(a: np.ndarray, b: np.ndarray, dim: int) -> np.ndarray:
-    """Upper bounds of the cosines of all of a, by their signs, with all of b, by their levels."""
-    inner = np.zeros((len(a), len(b)), np.int64)
+def bounds(a: np.ndarray, b: np.ndarray, dim: int, pairs: bool = False) -> np.ndarray:
+    """Upper bounds of the cosines of all of a, by their signs, with all of b, by their levels; `pairs`: of a[i] with b[i]."""
+    left, right = (lambda x: x, lambda x: x) if pairs else (lambda x: x[:, None], lambda x: x[None])
+    inner = np.int32(0)
     for p in range(LEVEL):
         for w in range(a["code"].shape[1]):
-            inner += np.bitwise_count(a["code"][:, None, w] & b["planes"][None, :, p, w]).astype(np.int64) << (p + 1)
-    inner -= sum(np.bitwise_count(b["planes"][:, p]).astype(np.int64).sum(1) << p for p in range(LEVEL))[None]
+            inner = inner + (np.bitwise_count(left(a["code"][:, w]) & right(b["planes"][:, p, w])).astype(np.int32) << np.int32(p + 1))
+    total = sum(np.bitwise_count(b["planes"][:, p]).astype(np.int32).sum(1, dtype=np.int32) << np.int32(p) for p in range(LEVEL))
     positive = 2 * np.bitwise_count(a["code"]).astype(np.int64).sum(1) - dim
-    factor = np.maximum(a["factor"].astype(np.float64), 1e-9)[:, None]
-    error = EPSILON * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, dim - 1))
-    estimate = (b["low"].astype(np.float64)[None] * positive[:, None] + b["step"].astype(np.float64)[None] * inner) / np.sqrt(dim) / factor
-    return estimate + error + b["rest"].astype(np.float64)[None] / factor + SLACK
+    factor = np.maximum(a["factor"].astype(np.float64), 1e-9)
+    error = EPSILON * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, dim - 1)) + SLACK
+    step, low, rest = (b[c].astype(np.float64) for c in ("step", "low", "rest"))
+    scale = 1 / (np.sqrt(dim) * factor)
+    # (low * positive + step * (inner - total)) * scale + error + rest / factor, with what is of one side alone made once
+    return (inner * right(step) + right(-step * total) + left(positive) * right(low)) * left(scale) + left(error) + right(rest) / left(factor)
 
 
 def near(made: np.ndarray, side: np.ndarray, table: int, low: float, dim: int, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ def near(made: np.ndarray, side: np.ndarray, table: int, low: float, dim: int, b
     known, found = keys(made, bits, tables)[:, :table], []
     for s in range(0, len(left), 256):
         i = left[s : s + 256]
-        hit = (bounds(made[i], made[right], dim) >= low) & (bounds(made[right], made[i], dim).T >= low)
+        hit = bounds(made[i], made[right], dim) >= low
         if not across:
             hit &= right[None, :] > i[:, None]
         x, y = np.nonzero(hit)
@@ -122,7 +125,9 @@ def near(made: np.ndarray, side: np.ndarray, table: int, low: float, dim: int, b
         for c in range(0, len(x), 50_000):
             p, q = x[c : c + 50_000], y[c : c + 50_000]
             new = ~(known[p] == known[q]).any(1)
-            found.append((p[new], q[new]))
+            p, q = p[new], q[new]
+            sure = bounds(made[q], made[p], dim, True) >= low  # from the other side
+            found.append((p[sure], q[sure]))
     return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
