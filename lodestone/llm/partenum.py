@@ -229,15 +229,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    early, late = Scratch(), Scratch()
+    before, early, late = Scratch(), Scratch(), Scratch()
     base = cut(rows.mapInArrow(lean(lambda it: _digested(it, width)), "doc_id long, n long, d1 long, d2 long"))
     classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     # classes are cut so that both sides of the join are plain shuffles, which skew handling can split
-    copies = late.cut(base.join(late.cut(classes), ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
+    copies = late.cut(base.join(before.cut(classes), ["d1", "d2", "n"]).select("doc_id", "rep").distinct())
     signed = rows.where("doc_id IS NOT NULL").mapInArrow(lean(lambda it: _signed(it, width, num, den)), "sig long, doc long, own boolean")
     # rows with `own` are known to have company, and are dealt out one by one; of the others a task sends one a signature
     shared = signed.selectExpr("sig", "doc", "own", "count(*) OVER (PARTITION BY sig, IF(own, doc, NULL)) AS n").where("own OR n > 1")
     shared = early.cut(shared.join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct())
+    before.drop()
     stars = late.cut(shared.join(early.cut(_distinct_buckets(shared)), "sig").select("doc", "p", "n"))
     early.drop()
     wanted = late.cut(stars.select(F.col("doc").alias("doc_id")).distinct())

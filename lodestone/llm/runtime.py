@@ -44,7 +44,11 @@ def drop_cut(df: DataFrame) -> None:
 
 
 class Scratch:
-    """Tables of one operator's run that its result does not read; drop() deletes those made so far."""
+    """Tables of one operator's run that its result does not read; drop() deletes those made so far.
+
+    It also asks the driver's JVM to collect, which lets Spark's cleaner delete the shuffle files of what is done; by itself
+    it would do so only when the driver happens to run short of memory.
+    """
 
     def __init__(self) -> None:
         self.held: list[DataFrame] = []
@@ -54,8 +58,11 @@ class Scratch:
         return self.held[-1]
 
     def drop(self) -> None:
+        spark = self.held[0].sparkSession if self.held else None
         while self.held:
             drop_cut(self.held.pop())
+        if spark:
+            spark._jvm.System.gc()
 
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
