@@ -32,6 +32,8 @@ from .runtime import Scratch, cut, ship
 
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, RATIO, SLIP = 7, 2, 10, 31
+#: letters from which words are compared in linear time
+LONG = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,20 +76,33 @@ def prefixed(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, first array<struct<gram:int,at:int>>")
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): each two words (word, n) exactly one edit apart, once; of at least four letters each."""
-    listed = prefixed(words, bigram_ranks(words)).withColumn("length", F.length("word"))
+def one_edit(shorter: Column, longer: Column) -> Column:
+    """Whether two words whose lengths differ by 0 or 1 are exactly one edit apart, in linear time, for very long ones."""
+    apart = F.array_position(F.zip_with(F.split(shorter, ""), F.split(longer, ""), lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+    rest = F.substring(longer, apart + 1, F.length(longer))
+    return (apart > 0) & (rest == F.substring(shorter, F.when(F.length(shorter) == F.length(longer), apart + 1).otherwise(apart), F.length(shorter)))
+
+
+def _met(listed: DataFrame, near: Column) -> DataFrame:
     shelf = listed.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "length", F.inline("first"))
     place = lambda longer, later: F.struct(F.col("gram"), (F.col("length") + longer).alias("length"), (F.col("at") + later).alias("at"))
     asked = listed.select("word", "n", "length", F.inline("first")).select("word", "n", F.col("length").alias("own"), F.inline(F.array(place(0, 0), place(1, 0), place(1, 1))))
     met = asked.join(shelf, ["gram", "length", "at"]).where((F.col("own") < F.col("length")) | (F.col("word") < F.col("other")))
-    return met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()
+    return met.where(near).select("word", "n", "other", "other_n")
+
+
+def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
+    """(word, n, other, other_n): each two words (word, n) exactly one edit apart, once; of at least four letters each."""
+    listed = scratch.cut(prefixed(words, bigram_ranks(words)).withColumn("length", F.length("word")))
+    usual = _met(listed.where(F.col("length") <= LONG), F.levenshtein("word", "other", 1) == 1)
+    long = _met(listed.where(F.col("length") >= LONG), (F.col("length") > LONG) & one_edit(F.col("word"), F.col("other")))
+    return usual.union(long).distinct()
 
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, n_near, form, form_n, root) for each row of words (word, n), which must be distinct."""
     scratch = Scratch()
-    pairs = scratch.cut(near_pairs(words))
+    pairs = scratch.cut(near_pairs(words, scratch))
     both = pairs.union(pairs.select("other", "other_n", "word", "n"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other", "n")).alias("best"))
     frequent = -F.col("best.less") >= F.lit(ratio) * F.col("best.n")

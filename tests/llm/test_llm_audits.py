@@ -103,6 +103,21 @@ def test_variants_of_odd_rows(spark, odd, empty):
     assert spelling.spelling_variants(empty).count() == 0
 
 
+def test_one_edit_by_definition(spark):
+    words = ["".join(w) for k in range(5) for w in itertools.product("aé", repeat=k)]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words if len(b) - len(a) in (0, 1)], "a string, b string")
+    for r in pairs.withColumn("near", spelling.one_edit(F.col("a"), F.col("b"))).collect():
+        assert r.near == one_edit(r.a, r.b), r
+
+
+def test_variants_at_the_limit_of_long_words(spark, monkeypatch):
+    words = {"a" * k + x: 2 + k for k in range(8, 13) for x in ("", "b", "c")}
+    for long in (9, 10, 11):
+        monkeypatch.setattr(spelling, "LONG", long)
+        found = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+        assert {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in found.collect()} == plain_variants(words)
+
+
 def test_words_may_be_very_long(spark):
     word = "ab" * 50_000
     rows = spark.createDataFrame([(1, f"{word} {word} {word}x {word}x", "en")], SCHEMA)
