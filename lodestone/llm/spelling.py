@@ -4,8 +4,9 @@ One inserted, deleted or replaced character touches at most two bigrams of eithe
 their order and move by one place at most. If the bigrams of all words are sorted in one global order, rarest first (ties:
 by bigram, then by place), the first bigram that two such words share is therefore among the three first of both. So a word
 is listed under its three rarest bigrams only, by (bigram, length, place), and asks for words of its own length at the same
-place and for words longer by one at the same place or the next. What meets is verified by edit distance inside the join;
-only true pairs come out. The order is of bigrams, not of (bigram, place): a moved bigram must keep its rank.
+place and for words longer by one at the same place or the next. One edit also leaves the first or the last half of the
+shorter word as it is, so each half is part of a key of its own: few words meet that are not near, however many share a
+bigram. What meets is verified by edit distance inside the join; only true pairs come out. The order is of bigrams, not of (bigram, place): a moved bigram must keep its rank.
 
 The corpus is read once: occurrences are counted with map-side combining, so a word that makes up a third of the corpus is
 one row of a task. All later steps work on the vocabulary. The frequencies that reach the driver and the tasks are those of
@@ -83,11 +84,23 @@ def one_edit(shorter: Column, longer: Column) -> Column:
     return (apart > 0) & (rest == F.substring(shorter, F.when(F.length(shorter) == F.length(longer), apart + 1).otherwise(apart), F.length(shorter)))
 
 
+def _key(longer: int, at: Column, side: str, half: Column) -> Column:
+    return F.xxhash64("gram", F.col("length") + longer, at, F.lit(side), half)
+
+
 def _met(listed: DataFrame, near: Column) -> DataFrame:
-    shelf = listed.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "length", F.inline("first"))
-    place = lambda longer, later: F.struct(F.col("gram"), (F.col("length") + longer).alias("length"), (F.col("at") + later).alias("at"))
-    asked = listed.select("word", "n", "length", F.inline("first")).select("word", "n", F.col("length").alias("own"), F.inline(F.array(place(0, 0), place(1, 0), place(1, 1))))
-    met = asked.join(shelf, ["gram", "length", "at"]).where((F.col("own") < F.col("length")) | (F.col("word") < F.col("other")))
+    at, length = F.col("at"), F.col("length")
+    cut_at = lambda n: F.floor(n / 2).cast("int")
+    first = lambda h: F.substring("word", F.lit(1), h)
+    after = lambda h: F.substring("word", h + 1, length)
+    h, g = cut_at(length), cut_at(length - 1)
+    # an edit leaves one half of the shorter word as it is; where it stands tells by how much a bigram can have moved
+    asked = [_key(0, at, "l", first(h)), _key(0, at, "r", after(h)), _key(1, at, "first", first(h)), F.when(at >= h, _key(1, at + 1, "first", first(h))), _key(1, at + 1, "after", after(h)), F.when(at <= h - 2, _key(1, at, "after", after(h)))]
+    shelf = [_key(0, at, "l", first(h)), _key(0, at, "r", after(h)), _key(0, at, "first", first(g)), _key(0, at, "after", after(g + 1))]
+    rows = listed.select("word", "n", "length", F.inline("first"))
+    keyed = lambda keys, *names: rows.select(*(F.col(a).alias(b) for a, b in zip(("word", "n", "length"), names, strict=True)), F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    met = keyed(asked, "word", "n", "own").join(keyed(shelf, "other", "other_n", "length"), "key")
+    met = met.where((F.col("own") < F.col("length")) | ((F.col("own") == F.col("length")) & (F.col("word") < F.col("other"))))
     return met.where(near).select("word", "n", "other", "other_n")
 
 
