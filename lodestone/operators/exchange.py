@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import limited_list, one_line
+from ..sources.versions import export_together
 
 BANKS = ("school", "kaoyan")
 MOST = 5_000
@@ -89,3 +90,31 @@ def delta_report(outcomes: DataFrame, pending: int) -> DataFrame:
     n = lambda o: F.count_if(F.col("outcome") == o)
     reasons = outcomes.where("outcome = 'issue'").groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
     return outcomes.agg(n("patch").alias("ready"), n("unchanged").alias("unchanged"), n("issue").alias("issues")).select("ready", "unchanged", F.lit(pending).cast("long").alias("pending"), "issues", F.coalesce(reasons.scalar(), F.create_map().cast("map<string,bigint>")).alias("reasons"))
+
+
+def question_export(questions: DataFrame, path: str, name: str, schema: str, title: str, source: str, exported_at: str, tags: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> dict:
+    """Writes the envelopes of questions (id, bank, ...) and the mapping of their ids, as one export (see export_together).
+
+    mapping: external_id (that of the rows, else their id as text), id, bank. A table without rows is refused.
+    """
+    external = F.col("external_id") if "external_id" in questions.columns else F.col("id").cast("string")
+    documents = envelopes(questions, schema, title, source, exported_at, tags).select("document")
+    mapping = questions.select(external.alias("external_id"), "id", "bank")
+    return export_together({"documents": documents, "mapping": mapping, **(extra or {})}, path, name, {"schema": schema, "exportedAt": exported_at})
+
+
+def export_selected(questions: DataFrame, chosen: DataFrame, path: str, name: str, schema: str, title: str, source: str, exported_at: str) -> dict:
+    """Exports the questions whose ids are in chosen (id), each once, with chosen ids that no question has in `unknown`.
+
+    Null and repeated ids of chosen count for nothing; if no question is left, the export is refused.
+    """
+    ids = chosen.where("id IS NOT NULL").select("id").distinct()
+    unknown = ids.join(questions.select("id"), "id", "left_anti")
+    return question_export(questions.join(ids, "id", "left_semi"), path, name, schema, title, source, exported_at, extra={"unknown": unknown})
+
+
+def delta_export(current: DataFrame, outcomes: DataFrame, pending: int, key: str, path: str, name: str, schema: str, exported_at: str) -> dict:
+    """Writes the report of an incremental export, its patches and its issues, as one export. See delta.preflight()."""
+    patches = patched(current, outcomes, key)
+    issues = outcomes.where("outcome = 'issue'").select(key, "reason")
+    return export_together({"report": delta_report(outcomes, pending), "patches": patches, "issues": issues}, path, name, {"schema": schema, "exportedAt": exported_at})

@@ -14,6 +14,16 @@ ROOT = Path(__file__).resolve().parents[1]
 _sent: set[str] = set()
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one, for one machine, only where that setting is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+    return folder.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """`df` computed once and written to spark.checkpoint.dir; its lineage ends there, its partitioning stays known.
 
@@ -23,12 +33,7 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="lodestone-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared(spark))
     return df.checkpoint()
 
 
