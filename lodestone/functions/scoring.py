@@ -55,5 +55,5 @@ def generation_route(hard: Column, case: Column, grade_b: Column, calculation: C
 
 
 def duty(reasons: list[tuple[Column, str]], passed: str = "") -> Column:
-    """The first reason that holds, in order."""
-    return F.coalesce(*(F.when(c, r) for c, r in reasons), F.lit(passed))
+    """The first reason that holds, in order. What cannot be told, because a field is null, holds: a gate stays shut."""
+    return F.coalesce(*(F.when(F.coalesce(c, F.lit(True)), r) for c, r in reasons), F.lit(passed))

@@ -26,11 +26,12 @@ def with_defaults(rows: DataFrame, defaults: dict[str, str], core: Column) -> Da
 def preview(items: DataFrame, existing: DataFrame, draft: str) -> DataFrame:
     """items (ordinal, source, number, FIELDS, errors) as a draft, judged by what `existing` (FIELDS) and they hold.
 
-    An item is an issue if it has errors, no known bank, or the id or core of a row that differs; a duplicate if such a
+    An item is an issue if it has errors, no id (see with_defaults), no known bank, or the id or core of a row that differs; a duplicate if such a
     row is the same; else ready. Rows that exist come before all items and are never changed.
     """
     known = F.col("bank").isin(*BANKS)
     errors = F.concat(F.coalesce("errors", F.array().cast("array<string>")), F.when(F.coalesce(known, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("no bank"))))
+    errors = F.concat(errors, F.when(F.coalesce(F.trim(F.col("id").cast("string")), F.lit("")) == "", F.array(F.lit("no id"))).otherwise(F.array().cast("array<string>")))
     rows = items.select("ordinal", "source", "number", *FIELDS).withColumn("errors", errors) if "errors" not in items.columns else items.select("ordinal", "source", "number", *FIELDS, errors.alias("errors"))
     old = existing.select(F.lit(-1).cast("long").alias("ordinal"), *FIELDS, F.lit(True).alias("valid"))
     judged = classify(old.unionByName(rows.select(F.col("ordinal").cast("long").alias("ordinal"), *FIELDS, (F.size("errors") == 0).alias("valid")))).where("ordinal >= 0")

@@ -13,7 +13,7 @@ from ..functions.text import limited_list, one_line
 from ..sources.versions import export_together
 
 BANKS = ("school", "kaoyan")
-MOST = 5_000
+MOST, LARGEST = 5_000, 1 << 26
 
 
 def meta(m: Column) -> Column:
@@ -49,11 +49,12 @@ def catalog_entries(tags: DataFrame) -> DataFrame:
 def envelopes(questions: DataFrame, schema: str, name: str, source: str, exported_at: str, tags: DataFrame | None = None, version: int = 2, order: str = "id", most: int = MOST) -> DataFrame:
     """(bank, part, n_questions, document): the JSON envelopes of each bank's questions, in order.
 
-    A bank of `most` questions or fewer has one; a larger one is dealt by hash into parts of about `most`, so no bank's
-    rows meet in one task. Every column of questions is a field; null ones are left out. The tags' entries, a catalog's
+    A bank of `most` questions or fewer, and at most LARGEST bytes, has one; a larger one is dealt by hash into parts of
+    about so many, so no bank's rows meet in one task and no document is larger than a cell can be. Every column of questions is a field; null ones are left out. The tags' entries, a catalog's
     size, go into each bank's first part. A null bank is a bank of its own; an empty table has no envelope.
     """
-    counts = questions.groupBy("bank").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).withColumnRenamed("bank", "_bank")
+    size = F.coalesce(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in questions.columns)))), F.lit(0)).cast("long")
+    counts = questions.groupBy("bank").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(size) / LARGEST)).cast("int").alias("_parts")).withColumnRenamed("bank", "_bank")
     rows = questions.join(counts, F.col("bank").eqNullSafe(F.col("_bank"))).withColumn("_part", F.pmod(F.xxhash64(order), F.col("_parts")).cast("int"))
     fields = questions.columns
     groups = rows.groupBy("bank", "_part").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*fields).alias("q")))), lambda x: x["q"]).alias("questions"))

@@ -59,27 +59,29 @@ def recovered(rows: DataFrame) -> DataFrame:
 
 
 def rule_errors() -> Column:
-    """All rules a question row breaks, in order. Columns: id, subject, question, answer, type, difficulty, options, tags, knowledge_points."""
+    """All rules a question row breaks, in order; null lists are empty, null options blank. Columns: id, subject, question, answer, type, difficulty, options, tags, knowledge_points."""
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
-    choice = F.col("type").isin("A1", "A2", "A3", "multiple")
-    letters = F.filter(F.split(F.regexp_replace(F.upper("answer"), r"[\s,;、，；]", ""), ""), lambda x: x != "")
-    n = F.size("options")
+    choice, fill = F.coalesce(F.col("type").isin("A1", "A2", "A3", "multiple"), F.lit(False)), F.col("type").eqNullSafe("fill")
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    options = F.transform(listed("options"), lambda o: F.coalesce(o, F.lit("")))
+    letters = F.filter(F.split(F.regexp_replace(F.upper(F.coalesce("answer", F.lit(""))), r"[\s,;、，；]", ""), ""), lambda x: x != "")
+    n = F.size(options)
     known = F.slice(F.array(*map(F.lit, LETTERS)), F.lit(1), F.greatest(n, F.lit(0)))
-    seen = F.filter(F.transform("options", lambda o: F.regexp_extract(o, r"^([A-Z])[. ]", 1)), lambda x: x != "")
-    marks = F.transform(F.regexp_extract_all("question", F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    seen = F.filter(F.transform(options, lambda o: F.regexp_extract(o, r"^([A-Z])[. ]", 1)), lambda x: x != "")
+    marks = F.transform(F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int"))
     rules = [
         *((blank(c), f"missing {c}") for c in ("id", "subject", "question", "answer")),
-        (F.size(F.array_distinct("knowledge_points")) > 3, "too many knowledge points"),
-        (F.size("tags") > 3, "too many tags"),
+        (F.size(F.array_distinct(listed("knowledge_points"))) > 3, "too many knowledge points"),
+        (F.size(listed("tags")) > 3, "too many tags"),
         (~F.coalesce(F.col("type"), F.lit("")).isin(*TYPES), "unknown type"),
         (~F.coalesce(F.col("difficulty"), F.lit("medium")).isin(*LEVELS), "unknown difficulty"),
-        ((F.col("type") == "fill") & ((F.size(marks) == 0) | (marks != F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(marks))))), "blanks not consecutive"),
-        ((F.col("type") == "fill") & (n > 0), "options in a blank question"),
+        (fill & ((F.size(marks) == 0) | (marks != F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(marks))))), "blanks not consecutive"),
+        (fill & (n > 0), "options in a blank question"),
         (choice & (n < 2), "fewer than two options"),
         (choice & ~blank("answer") & (F.size(F.array_except(letters, known)) > 0), "answer outside options"),
         (choice & (F.size(F.array_distinct(letters)) != F.size(letters)), "repeated answer letters"),
         (choice & (F.col("type") != "multiple") & (F.size(letters) > 1), "several answers"),
-        (choice & F.exists("options", lambda o: F.regexp_replace(o, r"^[A-Z][. ]\s*", "") == ""), "empty option"),
+        (choice & F.exists(options, lambda o: F.regexp_replace(o, r"^[A-Z][. ]\s*", "") == ""), "empty option"),
         (choice & (F.size(seen) > 0) & (seen != F.slice(known, F.lit(1), F.greatest(F.size(seen), F.lit(0)))), "labels out of order"),
     ]
     return F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in rules)))

@@ -1,4 +1,8 @@
-"""Review gates: the first reason why a generated row cannot pass unseen, histograms, and a memo of decisions."""
+"""Review gates: the first reason why a generated row cannot pass unseen, histograms, and a memo of decisions.
+
+Nulls shut a gate: a field that a rule needs and that is null breaks the rule. Only null warnings, grades of quick review
+and one of the two lists of tags count as empty. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +15,38 @@ SECTIONS = ("analysis", "answerBasis", "pitfalls", "clinicalNotes")
 KINDS = ("paragraph", "list", "table", "callout")
 
 
-def quick_reason(least: float) -> Column:
+def _list(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
+def _plain(c: str | Column) -> Column:
+    """Without white space around it; null is blank."""
+    return F.regexp_replace(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), r"^\s+|\s+$", "")
+
+
+def quick_reason(least: float, corrupt: Column | None = None) -> Column:
     """The first of the ordered reasons, or ''. Columns: pipeline_status, review_status, generation_mode, error_message,
     match_score, explanation, grade, warnings (array), blocks (array of section, type), tags, suggested, brief,
-    evidence (array of book, printed_page, quote, score)."""
+    evidence (array of book, printed_page, quote, score). corrupt: whether the stored structure could not be read."""
     m = min(0.99, max(0.5, least))
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: _plain(c) == ""
     sections = F.transform("blocks", lambda b: b["section"])
-    good = F.exists("evidence", lambda e: ~blank(e["book"]) & (F.coalesce(e["printed_page"], F.lit(0)) > 0) & (F.char_length(F.trim(e["quote"])) >= 20) & (e["score"] >= m))
+    good = F.exists("evidence", lambda e: ~blank(e["book"]) & (F.coalesce(e["printed_page"], F.lit(0)) > 0) & (F.char_length(_plain(e["quote"])) >= 20) & (e["score"] >= m))
     return duty(
         [
             (~((F.col("pipeline_status") == "generated") & (F.col("review_status") == "pending")), "state"),
             (F.col("generation_mode") != "textbook", "mode"),
             (~blank(F.col("error_message")), "error"),
             (F.coalesce(F.col("match_score"), F.lit(0.0)) < m, "score"),
-            (F.char_length(F.coalesce("explanation", F.lit(""))) < 80, "short"),
-            (F.coalesce("grade", F.lit("A")) != "A", "grade"),
-            (F.size("warnings") > 0, "warnings"),
+            (F.char_length(_plain("explanation")) < 80, "short"),
+            *([] if corrupt is None else [(corrupt, "corrupt")]),
+            (F.upper(F.coalesce(F.nullif("grade", F.lit("")), F.lit("A"))) != "A", "grade"),
+            (F.size(_list("warnings")) > 0, "warnings"),
             (F.col("blocks").isNull() | (F.size("blocks") == 0), "no blocks"),
             (F.exists("blocks", lambda b: ~b["section"].isin(*SECTIONS) | ~b["type"].isin(*KINDS)), "unknown block"),
             (F.size(F.array_except(F.array(*map(F.lit, SECTIONS[:3])), sections)) > 0, "sections"),
             (~F.exists("blocks", lambda b: (b["section"] == "pitfalls") & (b["type"] == "table")), "no table"),
-            (F.size(F.filter(F.concat("tags", "suggested"), lambda t: ~blank(t))) == 0, "no tags"),
+            (F.size(F.filter(F.concat(_list("tags"), _list("suggested")), lambda t: ~blank(t))) == 0, "no tags"),
             (blank(F.col("brief")), "no brief"),
             (F.size("evidence") == 0, "no evidence"),
             (~good, "weak evidence"),
@@ -105,7 +119,7 @@ def package_problems() -> Column:
         (F.size(F.array_except(wanted, sections)) > 0, "sections"),
         (~F.exists("blocks", lambda b: (b["section"] == "pitfalls") & (b["type"] == "table")), "table"),
         (~general & (F.size("evidence") == 0), "evidence"),
-        (F.size(F.concat("tags", "suggested")) == 0, "tags"),
-        (F.trim(F.coalesce("brief", F.lit(""))) == "", "brief"),
+        (F.size(F.concat(_list("tags"), _list("suggested"))) == 0, "tags"),
+        (_plain("brief") == "", "brief"),
     ]
-    return F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in rules)))
+    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in rules)))

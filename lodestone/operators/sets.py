@@ -6,7 +6,7 @@ a snapshot as it was.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
@@ -19,8 +19,12 @@ UNFINISHED = "待人工整理|模型输出无法解析"
 def appended(sets: DataFrame, questions: DataFrame, new: DataFrame, key: str = "external_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, questions, baselines): new questions (set_id, key and the columns of questions) put into sets that exist, the
     sets' counts told again, and the new rows as their own baselines. A row whose set does not exist is left out, and so
-    is one whose key its set has; of several new ones with a key one stays."""
-    fresh = new.join(sets.select("set_id"), "set_id", "left_semi").join(questions.select("set_id", key), ["set_id", key], "left_anti").dropDuplicates(["set_id", key])
+    is one whose key its set has; of several new ones with a key the least stays, by the JSON of the row. Rows without a key
+    all stay."""
+    fresh = new.join(sets.select("set_id"), "set_id", "left_semi").join(questions.select("set_id", key), ["set_id", key], "left_anti")
+    order = Window.partitionBy("set_id", key).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in new.columns))))
+    keyed = fresh.where(F.col(key).isNotNull()).withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    fresh = keyed.unionByName(fresh.where(F.col(key).isNull()))
     whole = questions.unionByName(fresh.select(*questions.columns))
     return counted(sets, whole), whole, fresh.select(*questions.columns)
 
@@ -48,9 +52,11 @@ def referring(jobs: DataFrame, sets: DataFrame, questions: DataFrame) -> DataFra
     rows = jobs.select("job_id", "status", p.alias("p"))
     whole = rows.select("job_id", "status", F.col("p.set_id").alias("set_id"))
     ids = F.array_append(F.coalesce("p.question_ids", F.array().cast("array<string>")), F.col("p.question_pk"))
-    named = rows.select("job_id", "status", F.explode(ids).alias("x")).where(F.col("x").rlike("^[0-9]+$")).select("job_id", "status", F.col("x").cast("long").alias("id"))
+    named = rows.select("job_id", "status", F.explode(ids).alias("x")).select("job_id", "status", F.col("x").try_cast("long").alias("id")).where("id IS NOT NULL")
     by_question = named.join(questions.select("id", "set_id"), "id").select("job_id", "status", "set_id")
-    return whole.union(by_question).join(sets.select("set_id"), "set_id", "left_semi").select("job_id", "status", "set_id").distinct()
+    known = sets.select("set_id", F.col("set_id").cast("string").alias("_text"))
+    named = whole.union(by_question.withColumn("set_id", F.col("set_id").cast("string"))).withColumnRenamed("set_id", "_text")
+    return named.join(known, "_text").select("job_id", "status", "set_id").distinct()
 
 
 def deletable(jobs: DataFrame, sets: DataFrame, questions: DataFrame) -> DataFrame:
@@ -71,12 +77,13 @@ def next_job(jobs: DataFrame) -> DataFrame:
 
 def needs_manual(text: Column, matched: Column, package: Column, tagged: Column, brief: Column, sections: Column, tabled: Column, warned: Column) -> Column:
     """Whether a result must be finished by hand: no evidence or text, a package without tags, brief text, a needed section
-    or a table of pitfalls, warnings, marks of an unfinished text, or a raw dump of the package."""
+    or a table of pitfalls, warnings, marks of an unfinished text, or a raw dump of the package; also if that cannot be
+    told, because one of these is null."""
     body = F.trim(F.coalesce(text, F.lit("")))
     need = F.array(*map(F.lit, ("analysis", "answerBasis", "pitfalls")))
     lacking = package & (~tagged | ~brief | (F.size(F.array_except(need, F.coalesce(sections, F.array().cast("array<string>")))) > 0) | ~tabled)
     dump = (body.startswith("{") | body.startswith("```json")) & F.contains(body, F.lit('"explanationBlocks"'))
-    return ~matched | (body == "") | lacking | warned | body.rlike(UNFINISHED) | dump
+    return F.coalesce(~matched | (body == "") | lacking | warned | body.rlike(UNFINISHED) | dump, F.lit(True))
 
 
 def card_meta(version: Column, generator: Column, generated_at: Column) -> Column:

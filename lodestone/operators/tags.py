@@ -32,7 +32,7 @@ def synced(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(catalog, questions): keys used by ACTIVE questions or more are active; lists are rewritten by catalog labels.
 
     A question's first MOST active keys become tags, its first MOST others suggested. Labels are those of the question
-    of least id that uses the key.
+    of least id that uses the key. Rows of one set, subject and id are one question: each gets the tags of all of them.
     """
     found = mentions(questions)
     catalog = found.groupBy("set_id", "subject", "key").agg(F.count("*").alias("usage"), F.min_by("label", "question_id").alias("name"))

@@ -25,6 +25,8 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 ROWS = 1_048_576
 #: bytes that a zipped part may have when unpacked; a part beyond that is an error of its file
 MOST = 1 << 28
+#: of the widest sheet
+COLUMNS = 16_384
 
 
 def _part(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
@@ -42,6 +44,8 @@ def _column(reference: str) -> int:
         if not c.isalpha():
             break
         n = 26 * n + ord(c.upper()) - 64
+        if n > COLUMNS:
+            raise ValueError(f"{reference} is beyond the last column")
     return n - 1
 
 

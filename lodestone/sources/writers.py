@@ -37,7 +37,8 @@ def sheets(questions: DataFrame) -> dict[str, DataFrame]:
 
 
 def publish(rows: DataFrame, path: str, key: str, report: DataFrame) -> bool:
-    """Replaces the partitions of path that rows has, if the one row of report is valid; other partitions stay."""
+    """Replaces the partitions of path that rows has, if the one row of report is valid; other partitions stay,
+    also those of keys that have no rows left: versions.commit() replaces keys, and lets such ones go."""
     if not report.select("valid").first()[0]:
         return False
     rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
