@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP, FIRM = 12, 3
@@ -36,3 +36,32 @@ def usual_offset(seen: DataFrame, least: int = 3, most: int = 500) -> DataFrame:
     counts = rows.groupBy("library_id", "offset").agg(F.count("*").alias("support"), F.min("pdf_page").alias("first_page")).where(F.col("support") >= least)
     best = Window.partitionBy("library_id").orderBy(F.desc("support"), "first_page")
     return counts.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+
+
+def rewritten_references(text: Column, changed: Column, before: str = "第", after: str = "页") -> Column:
+    """text with the numbers of its page references (`before`, digits, `after`) replaced by a map's, read once from left to
+    right: what has been replaced is not looked at again, so pages may swap. Numbers that the map lacks, or has as null,
+    stay; so does a text without references. Null stays null; a null map changes nothing."""
+    pattern = f"{before}([0-9]{{1,9}}){after}"
+    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    pieces = F.split(text, pattern)
+    told = F.transform(numbers, lambda n: F.concat(F.lit(before), F.coalesce(F.try_element_at(changed, n.cast("int")).cast("string"), n), F.lit(after)))
+    return F.when(text.isNotNull(), F.array_join(F.zip_with(pieces, told, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))
+
+
+def offset_applied(rows: DataFrame, offset: Column, of_library: Column, evidence: str = "evidence", prose: str = "explanation") -> DataFrame:
+    """rows whose evidence (structs of source_path, pdf_page, source_page) of a library has the printed pages that an offset
+    gives, and whose prose names those; `changed` marks them.
+
+    of_library: an array of the library's paths. The physical page is the printed one where it is missing, a printed page
+    below 1 is null. In prose, the old page of an item becomes its new one; of several items with one old page the first
+    counts.
+    """
+    page = lambda e: F.coalesce(e["pdf_page"], e["source_page"])
+    own = lambda e: F.coalesce(F.array_contains(of_library, e["source_path"]), F.lit(False)) & page(e).isNotNull()
+    printed = lambda e: F.when(page(e) - offset > 0, page(e) - offset).cast("int")
+    moved = F.filter(F.col(evidence), lambda e: own(e) & e["source_page"].isNotNull() & printed(e).isNotNull() & (e["source_page"] != printed(e)))
+    once = F.filter(moved, lambda e, i: ~F.exists(F.slice(moved, F.lit(1), i), lambda x: x["source_page"] == e["source_page"]))
+    pairs = F.map_from_entries(F.transform(once, lambda e: F.struct(e["source_page"].cast("int"), printed(e))))
+    items = F.transform(F.col(evidence), lambda e: F.struct(e["source_path"].alias("source_path"), F.when(own(e), page(e)).otherwise(e["pdf_page"]).cast("int").alias("pdf_page"), F.when(own(e), printed(e)).otherwise(e["source_page"]).cast("int").alias("source_page")))
+    return rows.withColumns({"changed": F.coalesce(F.exists(evidence, own), F.lit(False)), prose: rewritten_references(F.col(prose), pairs), evidence: items})
