@@ -1,14 +1,18 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, the block transfers that move fewest bytes.
 
 A document's size is its UTF-8 bytes plus 1. Documents form blocks inside their old shard, by a hash of the text, so
-equal texts share a block and stay together; only a group of equal texts beyond 1 / SPLIT of a fair share is dealt into
-several blocks, as it could not be balanced otherwise. The driver sees the sizes of at most shards * BLOCKS blocks,
+equal texts share a block and stay together; only a group of equal texts beyond 1 / split of a fair share is dealt into
+several blocks, row by row, as it could not be balanced otherwise. That limit is a parameter: split=None keeps every group
+of equal texts together, whatever it does to the balance. The driver sees the sizes of at most shards * BLOCKS blocks,
 a constant, solves the flow between old and new shards (successive shortest paths, any cost matrix), and fills each
 flow with blocks, the largest that fit first. Sizes end near equal: a shard misses its capacity by about a block.
 
 The block table goes to executors by broadcast; its size is bounded by the same constant. Slots count rows from 0
 within a shard, without gaps: row numbers inside small cells of a shard, by hash, plus the cells' offsets.
 
+Rows get a number when they are first written to the shared folder, without their texts; a group is dealt, and slots are
+given, by that number, so any number of rows with a null id, or with one id, are spread like others.
+
 Null texts count as empty. Null ids and repeated rows are placed like any other row. Other columns are ignored (and
 kept by rewritten()). An empty table gives no rows.
 """
@@ -122,34 +126,36 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def resharded(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, old: int = OLD_SHARDS, capacity: list[int] | None = None, cost: list[list[int]] | None = None, blocks: int = BLOCKS, carry: bool = False) -> tuple[DataFrame, Plan]:
+def resharded(docs: DataFrame, shards: int = SHARDS, old_shard: Column | None = None, old: int = OLD_SHARDS, capacity: list[int] | None = None, cost: list[list[int]] | None = None, blocks: int = BLOCKS, carry: bool = False, split: int | None = SPLIT) -> tuple[DataFrame, Plan]:
     """(doc_id, size, text_crc32, old_shard, shard, slot) for each row of docs, and the plan behind it.
 
     old_shard: its present shard, 0 to old - 1 (default: a hash of the text); capacity: bytes by new shard (default: even);
-    carry: with the row of docs itself, as a struct `row`.
+    carry: with the row of docs itself, as a struct `row`. split: groups of equal texts beyond 1 / split of a fair share are
+    dealt into several blocks; None: never.
     """
     spark = docs.sparkSession
     present = F.pmod(text_hash(), F.lit(old)) if old_shard is None else old_shard
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.cast("int").alias("old_shard"), text_hash().alias("h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    rows = cut(rows.withColumn("number", F.monotonically_increasing_id()))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     capacity = capacity or [total[0] // shards + (j < total[0] % shards) for j in range(shards)]
-    fair = max(1, total[0] // max(1, shards * SPLIT))
-    # at most shards * SPLIT groups can be beyond 1 / SPLIT of a fair share: a bounded broadcast
+    fair = max(1, total[0] // max(1, shards * split)) if split else total[0]
+    # at most shards * split groups can be beyond 1 / split of a fair share: a bounded broadcast
     large = rows.groupBy("old_shard", "h").agg(F.sum("size").alias("whole"), F.count("*").alias("copies")).where((F.col("whole") > fair) & (F.col("copies") > 1))
     large = large.select("old_shard", "h", F.least(F.ceil(F.col("whole") / F.lit(fair)), F.lit(1 << 20)).cast("long").alias("pieces"))
     rows = rows.join(F.broadcast(large), ["old_shard", "h"], "left")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0))
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("number"), F.col("pieces"))).otherwise(F.lit(0))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h", piece), F.lit(blocks)).cast("int")).drop("pieces")
     sizes = {(r["old_shard"], r["block"]): r["size"] for r in rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size")).collect()}
     plan = planned(sizes, old, capacity, cost)
     table = spark.createDataFrame([(i, b, j) for (i, b), j in plan.target.items()], "old_shard int, block int, shard int")
     rows = rows.join(F.broadcast(table), ["old_shard", "block"])
     cells = max(4, total[1] // (shards * CELL) + 1)
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(5), "doc_id", "h"), F.lit(cells)).cast("int"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(5), "number"), F.lit(cells)).cast("int"))
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     offsets = counts.selectExpr("shard", "cell", "sum(n) OVER (PARTITION BY shard ORDER BY cell) - n AS start")
-    ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, cell ORDER BY doc_id, h) - 1 AS place")
+    ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, cell ORDER BY number) - 1 AS place")
     # one row per cell of about CELL rows
     out = ranked.join(offsets, ["shard", "cell"]).withColumn("slot", (F.col("start") + F.col("place")).cast("long"))
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", *(["row"] if carry else [])), plan
