@@ -7,16 +7,19 @@ and a passage of WORDS words, wherever it stands, holds two cuts at least and so
 LONG bytes counts by its parts, which begin at every code point outside ASCII and where the top bits of the gear hash
 are zero, so that scripts without spaces, other separators and encoded data resist shifts too.)
 
-Chunks are keyed by a 128-bit digest; of equal chunks the first by (doc_id, position) is the original, the others are
-repeated. A run of neighbouring repeated chunks of WORDS words or more is a repeated passage and goes. A shorter run may
-be the inside of one: if it reaches WORDS words with what is beside it, the windows of WORDS words there, and those at
-the originals of its chunks, are compared by digests of their own, and every window but the first goes. What repeats
-over fewer words, such as a common closing line, stays. A text that repeats itself keeps its first period.
-
-Of equal chunks that meet in one task all but the first are known there to be repeated, with that first as original;
-only one row of each digest and task goes on to meet those of other tasks, so a passage in a third of all texts is not
-hot. The chunks are made and shuffled once. Spans are gathered by document and text, and are bounded by its length. No
-digest comes to the driver.
+Chunks are keyed by a 128-bit digest. A passage of WORDS words holds a whole chunk and, on one side of it at least, BESIDE
+words more; so a chunk is listed twice, with bits of the words before and of those after it, and counts as repeated where
+either is listed elsewhere too. A repeated chunk points to the first, by (doc_id, position), that it is like. A run of
+neighbouring chunks that point to neighbouring chunks of one text is a copy of it, and of WORDS words or more it goes.
+Around all other repeated chunks, first ones included, the windows of WORDS words that contain them are compared by digests
+of their own, and every window but the first goes: what goes are exactly the words of repeated windows (but for white
+space between the chunks of a copied run, which may differ). What repeats over fewer words, such as a common closing line,
+stays. A text that repeats itself keeps its first period.
+
+Of equal keys that meet in one task all but the first are known there to be repeated, with that first as origin; only one
+row of each key and task goes on to meet those of other tasks, so a passage in a third of all texts is not hot. The chunks
+are made and shuffled once. Spans are gathered by document and text, and are bounded by its length. No digest comes to the
+driver.
 
 Null texts count as empty, and an empty text has no chunks. Null ids are returned whole. Rows repeated under one id and
 text are treated alike; different texts under one id are texts of their own. Other columns are kept by deduplicated(). A
@@ -40,13 +43,13 @@ from .runtime import Scratch, cut, lean, ship
 WORDS, WINDOW, LONG, BITS = 51, 21, 32, 2
 GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
-#: units from the end of a passage to where its chunks are its own: a hash looks back 16 bytes, 8 units at most
-EDGE = WINDOW + 8
-#: units beside a chunk of which its row keeps two bits each; ids that go to every task; rows that a task holds
+#: units beside a chunk that are part of its keys; ids that go to every task; rows that a task holds
 BESIDE, BROADCAST_IDS, HELD = 14, 500_000, 1 << 19
-#: place: 27 bits that tell the texts of an id apart, 32 of the first unit, 5 of the units; beside: bits of units before
-#: and after, or, where f and origin name the original, what differs there
-CHUNK = "d1 long, d2 long, doc_id long, place long, beside long, f long, origin long"
+#: added to units, so that a range may begin before its text
+REACH = 64
+#: place: 27 bits that tell the texts of an id apart, 32 of the first unit, 5 of the units; f and origin: id and place of
+#: the first row of the key in this task, null for that row itself, of which `many` tells that there are others
+CHUNK = "key long, mark long, doc_id long, place long, f long, origin long, many boolean"
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -131,25 +134,25 @@ def _beside(part: textkit.Slice, every: Units, first: np.ndarray, last: np.ndarr
 
 
 def _told(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows d1, d2, doc_id, place, beside, of each digest the first as it is, the others with it as their original and
-    dealt by themselves; rows repeated in full are one."""
-    d1, d2, ids, place, beside = (np.concatenate(x) for x in zip(*held, strict=True))
+    """Rows key, mark, doc_id, place, of each key the first as it is, the others with it as their origin and dealt by
+    themselves; rows repeated in full are one."""
+    key, mark, ids, place = (np.concatenate(x) for x in zip(*held, strict=True))
     held.clear()
-    order = np.lexsort((place, ids, d2, d1))
-    d1, d2, ids, place, beside = (x[order] for x in (d1, d2, ids, place, beside))
-    new = np.ones(len(d1), bool)
-    new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-    kept = np.ones(len(d1), bool)
+    order = np.lexsort((place, ids, mark, key))
+    key, mark, ids, place = (x[order] for x in (key, mark, ids, place))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+    kept = np.ones(len(key), bool)
     kept[1:] = new[1:] | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    own = ~new
-    d1 = np.where(own, textkit.mix((ids ^ place).view(np.uint64), 71).view(np.int64), d1)
-    beside = np.where(own, beside ^ beside[first], beside)
-    rows = np.flatnonzero(kept)
-    for i in range(0, len(rows), 100_000):
-        at = rows[i : i + 100_000]
-        mask = new[at]
-        yield pa.record_batch([*(pa.array(x[at]) for x in (d1, d2, ids, place, beside)), pa.array(ids[first[at]], mask=mask), pa.array(place[first[at]], mask=mask)], ["d1", "d2", "doc_id", "place", "beside", "f", "origin"])
+    key, mark, ids, place, new = (x[kept] for x in (key, mark, ids, place, new))
+    begin = np.flatnonzero(new)
+    first = begin[np.cumsum(new) - 1]
+    many = np.zeros(len(key), bool)
+    many[begin] = np.diff(np.append(begin, len(key))) > 1
+    key = np.where(new, key, textkit.mix((ids ^ place).view(np.uint64), 71).view(np.int64))
+    for i in range(0, len(key), 100_000):
+        at = slice(i, i + 100_000)
+        yield pa.record_batch([*(pa.array(x[at]) for x in (key, mark, ids, place)), pa.array(ids[first[at]], mask=new[at]), pa.array(place[first[at]], mask=new[at]), pa.array(many[at])], ["key", "mark", "doc_id", "place", "f", "origin", "many"])
 
 
 def _noted(made: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -172,53 +175,60 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before, after = _beside(part, found, first, last)
                 ids, t = (b[c].slice(part.first, len(part)).to_numpy() for c in ("doc_id", "t"))
                 place = t[doc].astype(np.int64) << 37 | first - found.offsets[doc] << 5 | last - first + 1
-                yield [*_digests(part, found.start[first], found.end[last]), ids[doc], place, after << 2 * BESIDE | before]
+                one, two = (x.view(np.uint64) for x in _digests(part, found.start[first], found.end[last]))
+                for side, bits in enumerate((before, after)):
+                    own = textkit.mix(bits.view(np.uint64), 81 + side)
+                    yield [textkit.mix(one ^ own, 83).view(np.int64), textkit.mix(two + own, 84).view(np.int64), ids[doc], place]
 
     return _noted(made())
 
 
-def _alike(x: np.ndarray) -> np.ndarray:
-    """How many units two chunks may have in common on a side where x differs; EDGE if all that are kept are alike."""
-    return np.where(x == 0, EDGE, np.bitwise_count((x & -x) - 1) // 2)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the repeated chunks of each text: copied runs, as ranges of units that go; and, with `ask`, ranges in which
+    windows are to be compared."""
 
+    def told(b: pa.RecordBatch, x: np.ndarray, y: np.ndarray, ask: bool) -> pa.RecordBatch:
+        """x, y: with the row of b in the bits from 32 on."""
+        own = pa.array(x >> 32)
+        low, high = ((v & 0xFFFFFFFF) - REACH for v in (x, y))
+        return pa.record_batch([b["doc_id"].take(own), b["t"].take(own), *(pa.array(np.maximum(v, 0).astype(np.int32)) for v in (low, high)), pa.array(np.full(len(x), ask))], ["doc_id", "t", "x", "y", "ask"])
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the repeated chunks of each text: what goes of it, as ranges of units; and, with `ask`, ranges in which windows
-    are to be compared, of this text and of its chunks' originals."""
-    side = (1 << 2 * BESIDE) - 1
     for b in batches:
         lists = b["chunks"]
         row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
         flat = dict(zip([f.name for f in lists.type.value_type], (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()), strict=True))
-        u, m, g = _unit(flat["place"]), flat["place"] & 31, _unit(flat["origin"])
-        left, right = _alike(flat["beside"] & side), _alike(flat["beside"] >> 2 * BESIDE & side)
-        new = np.ones(len(u), bool)
-        new[1:] = (row[1:] != row[:-1]) | (u[1:] != u[:-1] + m[:-1])
-        first = np.flatnonzero(new)
-        if not len(first):
+        if not len(row):
             continue
-        last = np.append(first[1:], len(u)) - 1
-        run = np.cumsum(new) - 1
-        start, end = u[first], u[last] + m[last]
-        # how far a passage around the run may reach, by any of its chunks and that one's original
-        low, high = np.minimum(np.minimum.reduceat(u - left, first), start), np.maximum(np.maximum.reduceat(u + m + right, first), end)
-        long, shift, own, t = end - start >= WORDS, g - u, pa.array(row[first]), (flat["origin"] >> 37).astype(np.int32)
-
-        def told(ids: list[pa.Array], x: np.ndarray, y: np.ndarray, ask: bool) -> pa.RecordBatch:
-            return pa.record_batch([*ids, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(len(x), ask))], ["doc_id", "t", "x", "y", "ask"])
-
-        mine = lambda which: [b[c].take(own).filter(pa.array(which)) for c in ("doc_id", "t")]
-        theirs = lambda at: [pa.array(flat["f"][at]), pa.array(t[at])]
-        yield told(mine(long), start[long], end[long], False)
-        # a short run's windows, here and at the originals of all its chunks
-        short = ~long & (high - low >= WORDS)
-        yield told(mine(short), low[short], high[short], True)
-        inner = np.flatnonzero(short[run])
-        yield told(theirs(inner), low[run[inner]] + shift[inner], high[run[inner]] + shift[inner], True)
-        # of a long one, those that reach beyond its ends
-        for some, at, x, y in ((long & (low < start), first, low, start + WORDS - 1), (long & (high > end), last, end - WORDS + 1, high)):
-            yield told(mine(some), x[some], y[some], True)
-            yield told(theirs(at[some]), x[some] + shift[at[some]], y[some] + shift[at[some]], True)
+        m, here = flat["place"] & 31, row << 32 | _unit(flat["place"]) + REACH
+        # copied runs: neighbours that point to neighbours, of one text, at one distance
+        away = np.flatnonzero((flat["f"] != b["doc_id"].to_numpy()[row]) | (flat["origin"] != flat["place"]))
+        text, shift = flat["origin"] >> 37, _unit(flat["origin"]) - _unit(flat["place"])
+        away = away[np.lexsort((here[away], shift[away], text[away], flat["f"][away], row[away]))]
+        one = np.ones(len(away), bool)
+        alike = lambda: np.all([v[away[1:]] == v[away[:-1]] for v in (row, flat["f"], text, shift)], axis=0)
+        one[1:] = ~alike() | (here[away[1:]] != here[away[:-1]])
+        away = away[one]  # a chunk that both of its keys repeat is there twice
+        begins = np.ones(len(away), bool)
+        begins[1:] = ~alike() | (here[away[1:]] != here[away[:-1]] + m[away[:-1]])
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(away)) - 1
+        start, end = here[away[first]], here[away[last]] + m[away[last]]
+        copied = end - start >= WORDS
+        start, end = start[copied], end[copied]
+        yield told(b, start, end, False)
+        # windows around the other chunks; those that lie inside one copied run are known already
+        x, y = here + m - WORDS, here + WORDS
+        order = np.argsort(start, kind="stable")
+        start, reach = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+        at = np.searchsorted(start, x, "right") - 1
+        inside = (at >= 0) & (y <= reach[np.maximum(at, 0)]) if len(start) else np.zeros(len(x), bool)
+        x, y = x[~inside], y[~inside]
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        if len(x):
+            far = np.maximum.accumulate(y)
+            new = np.append(True, x[1:] > far[:-1])
+            yield told(b, x[new], far[np.append(np.flatnonzero(new)[1:], len(x)) - 1], True)
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,18 +246,18 @@ def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.unique(np.repeat(found.offsets[doc] + low - np.cumsum(many) + many, many) + np.arange(many.sum()))
                 doc = found.doc[at]
                 ids, t = (b[c].slice(part.first, len(part)).to_numpy() for c in ("doc_id", "t"))
-                yield [*_digests(part, found.start[at], found.end[at + WORDS - 1]), ids[doc], t[doc].astype(np.int64) << 37 | at - found.offsets[doc] << 5, np.zeros(len(at), np.int64)]
+                yield [*_digests(part, found.start[at], found.end[at + WORDS - 1]), ids[doc], t[doc].astype(np.int64) << 37 | at - found.offsets[doc] << 5]
 
     return _noted(made())
 
 
 def _again(made: DataFrame) -> DataFrame:
-    """doc_id, t, place, beside (what differs from the original's), f and origin (id and place of it) of all rows of made
-    whose digest has an earlier one."""
-    first = F.first(F.struct("doc_id", "place", "beside")).over(Window.partitionBy("d1", "d2").orderBy("doc_id", "place"))
-    rows = made.withColumn("first", first).where("f IS NOT NULL OR doc_id <> first.doc_id OR place <> first.place")
-    apart = F.when(F.col("f").isNull(), F.col("beside").bitwiseXOR(F.col("first.beside"))).otherwise(F.col("beside"))
-    return rows.select("doc_id", F.shiftright("place", 37).cast("int").alias("t"), "place", apart.alias("beside"), F.coalesce("f", "first.doc_id").alias("f"), F.coalesce("origin", "first.place").alias("origin"))
+    """doc_id, t, place, f and origin (id and place of the first that is known) of all rows of made whose key others have
+    too, that first one included."""
+    by = Window.partitionBy("key", "mark").orderBy("doc_id", "place")
+    rows = made.withColumns({"first": F.first(F.struct("doc_id", "place")).over(by), "more": F.lead("place").over(by).isNotNull()})
+    rows = rows.where("f IS NOT NULL OR many OR more OR doc_id <> first.doc_id OR place <> first.place")
+    return rows.select("doc_id", F.shiftright("place", 37).cast("int").alias("t"), "place", F.coalesce("f", "first.doc_id").alias("f"), F.coalesce("origin", "first.place").alias("origin"))
 
 
 def _near(rows: DataFrame) -> DataFrame:
@@ -266,11 +276,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), "text")
     scratch = Scratch()
     made = rows.mapInArrow(lean(_chunked), CHUNK)
-    gathered = _again(made).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "beside", "f", "origin"))).alias("chunks"))
+    gathered = _again(made).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "f", "origin"))).alias("chunks"))
     found = scratch.cut(gathered.mapInArrow(lean(_runs), "doc_id long, t int, x int, y int, ask boolean"))
     ranges = scratch.cut(found.where("ask").groupBy("doc_id", "t").agg(F.collect_set(F.struct("x", "y")).alias("ranges")))
     asked = rows.join(_near(ranges.select("doc_id", "t")), ["doc_id", "t"], "left_semi")
-    windows = _again(asked.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), CHUNK))
+    windows = _again(asked.join(ranges, ["doc_id", "t"]).mapInArrow(lean(_windowed), CHUNK)).where("doc_id <> f OR place <> origin")
     at = F.shiftright("place", 5).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     spans = found.where("NOT ask").select("doc_id", "t", "x", "y").union(windows.select("doc_id", "t", at, at + WORDS))
     whole = cut(spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("x").alias("start"), F.col("y").alias("end")))).alias("spans")))
