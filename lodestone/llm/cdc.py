@@ -7,12 +7,12 @@ and a passage of WORDS words, wherever it stands, holds two cuts at least and so
 LONG bytes counts by its parts, which begin at every code point outside ASCII and where the top bits of the gear hash
 are zero, so that scripts without spaces, other separators and encoded data resist shifts too.)
 
-Chunks are keyed by a 128-bit digest. A passage of WORDS words holds a whole chunk and, on one side of it at least, BESIDE
+Chunks are keyed by digest, of 64 bits with what is beside them, as windows and runs of chunks decide. A passage of WORDS words holds a whole chunk and, on one side of it at least, BESIDE
 words more; so a chunk is listed twice, with bits of the words before and of those after it, and counts as repeated where
 either is listed elsewhere too. A repeated chunk points to the first, by (doc_id, position), that it is like. A run of
 neighbouring chunks that point to neighbouring chunks of one text is a copy of it, and of WORDS words or more it goes.
-Around all other repeated chunks, first ones included, the windows of WORDS words that contain them are compared by digests
-of their own, and every window but the first goes: what goes are exactly the words of repeated windows (but for white
+Around all other repeated chunks, first ones included, the windows of WORDS words that contain them, and reach no further
+beyond their run than where chunks depend on what is outside a passage, are compared by digests of 128 bits of their own, and every window but the first goes: what goes are exactly the words of repeated windows (but for white
 space between the chunks of a copied run, which may differ). What repeats over fewer words, such as a common closing line,
 stays. A text that repeats itself keeps its first period.
 
@@ -45,6 +45,9 @@ GEAR = textkit.mix(np.arange(256, dtype=np.uint64), 61).astype(np.uint16)
 OTHER = 0xC2B2AE3D27D4EB4F
 #: units beside a chunk that are part of its keys; ids that go to every task; rows that a task holds
 BESIDE, BROADCAST_IDS, HELD = 14, 500_000, 1 << 19
+#: units from the end of a passage to where its chunks are its own: a hash looks back 16 bytes, 8 units at most; a repeated
+#: window so reaches no further beyond a run of repeated chunks
+EDGE = WINDOW + 8
 #: added to units, so that a range may begin before its text
 REACH = 64
 #: place: 27 bits that tell the texts of an id apart, 32 of the first unit, 5 of the units; f and origin: id and place of
@@ -176,9 +179,9 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, t = (b[c].slice(part.first, len(part)).to_numpy() for c in ("doc_id", "t"))
                 place = t[doc].astype(np.int64) << 37 | first - found.offsets[doc] << 5 | last - first + 1
                 one, two = (x.view(np.uint64) for x in _digests(part, found.start[first], found.end[last]))
+                both = textkit.mix(one ^ textkit.mix(two, 84), 83)
                 for side, bits in enumerate((before, after)):
-                    own = textkit.mix(bits.view(np.uint64), 81 + side)
-                    yield [textkit.mix(one ^ own, 83).view(np.int64), textkit.mix(two + own, 84).view(np.int64), ids[doc], place]
+                    yield [textkit.mix(both ^ textkit.mix(bits.view(np.uint64), 81 + side), 85).view(np.int64), np.zeros(len(doc), np.int64), ids[doc], place]
 
     return _noted(made())
 
@@ -216,8 +219,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copied = end - start >= WORDS
         start, end = start[copied], end[copied]
         yield told(b, start, end, False)
-        # windows around the other chunks; those that lie inside one copied run are known already
-        x, y = here + m - WORDS, here + WORDS
+        # windows around the other chunks, as far as their run of repeated chunks and EDGE beside it reach; those that lie
+        # inside one copied run are known already
+        new = np.append(True, here[1:] > (here + m)[:-1])
+        low = here[np.flatnonzero(new)][np.cumsum(new) - 1]
+        high = (here + m)[np.append(np.flatnonzero(new)[1:], len(here)) - 1][np.cumsum(new) - 1]
+        x, y = np.maximum(here + m - WORDS, low - EDGE), np.minimum(here + WORDS, high + EDGE)
+        x, y = x[(wide := y - x >= WORDS)], y[wide]
         order = np.argsort(start, kind="stable")
         start, reach = start[order], np.maximum.accumulate(end[order]) if len(end) else end
         at = np.searchsorted(start, x, "right") - 1
