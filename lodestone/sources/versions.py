@@ -141,13 +141,15 @@ def commit(
         if everything:
             parts, fresh = {}, rows
         else:
-            keys = (rows.select(key) if keys is None else keys.toDF(key)).distinct()
-            if not rows.join(keys, F.expr("true") & rows[key].eqNullSafe(keys[key]), "left_anti").isEmpty():
-                raise ValueError("there are rows of keys that are not to be replaced")
+            given = keys is not None
+            keys = (keys if given else rows.select(key)).toDF(key).distinct()
             touched = [r[0] for r in keys.select(bucket).distinct().collect()]
+            keys, same = keys.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))
+            if given and not rows.join(keys, same, "left_anti").isEmpty():
+                raise ValueError("there are rows of keys that are not to be replaced")
             parts = {b: x for b, x in held["parts"].items() if b not in touched}
             old = _rows(spark, path, held, touched)
-            fresh = old.join(keys, old[key].eqNullSafe(keys[key]), "left_anti").unionByName(rows)
+            fresh = old.join(keys, same, "left_anti").unionByName(rows)
         fresh.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{work}")
         made = [x for x in folder.names(work) if x.startswith("_bucket=")]
         parts |= {x.removeprefix("_bucket="): f"{work}/{x}" for x in made}

@@ -58,6 +58,9 @@ def test_stale_and_invalid_commits_are_refused(spark, tmp_path):
             versions.commit(frame(spark, [(3, "z")]), path, "id", **wrong)
     with pytest.raises(ValueError):
         versions.commit(frame(spark, [(3, "z")]), path, "id", keys=spark.createDataFrame([(4,)], "id long"))
+    whole = frame(spark, [(3, "z"), (4, "w")])
+    with pytest.raises(ValueError):  # keys of the same lineage as the rows
+        versions.commit(whole, path, "id", keys=whole.where("id = 3").select("id"))
     with pytest.raises(ValueError):
         versions.commit(frame(spark, [(3, "z")]).withColumn("more", F.lit(1)), path, "id")
     with pytest.raises(versions.Refused):  # the number is taken between check and rename
