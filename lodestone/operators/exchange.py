@@ -35,11 +35,12 @@ def meta(m: Column) -> Column:
     )
 
 
-def catalog_entries(tags: DataFrame) -> DataFrame:
-    """Catalog rows (subject, label, aliases, status, usage, merged_into) as entries; those without subject or label go."""
+def catalog_entries(tags: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Catalog rows (subject, label, aliases, status, usage, merged_into) as entries; those without subject or label go, and
+    the columns `keep` stay."""
     status = F.when(F.col("status").isin("active", "candidate", "merged"), F.col("status")).otherwise("active")
     rows = tags.select(
-        F.coalesce(one_line(F.col("subject"), 60), F.lit("")).alias("subject"), F.coalesce(one_line(F.col("label"), 24), F.lit("")).alias("label"),
+        *keep, F.coalesce(one_line(F.col("subject"), 60), F.lit("")).alias("subject"), F.coalesce(one_line(F.col("label"), 24), F.lit("")).alias("label"),
         F.slice(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: one_line(a, 24)), 1, 20).alias("aliases"), status.alias("status"),
         F.greatest(F.lit(0), F.coalesce("usage", F.lit(0))).cast("long").alias("usageCount"), F.coalesce(one_line(F.col("merged_into"), 24), F.lit("")).alias("mergedInto"),
     )
