@@ -14,6 +14,7 @@ from ..functions.cleaners import filled, first_by, study_points
 from ..functions.text import clean, fill_answers, key, one_line, plain, strip
 from ..sources.office import headed
 from ..sources.writers import CELL, CONTROL
+from ..store import kept as stored
 from .exchange import catalog_entries, meta
 from .formats import blocks as tidy_blocks
 from .questions import tidy_points, tidy_tags
@@ -234,22 +235,28 @@ def as_rows(sheets: dict[str, DataFrame], path: str = "") -> DataFrame:
     return out
 
 
-def about(rows: DataFrame, schema: str) -> DataFrame:
+def opened(rows: DataFrame) -> DataFrame:
+    """path, sheet, row and `fields` of the format's sheets among the rows of workbooks (path, sheet, row, cells, error), read
+    once and stored: all that follows joins these."""
+    return stored(headed(rows.where(F.col("sheet").isin(*HEADS)), ["key", "ID", "题目ID", "标签"]))
+
+
+def about(found: DataFrame, schema: str) -> DataFrame:
     """path, name, bank, source, exportedAt of the workbooks that are of the format: others, and those of another version, are not."""
-    pairs = headed(rows.where(F.col("sheet") == ABOUT), ["key"]).select("path", F.col("fields")["key"].alias("k"), F.col("fields")["value"].alias("v"))
+    pairs = found.where(F.col("sheet") == ABOUT).select("path", F.col("fields")["key"].alias("k"), F.col("fields")["value"].alias("v"))
     value = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
-    found = pairs.groupBy("path").agg(value("schema").alias("_schema"), value("schemaVersion").alias("_version"), *(blank(value(k)).alias(k) for k in ("name", "bank", "source", "exportedAt")))
-    return found.where((F.col("_schema") == schema) & (F.col("_version").try_cast("double") == 2)).drop("_schema", "_version")
+    books = pairs.groupBy("path").agg(value("schema").alias("_schema"), value("schemaVersion").alias("_version"), *(blank(value(k)).alias(k) for k in ("name", "bank", "source", "exportedAt")))
+    return books.where((F.col("_schema") == schema) & (F.col("_version").try_cast("double") == 2)).drop("_schema", "_version")
 
 
-def nested(rows: DataFrame, schema: str) -> DataFrame:
-    """`path` and the questions in form of the workbooks (path, sheet, row, cells, error) that are of the format.
+def nested(found: DataFrame, schema: str) -> DataFrame:
+    """`path` and the questions in form of opened() workbooks, those that are of the format.
 
     A list or table is put together from its lines, in order; unreadable extensions become a warning. Cells that a number
     should fill and do not are null; rows without an id keep what has none either, but for cards.
     """
-    mine = about(rows, schema)
-    held = lambda name, known: headed(rows.where(F.col("sheet") == name), [known]).join(mine.select("path"), "path", "left_semi")
+    mine = stored(about(found, schema))
+    held = lambda name: found.where(F.col("sheet") == name).join(mine.select("path"), "path", "left_semi")
     at = lambda h: F.col("fields")[h]
     number = lambda h: at(h).try_cast("double").cast("int")
     ident = lambda h: blank(one_line(at(h), CELL)).alias("id")
@@ -259,7 +266,7 @@ def nested(rows: DataFrame, schema: str) -> DataFrame:
         ordered = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("row").alias("r"), value.alias("v"))))
         return found.groupBy("path", "id").agg(F.transform(ordered, lambda x: x["v"]).alias(name))
 
-    b = held(BLOCKS, "题目ID").select("path", "row", ident("题目ID"), F.coalesce(number("区块序号"), F.lit(1)).alias("at"), F.coalesce(number("行序号"), F.lit(0)).alias("line"), "fields")
+    b = held(BLOCKS).select("path", "row", ident("题目ID"), F.coalesce(number("区块序号"), F.lit(1)).alias("at"), F.coalesce(number("行序号"), F.lit(0)).alias("line"), "fields")
     b = b.groupBy("path", "id", "at").agg(F.min("row").alias("row"), F.sort_array(F.collect_list(F.struct("line", F.col("row").alias("r"), *(F.col("fields")[h].alias(h) for h in HEADS[BLOCKS].split()[2:])))).alias("lines"))
     first = F.get("lines", F.lit(0))
     columns = F.filter(F.array(*(blank(one_line(first[f"列名{i}"], 80)) for i in range(1, 6))), lambda x: x != "")
@@ -269,8 +276,8 @@ def nested(rows: DataFrame, schema: str) -> DataFrame:
     block = F.struct(first["区块ID"].alias("blockId"), first["所属部分"].alias("section"), kind.alias("type"), first["标题"].alias("title"), F.when(~kind.isin("list", "table"), clean(first["正文"], 4000)).alias("text"), first["提示样式"].alias("tone"), F.when(kind == "list", items).alias("items"), F.when(kind == "table", columns).alias("columns"), F.when(kind == "table", cells).alias("rows"))
     b = gathered(b, F.col("at"), block, "explanationBlocks")
     item = F.struct(at("教材名称").alias("textbook"), at("版本").alias("version"), at("文件名").alias("fileName"), number("课本页码").alias("sourcePage"), number("PDF页码").alias("pdfPage"), F.coalesce(F.nullif(at("教材原文"), F.lit("")), F.nullif(at("完整上下文"), F.lit("")), at("证据摘要")).alias("quote"), at("关键原句").alias("excerpt"), at("AI整理上下文").alias("contextSummary"), parted("重点片段").alias("highlights"), parted("支持线索").alias("supportedClues"), at("相似度").try_cast("double").alias("score"), at("提取方式").alias("extractionMethod"))
-    e = gathered(held(SOURCES, "题目ID").select("path", "row", ident("题目ID"), "fields"), F.coalesce(number("序号"), F.lit(1)), item, "evidence")
-    c = held(CARDS, "题目ID").select("path", "row", ident("题目ID"), "fields").where("id <> ''")
+    e = gathered(held(SOURCES).select("path", "row", ident("题目ID"), "fields"), F.coalesce(number("序号"), F.lit(1)), item, "evidence")
+    c = held(CARDS).select("path", "row", ident("题目ID"), "fields").where("id <> ''")
     card = F.struct(at("标题").alias("title"), at("独立背诵正文").alias("content"), at("记忆提示").alias("memoryCue"), at("对比辨析").alias("contrast"))
     about_cards = F.struct(F.coalesce(number("格式版本"), F.lit(1)).alias("schemaVersion"), at("生成器").alias("generator"), at("生成时间").alias("generatedAt"))
     c = gathered(c, F.coalesce(number("序号"), F.lit(1)), F.struct(card.alias("c"), about_cards.alias("m")), "x").select("path", "id", F.transform("x", lambda x: x["c"]).alias("memoryCards"), F.get("x", F.lit(0))["m"].alias("memoryCardMeta"))
@@ -281,7 +288,7 @@ def nested(rows: DataFrame, schema: str) -> DataFrame:
     more = F.from_json(F.when(given == "", "{}").otherwise(given), "map<string,string>")
     named = dict(zip("questionSource type subject system difficulty caseInfo question answer briefExplanation mnemonic year explanation sourceType".split(), "题库来源 题型 学科 章节 难度 病例背景 题干 答案 一句话简析 记忆口诀 年份 解析纯文本 来源类型".split(), strict=True))
     grades = F.to_json(F.struct(at("证据等级").alias("evidenceGrade"), at("推理类型").alias("reasoningType")))
-    q = held(QUESTIONS, "ID").join(mine.select("path", F.col("bank").alias("_bank")), "path")
+    q = found.where(F.col("sheet") == QUESTIONS).join(mine.select("path", F.col("bank").alias("_bank")), "path")
     q = q.select(
         "path", ident("ID"), F.coalesce(F.nullif(at("题库"), F.lit("")), F.col("_bank")).alias("bank"), *(at(h).alias(n) for n, h in named.items()), F.array_compact(F.array(*map(letter, "ABCDE"))).alias("options"),
         three("知识点").alias("knowledgePoints"), three("题目标签").alias("tags"), three("候选标签").alias("suggestedTags"), F.from_json(at("考点JSON"), FIELDS["studyPoints"]).alias("studyPoints"),
@@ -292,9 +299,9 @@ def nested(rows: DataFrame, schema: str) -> DataFrame:
     return normal(q, ("path",))
 
 
-def catalogue(rows: DataFrame, schema: str) -> DataFrame:
-    """`path` and the entries of the catalogues of workbooks that are of the format."""
+def catalogue(found: DataFrame, schema: str) -> DataFrame:
+    """`path` and the entries of the catalogues of opened() workbooks that are of the format."""
     at = lambda h: F.col("fields")[h]
-    found = headed(rows.where(F.col("sheet") == TAGS), ["标签"]).join(about(rows, schema).select("path"), "path", "left_semi")
-    flat_rows = found.select("path", at("学科").alias("subject"), at("标签").alias("label"), F.filter(F.split(blank(at("别名")), "[、,，;；|]"), lambda x: x != "").alias("aliases"), at("状态").alias("status"), at("使用次数").try_cast("double").cast("int").alias("usage"), at("合并至").alias("merged_into"))
+    rows = found.where(F.col("sheet") == TAGS).join(about(found, schema).select("path"), "path", "left_semi")
+    flat_rows = rows.select("path", at("学科").alias("subject"), at("标签").alias("label"), F.filter(F.split(blank(at("别名")), "[、,，;；|]"), lambda x: x != "").alias("aliases"), at("状态").alias("status"), at("使用次数").try_cast("double").cast("int").alias("usage"), at("合并至").alias("merged_into"))
     return catalog_entries(flat_rows, ("path",))

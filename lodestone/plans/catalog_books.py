@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import editing, workbook
 from ..sources.readers import tables
+from ..store import kept
 from .catalog import long, query
 from .catalog_exchange import SCHEMA
 
@@ -33,7 +34,7 @@ def six_sheets(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct(source.alias("textbook"), F.lit("").alias("version"), F.lit("").alias("fileName"), (i % 50).cast("int").alias("sourcePage"), F.lit(None).cast("int").alias("pdfPage"), F.lit("q").alias("quote"), F.lit("").alias("excerpt"), F.lit("").alias("contextSummary"), F.array(F.lit("h1"), F.lit("h2")).alias("highlights"), F.array().cast("array<string>").alias("supportedClues"), F.lit(0.5).alias("score"), F.lit("").alias("extractionMethod"))
     mode = F.from_json(F.when(i % 3 == 0, '{"mode":"textbook_reasoning"}').otherwise("{}"), workbook.META)
     docs = tables(spark, sf, "documents")[0].select(ident.alias("id"), F.lit("school").alias("bank"), F.col("text").alias("question"), F.array(F.lit("A. x"), F.lit(""), F.lit("C. z")).alias("options"), blocks.alias("explanationBlocks"), F.array(item).alias("evidence"), mode.alias("explanationMeta"), "lang")
-    found = workbook.nested(workbook.as_rows(workbook.flat(workbook.normal(docs), SCHEMA, source="test"), "book"), SCHEMA)
+    found = workbook.nested(workbook.opened(workbook.as_rows(workbook.flat(kept(workbook.normal(docs)), SCHEMA, source="test"), "book")), SCHEMA)
     one = lambda kind: F.get(F.filter("explanationBlocks", lambda b: b["type"] == kind), F.lit(0))
     e = F.get("evidence", F.lit(0))
     numbered = F.size(F.array_distinct(F.transform("explanationBlocks", lambda b: b["blockId"]))) == F.size("explanationBlocks")

@@ -64,7 +64,7 @@ def test_workbook_is_read_back(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(office.workbook_bytes(sheets))
     (tmp_path / "b.xlsx").write_bytes(office.workbook_bytes(workbook.flat(rows.where("id = '1'"), "other")))
     (tmp_path / "c.xlsx").write_bytes(b"none")
-    found = office.workbooks(spark, str(tmp_path)).cache()
+    found = workbook.opened(office.workbooks(spark, str(tmp_path)))
     assert [r.name for r in workbook.about(found, SCHEMA).collect()] == ["n"]
     want = by_id(rows)
     want["3"] |= {"bank": "school"}
@@ -87,13 +87,13 @@ def test_sheets_that_people_changed(spark):
         "教材证据": put("教材证据", {"题目ID": "1", "课本页码": "twelve", "PDF页码": "3", "相似度": "?", "教材原文": "quote"}),
         "背诵知识卡": put("背诵知识卡", {"题目ID": "", "标题": "lost", "独立背诵正文": "lost"}),
     }
-    rows = workbook.as_rows(sheets, "p")
+    rows = workbook.opened(workbook.as_rows(sheets, "p"))
     found = by_id(workbook.nested(rows, SCHEMA))
     assert set(found) == {"1", ""} and found["1"]["bank"] == "kaoyan" and found["1"]["options"] == ["B. only"]
     assert found["1"]["extensions"] == {"importWarning": workbook.UNREADABLE} and found["1"]["studyPoints"] == []
     assert [b["items"] for b in found["1"]["explanationBlocks"]] == [["first"], ["nine", "ten"]]
     assert [(e["sourcePage"], e["pdfPage"], e["score"]) for e in found["1"]["evidence"]] == [(None, 3, 0.0)] and found[""]["memoryCards"] == []
-    assert workbook.nested(workbook.as_rows(sheets | {"_meta": head["_meta"]}), SCHEMA).count() == 0
+    assert workbook.nested(workbook.opened(workbook.as_rows(sheets | {"_meta": head["_meta"]})), SCHEMA).count() == 0
 
 
 def test_exchange_edits_keep_the_workflow(spark):
