@@ -21,7 +21,8 @@ def windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
     made = F.transform(F.sequence(F.lit(0), n), lambda i: strip(F.substring(F.col("text"), i * step + 1, F.lit(size))))
     kept = F.filter(made, lambda x: x != "")
     rest = [c for c in docs.columns if c not in ("text", "chunk_index", "chunk_text")]
-    return docs.where("text IS NOT NULL").select(*rest, F.posexplode(kept).alias("chunk_index", "chunk_text"))
+    # an inner posexplode would first be asked whether the list is empty, and so make it twice
+    return docs.where("text IS NOT NULL").select(*rest, F.posexplode_outer(kept).alias("chunk_index", "chunk_text")).where("chunk_text IS NOT NULL")
 
 
 def line_kind(line: Column) -> Column:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scoring import cosine, hybrid_score, tiers
 from ..functions.text import STOP, query_terms, tokens
 from ..store import kept
 
-#: (query, term) rows that go to every task
-BROADCAST_TERMS = 200_000
+#: (query, term) rows that go to every task; more queries are searched for in several passes
+TERMS = 200_000
+#: scores, sums and rows that a task holds at once
+CELLS, SUMS, ROWS = 250_000, 1_000_000, 100_000
+#: scores are compared by 6 decimals, so what is nearer than this may be equal
+MARGIN = 2e-6
 
 
 @dataclass(frozen=True)
@@ -33,25 +43,15 @@ OKAPI = Variant(1.5, epsilon=0.25, distinct=False)
 
 @dataclass(frozen=True)
 class Index:
-    """Chunks, each with its tokens and a number `at`, kept once and dealt by it; how many there are, their mean length."""
+    """Chunks with their tokens, made where a chunk is read; nothing is stored."""
 
     chunks: DataFrame
-    n: int
-    mean: float
     carried: tuple[str, ...]
 
-    def told(self, found: DataFrame) -> DataFrame:
-        """found (at, ...) with chunk_id and what the index carries."""
-        mine = [c for c in ("chunk_id", *self.carried) if c not in found.columns]
-        return found.join(self.chunks.select("at", *mine), "at").drop("at")
-
 
 def indexed(chunks: DataFrame, carry: tuple[str, ...] = ()) -> Index:
-    """The index of chunks (chunk_id, chunk_text and columns to carry): they are read and cut into tokens once."""
-    rows = chunks.select("chunk_id", *carry, tokens(F.col("chunk_text")).alias("tokens")).withColumn("at", F.monotonically_increasing_id())
-    rows = kept(rows.withColumn("length", F.size("tokens")).repartition("at"))
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
-    return Index(rows, size["n"], size["mean"], carry)
+    """The index of chunks (chunk_id, chunk_text and columns to carry)."""
+    return Index(chunks.select("chunk_id", *carry, tokens(F.col("chunk_text")).alias("tokens")), carry)
 
 
 def asked(queries: DataFrame, text: str = "text", stop: Sequence[str] = STOP, variant: Variant = FTS) -> DataFrame:
@@ -60,51 +60,142 @@ def asked(queries: DataFrame, text: str = "text", stop: Sequence[str] = STOP, va
     return queries.select("query_id", F.explode(found).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(index: Index, terms: DataFrame, variant: Variant = FTS, by: str | None = None) -> DataFrame:
-    """query_id, at, score (6 decimals, higher is better), and the carried column `by`, of each chunk with a query's term.
+def weighted(index: Index, terms: DataFrame, variant: Variant = FTS) -> tuple[pa.Table, float]:
+    """The asked terms (query_id, term, weight), few, and the mean length of chunks.
 
-    Statistics come from all chunks, whatever scope a search has. Postings are made of asked terms only, where a chunk
-    lies, and a chunk's scores are sums there: no posting or hit is shuffled. Queries' terms go to the chunks by broadcast
-    if they are counted few, else both meet by term. Okapi's mean idf needs the frequencies of the whole vocabulary, one
-    more pre-aggregated pass.
+    Statistics come from all chunks, whatever scope a search has: one pass counts the chunks of each term, and under the
+    empty term all chunks. Okapi's mean idf needs the whole vocabulary, whose counts are kept for that.
     """
-    n, mean, more = index.n, max(index.mean, 1e-9), [by] if by else []
-    idf = lambda df: F.log((n - df + 0.5) / (df + 0.5))
-    few = terms.count() <= BROADCAST_TERMS
-    near = F.broadcast if few else lambda x: x
-    tokens_ = index.chunks.select("at", *more, "length", F.explode("tokens").alias("term"))
-    postings = tokens_.join(near(terms.select("term").distinct()), "term", "left_semi").groupBy("at", *more, "length", "term").agg(F.count("*").alias("tf"))
-    weights = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df")))
-    if variant.floor is not None:
-        weights = weights.withColumn("idf", F.when(F.col("idf") <= 0, variant.floor).otherwise(F.col("idf")))
+    words = index.chunks.select(F.size("tokens").alias("length"), F.explode_outer(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")))).alias("term"))
+    mine = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    if variant.epsilon is None:
+        words = words.join(F.broadcast(mine), "term", "left_semi")
+    counts = words.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    usual = 0.0
     if variant.epsilon is not None:
-        every = index.chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        usual = every.agg(F.coalesce(F.avg(idf(F.col("df"))), F.lit(0.0)).alias("m")).first()["m"]
-        weights = weights.withColumn("idf", F.when(F.col("idf") < 0, usual * variant.epsilon).otherwise(F.col("idf")))
-    weights = terms.join(weights, "term").select("term", "query_id", (F.col("idf") * F.col("times")).alias("weight"))
-    share = F.col("tf") * (variant.k1 + 1) / (F.col("tf") + variant.k1 * (1 - variant.b + variant.b * F.col("length") / mean))
-    hits = postings.withColumn("share", share).join(near(weights), "term")
-    return hits.groupBy("at", *more, "query_id").agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("score"))
+        counts = kept(counts)
+        n = counts.where("term = ''").select("df").first()
+        usual = counts.where("term <> ''").agg(F.avg(F.log((n["df"] - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0] if n else None
+        counts = counts.join(F.broadcast(mine), "term", "left_semi")
+    known = {r["term"]: (r["df"], r["mean"]) for r in counts.collect()}
+    n, mean = known.get("", (0, None))
+
+    def idf(term: str) -> float:
+        x = math.log((n - known[term][0] + 0.5) / (known[term][0] + 0.5))
+        if variant.floor is not None and x <= 0:
+            return variant.floor
+        return (usual or 0.0) * variant.epsilon if variant.epsilon is not None and x < 0 else x
+
+    found = terms.toArrow()
+    found = found.filter(pc.is_in(found["term"], pa.array([t for t in known if t], pa.string())))
+    weights = [idf(t) * times for t, times in zip(found["term"].to_pylist(), found["times"].to_pylist(), strict=True)]
+    return found.select(["query_id", "term"]).append_column("weight", pa.array(weights, pa.float64())), max(mean or 0.0, 1e-9)
+
+
+def searched(index: Index, terms: DataFrame, k: int, variant: Variant, by: str | None) -> DataFrame:
+    """query_id, chunk_id, what the index carries, and score (6 decimals): each task's k best of each query (in each `by`).
+
+    The terms of all queries meet the chunks where these are read. A task scores a block of chunks at a time and keeps
+    the k best rows found so far, of equal scores those of the least chunk_id; a hit that k better ones precede goes
+    nowhere. What a task holds is bounded whatever it reads: rows beyond ROWS are handed on, and their scores remembered.
+    """
+    weights, mean = weighted(index, terms, variant)
+    queries, words = weights["query_id"].combine_chunks().dictionary_encode(), weights["term"].combine_chunks().dictionary_encode()
+    ids, vocabulary = queries.dictionary, words.dictionary
+    order = np.lexsort((queries.indices.to_numpy(), words.indices.to_numpy()))
+    query, weight = queries.indices.to_numpy()[order].astype(np.int64), weights["weight"].to_numpy()[order]
+    many = np.bincount(words.indices.to_numpy(), minlength=len(vocabulary))
+    first, carried, k1, b = np.cumsum(many) - many, ["chunk_id", *index.carried], variant.k1, variant.b
+
+    def scores(tokens_: pa.Array) -> np.ndarray:
+        """A row for each query, a column for each chunk; -inf where a chunk has none of the query's terms."""
+        m, lengths = len(tokens_), pc.fill_null(pc.list_value_length(tokens_), 0).to_numpy()
+        at = pc.index_in(tokens_.flatten(), value_set=vocabulary)
+        cell, tf = np.unique(np.repeat(np.arange(m), lengths)[at.is_valid().to_numpy(zero_copy_only=False)] * len(vocabulary) + at.drop_null().to_numpy(), return_counts=True)
+        row, term = np.divmod(cell, len(vocabulary))
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean))
+        total, hit = np.zeros(len(ids) * m), np.zeros(len(ids) * m, bool)
+        piece = np.cumsum(many[term]) // SUMS
+        for p in np.unique(piece):
+            some = slice(*np.searchsorted(piece, [p, p + 1]))
+            n = many[term[some]]
+            each = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(each)) - (np.cumsum(n) - n)[each] + first[term[some]][each]
+            cells = query[place] * m + row[some][each]
+            total += np.bincount(cells, weight[place] * share[some][each], len(total))
+            hit[cells] = True
+        return np.where(hit, total, -np.inf).reshape(len(ids), m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, groups = max(1, CELLS // max(1, len(ids))), {}
+        least = np.empty((0, len(ids)))  # of each group and query, what a score must reach
+        rows, known = None, np.empty((3, 0))  # the best rows so far; their query, group and score
+
+        def told() -> list[pa.RecordBatch]:
+            columns = [ids.take(pa.array(known[0].astype(np.int64))), *(rows[c] for c in carried), pa.array(known[2])]
+            return pa.table(columns, names=["query_id", *carried, "score"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(ids) else 0, block):
+                part = batch.slice(start, block)
+                score, code = scores(part.column("tokens")), np.zeros(part.num_rows, int)
+                if by:
+                    own = part.column(by).dictionary_encode(null_encoding="encode")
+                    code = np.array([groups.setdefault(v, len(groups)) for v in own.dictionary.to_pylist()])[own.indices.to_numpy()]
+                least = np.vstack([least, np.full((max(1, len(groups)) - len(least), len(ids)), -np.inf)])
+                found = [known]
+                for g in np.unique(code):
+                    mine = np.flatnonzero(code == g)
+                    sub = score[:, mine]
+                    if len(mine) > k:
+                        least[g] = np.maximum(least[g], np.partition(sub, len(mine) - k, axis=1)[:, len(mine) - k] - MARGIN)
+                    q, c = np.nonzero((sub >= least[g][:, None]) & (sub > -np.inf))
+                    exact = sub[q, c]
+                    found.append(np.stack([q, np.full(len(q), g), np.copysign(np.floor(np.abs(exact) * 1e6 + 0.5) / 1e6, exact)]))
+                    found.append(mine[c])
+                n = known.shape[1]
+                at = np.concatenate([np.arange(n), *(x + n for x in found[2::2])])
+                if len(at) == n:
+                    continue
+                known = np.concatenate([found[0], *found[1::2]], axis=1)
+                both = pa.Table.from_batches([part]).select(carried)
+                both = both if rows is None else pa.concat_tables([rows, both])
+                place = pc.rank(both["chunk_id"].combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy()[at]
+                order = np.lexsort((place, -known[2], known[0], known[1]))
+                known, at = known[:, order], at[order]
+                new = np.flatnonzero(np.r_[True, (np.diff(known[0]) != 0) | (np.diff(known[1]) != 0)])
+                size = np.diff(np.r_[new, len(at)])
+                full = new[size >= k] + k - 1
+                least[known[1, full].astype(int), known[0, full].astype(int)] = np.maximum(least[known[1, full].astype(int), known[0, full].astype(int)], known[2, full] - MARGIN)
+                stay = np.arange(len(at)) - np.repeat(new, size) < k
+                known, rows = known[:, stay], both.take(pa.array(at[stay]))
+                if known.shape[1] > ROWS:
+                    yield from told()
+                    rows, known = None, known[:, :0]
+        if known.shape[1]:
+            yield from told()
+
+    kinds = index.chunks.select(*carried).schema
+    out = StructType([terms.schema["query_id"], *kinds, StructField("score", DoubleType())])
+    return index.chunks.select(*carried, "tokens").mapInArrow(run, out)
 
 
 def best(index: Index, terms: DataFrame, k: int, variant: Variant = FTS, by: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank and what the index carries: the k best chunks of each query (in each `by`).
 
-    Each task keeps its own k best, and those of equal score, before any row is shuffled.
+    Where there are more than TERMS asked terms, the queries are dealt into groups, each searched for in a pass of its own.
     """
-    group = ["query_id", *([by] if by else [])]
-    hits = bm25(index, terms, variant, by)
-    near = hits.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("score")))).where(F.col("rank") <= k).drop("rank")
-    return top(index.told(near), k, group, [F.desc("score"), F.col("chunk_id")])
+    group, passes = ["query_id", *([by] if by else [])], terms.count() // TERMS + 1
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    found = [kept(top(searched(index, terms.where(dealt == i) if passes > 1 else terms, k, variant, by), k, group, [F.desc("score"), F.col("chunk_id")])) for i in range(passes)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def scoped(index: Index, terms: DataFrame, scope: DataFrame, k: int, on: str, variant: Variant = FTS) -> DataFrame:
     """best() for each (query_id, role) of scope (query_id, role, and the carried column `on`): a search of its own in each
     role's part of the index, with the statistics of all of it."""
-    hits = bm25(index, terms, variant, on).join(scope, ["query_id", on])
-    group = ["query_id", "role"]
-    near = hits.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("score")))).where(F.col("rank") <= k).drop("rank")
-    return top(index.told(near), k, group, [F.desc("score"), F.col("chunk_id")])
+    hits = best(index, terms, k, variant, on).drop("rank").join(scope, ["query_id", on])
+    return top(hits, k, ["query_id", "role"], [F.desc("score"), F.col("chunk_id")])
 
 
 def top(rows: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

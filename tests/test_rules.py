@@ -1,6 +1,7 @@
 """Pinned cases of the text, evidence, routing, exchange, batch and tag rules, with nulls, blanks, ties and empty tables."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,39 @@ def test_equal_scores_are_ranked_by_chunk(spark):
     assert [r.chunk_id for r in retrieval.best(retrieval.indexed(chunks), asked, 4).orderBy("rank").collect()] == ["0", "1", "2", "3"]
 
 
+@pytest.mark.parametrize("by", [None, "book"])
+def test_a_search_in_small_blocks_hands_on_few_rows_and_finds_the_same(spark, monkeypatch, by):
+    """Tasks give at most k rows a query and group, whatever they hit; rows are handed on early and queries dealt into passes."""
+    texts = [(None if i == 7 else f"{i:04d}", " ".join(f"w{chr(97 + x)}" for x in (i % 5, i % 7, i % 11, i * i % 13)), None if i % 4 == 3 else f"b{i % 4}") for i in range(600)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, chunk_text string, book string").repartition(3).persist()
+    index = retrieval.indexed(chunks, ("book",))
+    asked = retrieval.asked(spark.createDataFrame([(i, f"w{chr(97 + i)} w{chr(98 + i)} wa wa") for i in range(12)], "query_id int, text string"), variant=retrieval.OKAPI).persist()
+    given = retrieval.searched(index, asked, 3, retrieval.OKAPI, by)
+    assert given.count() <= 3 * 12 * 3 * (4 if by else 1)
+    df, mean = {}, sum(len(t.split()) for _, t, _ in texts) / len(texts)
+    for _, t, _ in texts:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    idf = {w: math.log((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    usual = sum(idf.values()) / len(idf) / 4
+    hits = {}
+    for q, term, times in asked.collect():
+        for name, t, book in texts:
+            tf, length = t.split().count(term), len(t.split())
+            if tf:
+                at = (q, name, book)
+                hits[at] = hits.get(at, 0) + (usual if idf[term] < 0 else idf[term]) * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))
+    groups = {}
+    for (q, name, book), x in hits.items():
+        groups.setdefault((q, book if by else ""), []).append((-round(x, 6), name or "", q))
+    expected = sorted((q, name, -x) for found in groups.values() for x, name, q in sorted(found)[:3])
+    for small in ({}, {"CELLS": 60, "SUMS": 7, "ROWS": 5, "TERMS": 9}):
+        for k, v in small.items():
+            monkeypatch.setattr(retrieval, k, v)
+        got = sorted((r.query_id, r.chunk_id or "", r.score) for r in retrieval.best(index, asked, 3, retrieval.OKAPI, by).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in expected] and [x[2] for x in got] == pytest.approx([x[2] for x in expected], abs=2e-6)
+
+
 def score(spark, sentence, answers, stem):
     row = evidence.asked(spark.createDataFrame([(answers, stem, sentence)], "answers array<string>, stem string, s string"))
     return row.select(evidence.support(F.col("s"), F.col("answers"), F.col("_units"), F.col("_terms"), F.col("_asks"))).first()[0]
