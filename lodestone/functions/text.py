@@ -13,11 +13,11 @@ STOP = (
     "题型 型题 单句 最佳 选择 选项 答案 正确 错误 有关 关于 下列 以下 其中 描述 说法 关系 的是 一个 一种 主要 可以 可能 应该 应当 属于 不属于 "
     "a b c d e f 的 了 于 与 和 或 及 中 是 为 在 有 无 可 使 由 对 最 全"
 ).split()
-SPACES = r"^[ \t\n\f\r]+|[ \t\n\f\r]+$"
+SPACES = " \t\n\f\r"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, SPACES, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean(c: Column, limit: int) -> Column:
@@ -55,7 +55,7 @@ def query_terms(c: Column, stop: Sequence[str] = STOP, most: int = 16) -> Column
 def bigrams(c: Column) -> Column:
     """Distinct neighbouring pairs of a text's ASCII letters and digits and Han characters, case folded."""
     kept = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"[^0-9a-z\u4e00-\u9fff]+", "")
-    return F.when(F.char_length(kept) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(kept) - 1), lambda i: F.substring(kept, i, F.lit(2)))))
+    return F.array_distinct(F.regexp_extract_all(kept, F.lit("(?=(..))"), F.lit(1)))  # a lambda would fold the text again for each pair
 
 
 def key(c: Column) -> Column:

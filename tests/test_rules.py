@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,13 @@ def test_a_search_in_small_blocks_hands_on_few_rows_and_finds_the_same(spark, mo
         assert [x[:2] for x in got] == [x[:2] for x in expected] and [x[2] for x in got] == pytest.approx([x[2] for x in expected], abs=2e-6)
 
 
+def test_the_pairs_of_a_long_text_take_linear_time(spark):
+    began = time.time()
+    assert one(spark, F.size(text.bigrams(F.repeat(F.lit("Straße, 12 心肌 "), 8_000)))) == 11
+    assert time.time() - began < 20
+    assert one(spark, text.bigrams(F.lit("aß, b"))) == ["as", "ss", "sb"] and one(spark, text.bigrams(F.lit("a."))) == []
+
+
 def score(spark, sentence, answers, stem):
     row = evidence.asked(spark.createDataFrame([(answers, stem, sentence)], "answers array<string>, stem string, s string"))
     return row.select(evidence.support(F.col("s"), F.col("answers"), F.col("_units"), F.col("_terms"), F.col("_asks"))).first()[0]
