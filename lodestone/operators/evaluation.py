@@ -14,13 +14,15 @@ from ..functions.scoring import hybrid_score
 
 #: vectors and queries that meet in one task
 PART, BLOCK = 20_000, 2_000
+#: cosines that a task holds at once
+CELLS = 500_000
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, cosine (6 decimals): the k vectors of greatest cosine to each query, of equal ones the least ids.
 
     Queries (query_id, vector) meet all vectors (vec_id, vector) in blocks: each task holds BLOCK queries and PART vectors
-    at most, in double precision, and gives k rows a query; a vector is no neighbour of the query of its id. Null vectors
+    at most, in double precision, and CELLS of their cosines at a time, and gives k rows a query; a vector is no neighbour of the query of its id. Null vectors
     must be left out; zero vectors have a cosine of 0, as have those of another length.
     """
     import numpy as np
@@ -38,11 +40,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             mine, theirs = (t[t["vector"].map(len) == size] for t in (q, v))
             a, b = (np.stack(t["vector"].to_numpy()).astype(float) if len(t) else np.zeros((0, size)) for t in (mine, theirs))
             unit = lambda x: x / np.where((s := np.sqrt((x * x).sum(1, keepdims=True))) == 0, 1, s)
-            ids = theirs["vec_id"].to_numpy()
-            for i, row in zip(mine["query_id"].to_numpy(), np.round(unit(a) @ unit(b).T, 6), strict=True):
-                order = np.lexsort((ids, -row))[: k + 1]
-                order = order[ids[order] != i][:k]
-                found.append(pd.DataFrame({"query_id": i, "vec_id": ids[order], "cosine": row[order]}))
+            own, ids, a, b = mine["query_id"].to_numpy(), theirs["vec_id"].to_numpy(), unit(a), unit(b).T
+            step = max(1, CELLS // max(1, len(ids)))
+            for start in range(0, len(own), step):
+                cosine = np.round(a[start : start + step] @ b, 6)
+                other = ids != own[start : start + step, None]
+                score = np.where(other & ~np.isnan(cosine), cosine, -np.inf)
+                least = np.partition(score, len(ids) - k, axis=1)[:, [len(ids) - k]] if len(ids) > k else -np.inf
+                i, j = np.nonzero(other & (score >= least))
+                order = np.lexsort((ids[j], -score[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                found.append(pd.DataFrame({"query_id": own[start + i], "vec_id": ids[j], "cosine": cosine[i, j]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
 
     near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(met, "query_id long, vec_id long, cosine double")
