@@ -15,6 +15,7 @@ from ..functions.text import clean, fill_answers, key, one_line, plain, strip
 from ..sources.office import headed
 from ..sources.writers import CELL, CONTROL
 from ..store import kept as stored
+from ..store import near
 from .exchange import catalog_entries, meta
 from .formats import blocks as tidy_blocks
 from .questions import tidy_points, tidy_tags
@@ -255,8 +256,8 @@ def nested(found: DataFrame, schema: str) -> DataFrame:
     A list or table is put together from its lines, in order; unreadable extensions become a warning. Cells that a number
     should fill and do not are null; rows without an id keep what has none either, but for cards.
     """
-    mine = stored(about(found, schema))
-    held = lambda name: found.where(F.col("sheet") == name).join(mine.select("path"), "path", "left_semi")
+    mine = near(about(found, schema))
+    held = lambda name: found.where(F.col("sheet") == name).join(mine, "path", "left_semi")
     at = lambda h: F.col("fields")[h]
     number = lambda h: at(h).try_cast("double").cast("int")
     ident = lambda h: blank(one_line(at(h), CELL)).alias("id")
@@ -302,6 +303,6 @@ def nested(found: DataFrame, schema: str) -> DataFrame:
 def catalogue(found: DataFrame, schema: str) -> DataFrame:
     """`path` and the entries of the catalogues of opened() workbooks that are of the format."""
     at = lambda h: F.col("fields")[h]
-    rows = found.where(F.col("sheet") == TAGS).join(about(found, schema).select("path"), "path", "left_semi")
+    rows = found.where(F.col("sheet") == TAGS).join(near(about(found, schema).select("path")), "path", "left_semi")
     flat_rows = rows.select("path", at("学科").alias("subject"), at("标签").alias("label"), F.filter(F.split(blank(at("别名")), "[、,，;；|]"), lambda x: x != "").alias("aliases"), at("状态").alias("status"), at("使用次数").try_cast("double").cast("int").alias("usage"), at("合并至").alias("merged_into"))
     return catalog_entries(flat_rows, ("path",))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..store import shipped
+from ..store import near, shipped
 
 # fixed values: names of the sheet's columns, what tells of a case, ways of wrong decoding (written with, meant for)
 SUBJECT, SYSTEM, QUESTION, ANSWER, EXPLANATION = "学科", "章节", "题干", "答案", "解析"
@@ -75,7 +75,7 @@ def flat_questions(rows: DataFrame) -> DataFrame:
         return pd.Series([[one(x, c) for x in row] for row, c in zip(cells, codec, strict=True)])
 
     firsts = rows.groupBy("path", "sheet").agg(F.min(F.struct("row", "cells")).alias("h")).select("path", "sheet", F.col("h.row").alias("row"), F.col("h.cells").alias("cells"))
-    tops = firsts.mapInPandas(heads, "path string, sheet string, top int, codec string, head array<string>")
+    tops = near(firsts.mapInPandas(heads, "path string, sheet string, top int, codec string, head array<string>"))
     body = rows.select("path", "sheet", "row", "cells").join(tops, ["path", "sheet"]).where("row > top").withColumn("cells", read("cells", "codec"))
     body = body.where(F.exists("cells", lambda c: c != ""))
     cell = lambda name: F.coalesce(F.get("cells", F.array_position("head", name).cast("int") - 1), F.lit(""))

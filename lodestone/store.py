@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
 _sent: set[str] = set()
@@ -37,6 +38,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def near(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """`rows`, kept, and sent to every task of a join if they are no more than `most`: a join by a key of few values would
+    bring all rows of a value to one task."""
+    found = kept(rows)
+    return F.broadcast(found) if found.count() <= most else found
+
+
+def dealt(rows: DataFrame, *keys: str, most: int = 1_000_000) -> DataFrame:
+    """`rows` dealt by keys into parts of about `most` rows, so that what a task sorts doesn't grow with the table."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, rows.count() // most + 1), *keys)
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends this package to the Python workers of a session, once, unless they find it by PYTHONPATH anyway."""
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
