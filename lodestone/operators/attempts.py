@@ -12,9 +12,10 @@ import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import schemas
 from ..store import kept, shipped
@@ -25,7 +26,10 @@ PLAINER, AGAIN = (400, 404, 422), (429, 500, 502, 503, 504)
 
 
 def asked(rows: DataFrame, call: Callable[[list[dict]], list], name: str, kind: str, batch: int = 20) -> DataFrame:
-    """rows with what `call` returns for each, in batches; an exception, or a wrong number of answers, gives nulls."""
+    """rows with what `call` returns for each, in batches; an exception, or a wrong number of answers, gives nulls.
+
+    A batch alone is made into dicts; the rows themselves pass through as they are.
+    """
     shipped(rows.sparkSession)
 
     def answered(some: list[dict]) -> list:
@@ -35,14 +39,15 @@ def asked(rows: DataFrame, call: Callable[[list[dict]], list], name: str, kind:
         except Exception:
             return [None] * len(some)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = rows.sparkSession.createDataFrame([], f"`{name}` {kind}")
+    type_ = made.toArrow().schema.field(0).type
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            held = part.to_dict("records")
-            made = [x for i in range(0, len(held), batch) for x in answered(held[i : i + batch])]
-            yield part.assign(**{name: pd.Series(made, index=part.index, dtype=object)})
+            answers = [pa.array(answered(part.slice(i, batch).to_pylist()), type_) for i in range(0, part.num_rows, batch)]
+            yield part.append_column(name, pa.concat_arrays(answers) if answers else pa.array([], type_))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{schema}, `{name}` {kind}")
+    return rows.mapInArrow(run, StructType([*rows.schema, *made.schema]))
 
 
 def jitter(key: Column, attempt: Column, seed: int = 7) -> Column:
