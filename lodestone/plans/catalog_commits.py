@@ -13,7 +13,7 @@ from ..functions import canonical, schemas
 from ..operators import attempts, exchange, review
 from ..sources import versions
 from ..sources.readers import tables
-from ..store import shared
+from ..store import dealt, shared
 from .catalog import long, query
 from .catalog_exchange import PATCHED, SCHEMA, exchanged, outcomes
 
@@ -191,7 +191,7 @@ RANKED = """n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1
 @query("WITH " + RANKED + """ SELECT k AS query_id, CASE WHEN k % 5 = 1 THEN 'index' WHEN k % 5 = 2 AND n > 1 THEN 'repeated' WHEN k % 5 = 3 THEN 'score' WHEN k % 5 = 4 THEN 'missing' ELSE '' END AS fault FROM n""")
 def ranking_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as a reranker's results for their orders, wrong in a way that depends on the order."""
-    lines = tables(spark, sf, "lineitem")[0]
+    lines = dealt(tables(spark, sf, "lineitem")[0].select("l_orderkey", "l_linenumber", "l_discount"), "l_orderkey")
     k, i = F.col("query_id"), F.col("i")
     placed = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_discount").cast("double").alias("score"), (F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)") - 1).alias("i"))
     found = placed.where(~((k % 5 == 4) & (i == 0))).select("query_id", F.when((k % 5 == 1) & (i == 0), -1).when(k % 5 == 2, 0).otherwise(i).alias("index"), F.when((k % 5 == 3) & (i == 0), float("inf")).otherwise(F.col("score")).alias("score"))
