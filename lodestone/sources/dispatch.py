@@ -3,8 +3,8 @@ records; a file that cannot be read is a record with an error.
 
 Shapes: workbook and document (zipped XML), json (an array of objects, or an object that holds one under `questions` or
 `data`, or one with chapters), lines (such an object on each line), text (UTF-8, else a fallback encoding); pdf and database files
-are told but not read here (see readers.register_pages and the table reader), and are errors. A file is read by one task;
-files are spread over tasks. Empty files have no records; unreadable ones do.
+are told but not read here (see readers.register_pages and the table reader), and are errors. A file is read by one task,
+but large ones of lines in splits; files are spread over tasks. Empty files have no records; unreadable ones do.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..store import shipped
+from ..store import kept, shipped
 from .office import document_paragraphs, workbook_rows
 
 RECORD = "path string, shape string, part string, at int, record string, error string"
 LISTS = ("questions", "data")
+#: bytes up to which a file is read as a whole whatever its shape
+WHOLE = 4_000_000
 
 
 def _objects(value) -> Iterator[tuple[str, dict]]:
@@ -93,12 +95,7 @@ def _records(shape: str, data: bytes, fallback: str) -> Iterator[tuple[str, int,
             yield part, at, write(x), ""
     elif shape == "lines":
         for at, line in enumerate(_text(data, fallback).split("\n")):
-            if line.strip():
-                try:
-                    for part, x in [*_objects(json.loads(line))]:
-                        yield part, at, write(x), ""
-                except ValueError as e:
-                    yield "", at, "", f"line {at + 1}: {e}"[:200]
+            yield from _line_records(line.encode("utf-8", "surrogatepass"), at, fallback)
     elif shape == "text":
         text = _text(data, fallback)
         if text.strip():
@@ -107,9 +104,70 @@ def _records(shape: str, data: bytes, fallback: str) -> Iterator[tuple[str, int,
         raise ValueError(f"{shape} files are not read here")
 
 
+def _line_records(line: bytes, at: int, fallback: str) -> Iterator[tuple[str, int, str, str]]:
+    text = _text(line, fallback)
+    if text.strip():
+        try:
+            for part, x in [*_objects(json.loads(text))]:
+                yield part, at, json.dumps(x, ensure_ascii=False), ""
+        except ValueError as e:
+            yield "", at, "", f"line {at + 1}: {e}"[:200]
+
+
+def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each file and block of it: its lines, those with text, whether all are UTF-8, and whether the first with text is an object."""
+    told: dict[tuple[str, int], list] = {}
+    for part in parts:
+        for file, block, line in zip(part["file"], part["block"], part["value"], strict=True):
+            x = told.setdefault((file, block), [0, 0, True, False])
+            x[0] += 1
+            try:
+                text = bytes(line).decode("utf-8-sig")
+            except UnicodeDecodeError:
+                x[2] = False
+                continue
+            if text.strip():
+                x[1] += 1
+                if x[1] == 1:
+                    try:
+                        x[3] = isinstance(json.loads(text), dict)
+                    except ValueError:
+                        pass
+    yield pd.DataFrame([(*k, *x) for k, x in told.items()], columns=["file", "block", "n", "filled", "valid", "object"])
+
+
+def large_lines(spark: SparkSession, path: str, fallback: str) -> tuple[DataFrame | None, list[str]]:
+    """RECORD rows of the files below a folder that are larger than WHOLE and of the shape `lines`, and these files: they
+    are read by Spark in splits, a batch of lines at a time. Lines are numbered in their file all the same."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") > WHOLE).select("path", F.col("_metadata.file_path").alias("file"))
+    if files.isEmpty():
+        return None, []
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).where(F.col("_metadata.file_size") > WHOLE)
+    text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    blocks = kept(text.mapInPandas(_blocks, "file string, block long, n long, filled long, valid boolean, object boolean"))
+    whole = blocks.groupBy("file").agg(F.min("valid").alias("valid"), F.sum("filled").alias("filled"), F.min_by("object", F.when(F.col("filled") > 0, F.col("block"))).alias("object"))
+    mine = whole.where(F.col("valid") & (F.col("filled") > 1) & F.col("object")).join(files, "file").select("file", "path")
+    found = [r["file"] for r in mine.collect()]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.join(mine, "file").select("file", "block", "path", before.alias("before"))
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, int], int] = {}
+        for part in parts:
+            for i in range(0, len(part), 1000):
+                some, rows = part[i : i + 1000], []
+                for name, block, start, line in zip(some["path"], some["block"], some["before"], some["value"], strict=True):
+                    at = seen[name, block] = seen.get((name, block), start - 1) + 1
+                    rows.extend((name, "lines", *x) for x in _line_records(bytes(line), at, fallback))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+
+    return text.join(F.broadcast(starts), ["file", "block"]).select("path", "block", "before", "value").mapInPandas(read, RECORD), found
+
+
 def folder_records(spark: SparkSession, path: str, fallback: str = "gb18030") -> DataFrame:
     """RECORD rows of all files below a folder: record is JSON, '' where there is an error."""
     shipped(spark)
+    lines, apart = large_lines(spark, path, fallback)
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -123,8 +181,11 @@ def folder_records(spark: SparkSession, path: str, fallback: str = "gb18030") ->
                     rows = [(name, shape, "", 0, "", f"{type(e).__name__}: {e}"[:200])]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(read, RECORD)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if apart:
+        files = files.where(~F.col("_metadata.file_path").isin(apart))
+    whole = files.select("path", "content").mapInPandas(read, RECORD)
+    return whole.unionByName(lines) if apart else whole
 
 
 def as_questions(records: DataFrame, names: dict[str, list[str]]) -> DataFrame:

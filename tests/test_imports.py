@@ -88,6 +88,36 @@ def test_a_folder_of_every_shape_is_one_job(spark, tmp_path):
     assert records.where("part = 'c1'").count() == 1
 
 
+def test_large_files_of_lines_are_read_in_splits(spark, tmp_path, monkeypatch):
+    """The same records and numbers as of whole files, of many tasks; other large files stay whole."""
+    line = lambda i: "" if i % 50 == 7 else '{"question": ' if i % 50 == 9 else json.dumps({"question": f"题{i} \u2028", "n": i}, ensure_ascii=False)
+    (tmp_path / "a b%20[1].json").write_text("\ufeff\n" + "\r\n".join(map(line, range(2000))), encoding="utf-8")
+    (tmp_path / "array.json").write_text(json.dumps([{"question": f"q{i}"} for i in range(3000)]))
+    (tmp_path / "one.json").write_text("\n" + json.dumps({"data": [{"question": f"q{i}"} for i in range(3000)]}) + "\n\n")
+    (tmp_path / "old.json").write_bytes("\n".join(map(line, range(3000))).encode("gb18030", "replace"))
+    (tmp_path / "small.json").write_text('{"question": "x"}\n{"question": "y"}\n')
+    told = lambda: sorted(tuple(r) for r in dispatch.folder_records(spark, str(tmp_path)).collect())
+    whole = told()
+    monkeypatch.setattr(dispatch, "WHOLE", 20_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert len(dispatch.large_lines(spark, str(tmp_path), "gb18030")[1]) == 1
+        assert told() == whole and len(whole) > 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_headers_go_to_the_rows(spark):
+    """A join by sheet would bring all rows of a sheet to one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame(sheet(), KIND)
+        for found, n in ((specialty.flat_questions(rows), 4), (office.headed(rows.withColumn("error", F.lit("")), ["题干"]), 5)):
+            assert found.count() == n and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_page_references_are_rewritten_once(spark):
     rows = spark.createDataFrame([("见第3页、第5页，第3页。第33页", {3: 5, 5: 3}), ("第3页", None), (None, {3: 5}), ("", {3: 5}), ("第三页 第3 页", {3: 5}), ("第7页第8页", {7: 8, 8: None})], "t string, m map<int,int>")
     found = [r[0] for r in rows.select(pages.rewritten_references(F.col("t"), F.col("m"))).collect()]

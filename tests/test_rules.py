@@ -7,8 +7,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import store
 from lodestone.functions import text
-from lodestone.operators import audits, batches, delta, evaluation, evidence, exchange, retrieval, routing, tags
+from lodestone.operators import attempts, audits, batches, delta, evaluation, evidence, exchange, retrieval, routing, tags
 
 
 def one(spark, column):
@@ -222,3 +223,31 @@ def test_nearest_of_all_vectors(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {29: [42, 28, 27], 0: [1, 2, 3]}
     assert evaluation.nearest(q.limit(0), rows, 3).count() == 0
+
+
+@pytest.mark.parametrize("cells", [1, 70, 500_000])
+def test_nearest_in_slices_has_all_ties_in_order(spark, monkeypatch, cells):
+    monkeypatch.setattr(evaluation, "CELLS", cells)
+    v = {i: [float(i % 5), float(i % 3) - 1.0, 1.0] for i in range(120)}
+    rows = spark.createDataFrame([*v.items()], "vec_id long, vector array<double>")
+    got = {}
+    for r in evaluation.nearest(rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), rows, 4).orderBy("query_id", F.desc("cosine"), "vec_id").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = lambda x: [y / math.sqrt(sum(z * z for z in x)) for y in x]
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(unit(v[a]), unit(v[b]))), 6)
+    assert got == {a: sorted((b for b in v if b != a), key=lambda b: (-cosine(a, b), b))[:4] for a in range(0, 120, 10)}
+
+
+def test_answers_are_made_of_a_batch_and_rows_pass_as_they_are(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else i, [i]) for i in range(50)], "id int, n int, l array<int>").coalesce(1)
+    call = lambda some: [f"{len(some)} {r['n']} {[*r['l']]}" for r in some]
+    found = attempts.asked(rows, call, "x", "string", 20)
+    assert [c for c in found.columns] == ["id", "n", "l", "x"]
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [(i, None if i % 2 else i, [i], f"{20 if i < 40 else 10} {None if i % 2 else i} [{i}]") for i in range(50)]
+    assert attempts.asked(rows.limit(0), call, "x", "string").count() == 0
+
+
+def test_rows_are_dealt_into_parts_of_bounded_size(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    assert store.dealt(rows, "k", most=50).rdd.getNumPartitions() == 21
+    assert store.dealt(rows, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
