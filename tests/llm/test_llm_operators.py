@@ -159,6 +159,71 @@ def test_ppm_on_odd_rows(odd, empty):
     assert ppm.ppm_score(empty).count() == 0
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_ppm_moves_no_row_for_each_gram_of_each_block(spark, docs, tmp_path):
+    """Six files of the same texts are six blocks with the same grams: what is shuffled grows by texts and parts alone."""
+    moved = []
+    for copies in (1, 6):
+        for i in range(copies):
+            docs.where("doc_id < 40").select((F.col("doc_id") + 1000 * i).alias("doc_id"), "text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{copies}")
+        before = shuffled_rows(spark)
+        assert ppm.ppm_score(spark.read.parquet(f"{tmp_path}/{copies}")).count() == copies * docs.where("doc_id < 40").count()
+        moved.append(shuffled_rows(spark) - before)
+    assert moved[0] > 0 and moved[1] < 1.5 * moved[0]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ppm_counts_by_parts(monkeypatch, texts, parts):
+    """Counts that are flushed midway, in two blocks that lie mixed, against a dictionary; and their way back."""
+    monkeypatch.setattr(ppm, "FLUSH", 3000)
+    monkeypatch.setattr(ppm, "HELD", 4000)
+    monkeypatch.setattr(ppm, "CHUNK", 500)
+    some = [t[:300] for t in list(texts.values())[:50]] + ["", "\0", None]
+    blocks, out = np.arange(len(some)) % 2, np.arange(len(some)) % 5 == 3
+    batches = [pa.record_batch([pa.array(blocks[i : i + 9]), pa.array(out[i : i + 9]), pa.array(some[i : i + 9], pa.string())], ["block", "held_out", "text"]) for i in range(0, len(some), 9)]
+    rows = pa.Table.from_batches(ppm._counts(iter(batches), 3, parts)).sort_by([("part", "ascending"), ("kind", "ascending")])
+    assert rows.num_rows > 4 * parts
+    known = pa.Table.from_batches(ppm._totals(iter(rows.to_batches(max_chunksize=5))))
+    total = {(r["kind"], r["key"]): (r["total"], r["part"]) for r in known.to_pylist() if r["block"] is None}
+    assert len(total) == sum(r["block"] is None for r in known.to_pylist())
+    expected, own = Counter(), {}
+    for block, held, text in zip(blocks, out, some, strict=True):
+        for part in textkit.slices(pa.array([text], pa.string())):
+            for kind, keys in ((ppm.WORD, part.words().view(np.int64)), (ppm.GRAM, ppm.grams(part, 3)[0])):
+                for k in keys.tolist():
+                    expected[kind, k] += not held
+                    own.setdefault((int(block), kind), set()).add(k)
+    assert {k: n for k, (n, _) in total.items()} == dict(expected)
+    assert all(p == k % ppm.PRIME % parts for (_, k), (_, p) in total.items())
+    value = {k: (n + 1) / 7 for k, (n, _) in total.items() if n or k[0] == ppm.GRAM}
+    asked = [{"part": total[k][1], "kind": k[0], "key": k[1], "value": v, "block": None, "keys": None} for k, v in value.items()]
+    asked += [r | {"value": None} for r in known.drop_columns(["total"]).to_pylist() if r["block"] is not None]
+    asked.sort(key=lambda r: (r["part"], r["kind"], -1 if r["block"] is None else r["block"]))
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64()), ("block", pa.int64()), ("keys", pa.binary())])
+    got = {}
+    for batch in ppm._valued(iter(pa.Table.from_pylist(asked, schema).to_batches(max_chunksize=11))):
+        for r in batch.to_pylist():
+            got.setdefault((r["block"], r["kind"]), {}).update(zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["values"]).tolist(), strict=True))
+    assert got == {(b, kind): {k: value[kind, k] for k in keys if (kind, k) in value} for (b, kind), keys in own.items()}
+
+
+def test_ppm_costs_are_sums_by_text(texts):
+    some = [t[:200] for t in list(texts.values())[:700]] + ["", "a"]
+    for part in textkit.slices(pa.array(some)):
+        made, offsets = ppm.grams(part, 5)
+        keys = np.unique(made)[::2]
+        table = keys, np.linspace(0.1, 2, len(keys))
+        value = dict(zip(*(x.tolist() for x in table), strict=True))
+        slow = [math.fsum(value.get(k, math.log10(257)) for k in made[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert ppm.costs(made, offsets, table) == pytest.approx(slow, rel=1e-12)
+        assert ppm.costs(made, offsets, (keys[:0], table[1][:0])) == pytest.approx(np.diff(offsets) * math.log10(257), rel=1e-12)
+
+
 # --- 2: embeddings ---
 
 
